@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions import urls as U
-from marquee.operators.tickets import same_session
+from marquee.operators.tickets import join_sessions
 
 
 def scope_report(events: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def platform_coverage(sessions: DataFrame, tickets: DataFrame) -> DataFrame:
     """joi_12: per platform, events with a ticket on it and sessions its tickets cover."""
     t = tickets.select("event", "day", "clock", "platform").distinct()
     s = sessions.select("event", "day", "clock").distinct()
-    hit = s.join(t, same_session(s, t)).select(s["event"], s["day"], s["clock"], t["platform"])
+    hit = join_sessions(s, t, "inner")
     # Two counts over already distinct rows: events per platform need one more small reduction.
     per_event = hit.groupBy("platform", "event").agg(F.count("*").alias("_n"))
     return per_event.groupBy("platform").agg(

@@ -22,6 +22,8 @@ Distributed form:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -151,8 +153,7 @@ def link_components(keys: DataFrame) -> DataFrame:
         .union(paired.select("node", _hash(F.col("e"), F.col("x")).alias("key")))
         .distinct()
     )
-    edges = star_edges(member)
-    parts = components(edges)
+    parts = components(star_edges(member))
     while True:
         # Closure: evidence of one member with a session of another, for evidence seen in several parts.
         in_part = parts.withColumnRenamed("part", "p")
@@ -169,8 +170,11 @@ def link_components(keys: DataFrame) -> DataFrame:
         more = checkpointed(star_edges(node_keys.union(part_keys).distinct(), node="p"))
         if more.isEmpty():
             return parts
-        edges = edges.union(more)
-        parts = components(edges)
+        # Components of the contracted graph, one node per part, then relabelled.
+        moved = components(more).select(F.col("node").alias("part"), F.col("part").alias("_to"))
+        lone = moved.join(parts.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("_to").alias("part"))
+        relabelled = parts.join(moved, "part", "left").select("node", F.coalesce("_to", "part").alias("part"))
+        parts = checkpointed(relabelled.union(lone))
 
 
 # --- the scan inside one component ---------------------------------------------------------------
@@ -224,10 +228,8 @@ class _Row:
         self.merges_with_copy = self.venue_known or bool(self.refs) or bool(self.program)
 
 
-def scan_component(pdf: pd.DataFrame) -> pd.DataFrame:
+def scan_component(part: int, rows: list[_Row]) -> list[tuple]:
     """Greedy scan of one component: steps (kind 'step') and order look-ups it needs (kind 'need')."""
-    rows = [_Row(r) for r in pdf.itertuples(index=False)]
-    part = pdf["part"].iloc[0]
     clusters: list[_Cluster] = []
     index: dict[tuple, list[int]] = {}
 
@@ -278,7 +280,29 @@ def scan_component(pdf: pd.DataFrame) -> pd.DataFrame:
         ]
         if later and min(later) < row.last:
             steps.append((part, "need", row.sig, min(later), None))
-    return pd.DataFrame(steps, columns=["part", "kind", "sig", "at", "cluster"])
+    return steps
+
+
+def scan_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scan the components of a partition sorted by component, holding one component at a time."""
+
+    def frame(steps):
+        out = pd.DataFrame(steps, columns=["part", "kind", "sig", "at", "cluster"])
+        return out.astype({"cluster": "Int64"})
+
+    part, rows = None, []
+    for batch in batches:
+        done = []
+        for r in batch.itertuples(index=False):
+            if r.part != part:
+                if rows:
+                    done += scan_component(part, rows)
+                part, rows = r.part, []
+            rows.append(_Row(r))
+        if done:
+            yield frame(done)
+    if rows:
+        yield frame(scan_component(part, rows))
 
 
 STEP_SCHEMA = "part bigint, kind string, sig string, at bigint, cluster bigint"
@@ -289,13 +313,14 @@ def clusters(df: DataFrame, exact: bool = True) -> DataFrame:
     feat = features(df, exact)
     records, sigs = signatures(feat)
     sigs = checkpointed(sigs)
-    parts = link_components(evidence_keys(sigs))
+    # Checkpointed once: the closure rounds read the keys several times.
+    parts = link_components(checkpointed(evidence_keys(sigs)))
     linked = checkpointed(sigs.join(parts.withColumnRenamed("node", "first_ord"), "first_ord"))
     orders = linked.select("sig", F.array("first_ord").alias("orders"))
     while True:
-        scanned = checkpointed(
-            linked.join(orders, "sig").groupBy("part").applyInPandas(scan_component, STEP_SCHEMA)
-        )
+        # Whole components per task, many components per task: sorted runs instead of one call each.
+        by_part = linked.join(orders, "sig").repartition("part").sortWithinPartitions("part")
+        scanned = checkpointed(by_part.mapInPandas(scan_partitions, STEP_SCHEMA))
         needs = scanned.where("kind = 'need'").select("sig", "at")
         if needs.isEmpty():
             break

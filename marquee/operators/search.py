@@ -129,14 +129,11 @@ def facets(df: DataFrame, predicates: dict[str, Column], relax: dict[str, list[s
 
 def session_platforms(sessions: DataFrame, tickets: DataFrame, keys=("event", "day", "clock")) -> DataFrame:
     """agg_13: one row per session and covering platform, or the 'unverified' bucket."""
-    from marquee.operators.tickets import same_session
+    from marquee.operators.tickets import join_sessions
 
-    t = tickets.select(*keys, "platform").distinct()
-    joined = sessions.join(t, same_session(sessions, t, keys), "left")
-    return joined.select(
-        *[sessions[c] for c in sessions.columns if c != "platform"],
-        F.coalesce(t["platform"], F.lit(V.UNVERIFIED_PLATFORM)).alias("platform"),
-    )
+    t = tickets.select(*keys, F.col("platform").alias("_platform")).distinct()
+    joined = join_sessions(sessions.drop("platform"), t, "left", keys)
+    return joined.withColumn("platform", F.coalesce("_platform", F.lit(V.UNVERIFIED_PLATFORM))).drop("_platform")
 
 
 def headline(df: DataFrame, today: Column) -> DataFrame:

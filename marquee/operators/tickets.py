@@ -8,30 +8,36 @@ from marquee.functions import text as T, urls as U, values as V
 from marquee.operators.ranking import first_per_key
 
 
-def same_session(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("event", "day", "clock")) -> Column:
-    """Join condition of the session key; a NULL clock equals a NULL clock."""
-    cond = None
-    for k in keys:
-        one = a[k].eqNullSafe(b[k]) if k == keys[-1] else a[k] == b[k]
-        cond = one if cond is None else cond & one
-    return cond
+SESSION_KEY = ("event", "day", "clock")
+
+
+def join_sessions(left: DataFrame, right: DataFrame, how: str, keys: tuple[str, ...] = SESSION_KEY) -> DataFrame:
+    """Join on the session key. The last key is null-safe: a NULL clock equals a NULL clock.
+
+    The right keys are renamed first, so both sides may come from one table.
+    """
+    r = right.withColumnsRenamed({k: "_r_" + k for k in keys})
+    cond = F.col(keys[-1]).eqNullSafe(F.col("_r_" + keys[-1]))
+    for k in keys[:-1]:
+        cond = cond & (F.col(k) == F.col("_r_" + k))
+    return left.join(r, cond, how).drop(*["_r_" + k for k in keys])
 
 
 def covered_sessions(sessions: DataFrame, scopes: DataFrame) -> DataFrame:
     """joi_06: sessions within some ticket scope."""
-    return sessions.join(scopes, same_session(sessions, scopes), "left_semi")
+    return join_sessions(sessions, scopes.select(*SESSION_KEY), "left_semi")
 
 
 def uncovered_sessions(sessions: DataFrame, scopes: DataFrame) -> DataFrame:
     """flt_07: sessions no ticket covers."""
-    return sessions.join(scopes, same_session(sessions, scopes), "left_anti")
+    return join_sessions(sessions, scopes.select(*SESSION_KEY), "left_anti")
 
 
 def merge_tickets(tickets: DataFrame, sessions: DataFrame) -> DataFrame:
     """agg_06 in long form: ticket rows (event, url, price, sale_at, day, clock, ord, ...) reduced to
     one row per (event, url, price, sale_at) and valid distinct session; empty scopes vanish."""
     valid = sessions.select("event", "day", "clock").distinct()
-    scoped = tickets.join(valid, same_session(tickets, valid), "left_semi")
+    scoped = join_sessions(tickets, valid, "left_semi")
     return scoped.groupBy("event", "url", "price", "sale_at", "day", "clock").agg(F.min("ord").alias("ord"))
 
 
@@ -92,8 +98,7 @@ def first_ticket_per_url(tickets: DataFrame, order: Column) -> DataFrame:
 
 def with_session_facts(sessions: DataFrame, facts: DataFrame) -> DataFrame:
     """joi_18: per-session performers and host."""
-    joined = sessions.join(facts, same_session(sessions, facts), "left")
-    return joined.select(*[sessions[c] for c in sessions.columns], facts["performers"], facts["host"])
+    return join_sessions(sessions, facts.select(*SESSION_KEY, "performers", "host"), "left")
 
 
 def matching_sessions(sessions: DataFrame, today: Column, view: str = "upcoming", day: str | None = None,

@@ -9,7 +9,7 @@ from marquee.sources import readers as R
 
 # The fixed rules speak Chinese and English; the driver's texts are invented syllables, so the
 # ladders run on syllable patterns that Java and RE2 read alike.
-PATTERNS = {"course": "(?i)workshop|ingst", "fan": "(?i)éau|upgrade", "concerts": "(?i)tion the|concert", "comedy": "(?i)tion of", "other": "(?i)zón"}
+PATTERNS = {"course": "(?iu)workshop|ingst", "fan": "(?iu)éau|upgrade", "concerts": "(?iu)tion the|concert", "comedy": "(?iu)tion of", "other": "(?iu)zón"}
 
 
 @query("cls_01_classifier", """
@@ -34,7 +34,7 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)zón|ción') THEN 'a' WHEN re
   WHEN regexp_matches(text, '(?i)[Ww]h[a-z]+ou') THEN 'c' WHEN regexp_matches(text, '(?i)ß|ü') THEN 'd' WHEN contains(text, 'the') THEN 'other' ELSE 'default' END AS genre FROM documents
 """)
 def cls_02(spark, sf):
-    g = C.genre(F.col("text"), RULES, ("the", "other", "default"), flags="(?i)")
+    g = C.genre(F.col("text"), RULES, ("the", "other", "default"), flags="(?iu)")
     return table(spark, sf, "documents").select("doc_id", g.alias("genre"))
 
 
