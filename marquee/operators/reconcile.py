@@ -2,8 +2,9 @@
 
 Sequential meaning: records are read in priority order; each joins the first existing cluster
 (in creation order) that it matches, or opens a new one. Region, venue, title and program of a
-cluster are its first member's; sessions, URLs and references grow. A record matches when the
-regions agree and either
+cluster are its first member's; sessions, ticket URLs and references grow, also by members from
+other venues. A record's URLs are its tickets and its own page; a cluster's are all its tickets and
+its first member's page. A record matches when the regions agree and either
   (a) the venues agree and it shares a (source, uid) reference, the program, or - at a known venue -
       a session together with an equal title, a shared URL or a title containing the other, or
   (b) the venues differ, the titles agree and a session with a clock is shared.
@@ -39,7 +40,7 @@ def features(df: DataFrame, exact: bool = True) -> DataFrame:
     """Match features per record.
 
     Input: ord (total order), source, uid, title, region, venue, program (or NULL),
-    sessions array<struct<date,time>>, urls array<string> (ticket and source pages).
+    sessions array<struct<date,time>>, urls array<string> (tickets), page (own page or NULL).
     """
     norm = T.normalized_exact if exact else T.normalized
     return df.select(
@@ -52,6 +53,7 @@ def features(df: DataFrame, exact: bool = True) -> DataFrame:
         F.when(F.length(F.col("uid").cast("string")) > 0, F.concat_ws("|", F.col("source"), F.col("uid").cast("string"))).alias("ref"),
         F.array_sort(F.array_distinct(F.transform("sessions", lambda s: F.concat_ws(" ", s["date"].cast("string"), F.coalesce(s["time"], F.lit("")))))).alias("sessions"),
         F.array_distinct(F.filter(F.col("urls"), lambda u: (F.length(u) > 0))).alias("urls"),
+        F.when(F.length("page") > 0, F.col("page")).alias("page"),
     )
 
 
@@ -62,20 +64,24 @@ def _shared(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 def signatures(feat: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(record -> signature, signature rows). Step 1."""
-    place = ["region_key", "venue_key"]
-    urls = feat.select("ord", *place, F.explode("urls").alias("url"))
+    place = ["region_key"]
+    cited = F.array_union("urls", F.when(F.col("page").isNotNull(), F.array("page")).otherwise(F.array().cast("array<string>")))
+    urls = feat.select("ord", *place, F.explode(cited).alias("url"))
     kept_urls = urls.join(_shared(urls, "url", place), [*place, "url"]).groupBy("ord").agg(
-        F.array_sort(F.collect_set("url")).alias("urls")
+        F.array_sort(F.collect_set("url")).alias("_kept")
     )
     refs = feat.where("ref IS NOT NULL").select("ord", *place, "ref")
     kept_refs = refs.join(_shared(refs, "ref", place), [*place, "ref"]).select("ord", "ref")
+    kept = F.coalesce("_kept", F.array().cast("array<string>"))
     slim = (
-        feat.drop("urls", "ref")
+        feat.drop("ref")
         .join(kept_urls, "ord", "left")
         .join(kept_refs, "ord", "left")
-        .withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
+        .withColumn("urls", F.array_sort(F.array_intersect("urls", kept)))
+        .withColumn("page", F.when(F.array_contains(kept, F.col("page")), F.col("page")))
+        .drop("_kept")
     )
-    parts = ["region_key", "venue_key", "title_key", "program", "ref"]
+    parts = ["region_key", "venue_key", "title_key", "program", "ref", "page"]
     text = F.concat_ws(
         "\x01",
         *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in parts],
@@ -126,7 +132,7 @@ def evidence_keys(sigs: DataFrame) -> DataFrame:
     s = sigs.join(hubs, key, "left").join(own, key, "left")
     r, v = F.col("region_key"), F.col("venue_key")
     direct = F.array_compact(F.array(
-        F.when(F.col("ref").isNotNull(), _hash(F.lit("ref"), r, v, F.col("ref"))),
+        F.when(F.col("ref").isNotNull(), _hash(F.lit("ref"), r, F.col("ref"))),
         F.when(F.col("program").isNotNull(), _hash(F.lit("program"), r, v, F.col("program"))),
     ))
     known = lambda arr: F.when(F.col("venue_known"), arr).otherwise(F.array().cast("array<bigint>"))
@@ -136,11 +142,11 @@ def evidence_keys(sigs: DataFrame) -> DataFrame:
     )
     ev = F.array_distinct(F.concat(
         F.array(_hash(F.lit("title"), r, F.col("title_key"))),
-        known(F.transform("urls", lambda u: _hash(F.lit("url"), r, v, u))),
+        F.transform("urls", lambda u: _hash(F.lit("url"), r, u)),
+        F.when(F.col("page").isNotNull(), F.array(_hash(F.lit("url"), r, F.col("page")))).otherwise(F.array().cast("array<bigint>")),
         known(F.transform(hub_list, lambda h: _hash(F.lit("hub"), r, v, h))),
     ))
-    # A session without a clock only counts within one venue, so the venue is part of its slot.
-    slots = F.transform("sessions", lambda x: F.when(x.endswith(" "), _hash(x, v)).otherwise(_hash(x, F.lit(""))))
+    slots = F.transform("sessions", lambda x: _hash(x))
     return s.select("sig", "first_ord", direct.alias("direct"), ev.alias("ev"), slots.alias("slots"))
 
 
@@ -187,6 +193,8 @@ class _Cluster:
         self.first, self.created = row, at
         self.sessions, self.urls, self.refs = {}, {}, {}
         self.absorb(row, at)
+        if row.page:
+            self.urls.setdefault(row.page, at)
 
     def absorb(self, row, at):
         for have, new in ((self.sessions, row.sessions), (self.urls, row.urls), (self.refs, row.refs)):
@@ -210,20 +218,20 @@ class _Cluster:
             if a == b or (min(len(a), len(b)) >= MIN_CONTAINED and (a in b or b in a)):
                 options.append(max(self.created, min(shared)))
             else:
-                seen = [self.urls[u] for u in row.urls if u in self.urls]
+                seen = [self.urls[u] for u in [*row.urls, row.page] if u in self.urls]
                 if seen:
                     options.append(max(min(seen), min(shared)))
         return min(options) if options else None
 
 
 class _Row:
-    __slots__ = ("sig", "region_key", "venue_key", "venue_known", "title_key", "program", "refs", "sessions", "urls", "orders", "last", "merges_with_copy")
+    __slots__ = ("sig", "region_key", "venue_key", "venue_known", "title_key", "program", "refs", "sessions", "urls", "page", "orders", "last", "merges_with_copy")
 
     def __init__(self, r):
         self.sig, self.region_key, self.venue_key = r.sig, r.region_key, r.venue_key
         self.venue_known, self.title_key, self.program = bool(r.venue_known), r.title_key, r.program
         self.refs = [r.ref] if r.ref is not None else []
-        self.sessions, self.urls = list(r.sessions), list(r.urls)
+        self.sessions, self.urls, self.page = list(r.sessions), list(r.urls), r.page
         self.orders, self.last = sorted(set(r.orders)), r.last_ord
         self.merges_with_copy = self.venue_known or bool(self.refs) or bool(self.program)
 
@@ -349,7 +357,7 @@ def merged(df: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
     Long tables keep a hot cluster spread over rows instead of one wide document.
     """
     tagged = df.join(members, "ord")
-    facts = [c for c in df.columns if c not in ("ord", "sessions", "urls", "tickets")]
+    facts = [c for c in df.columns if c not in ("ord", "sessions", "urls", "page", "tickets")]
     events = tagged.groupBy("cluster").agg(F.min_by(F.struct(*facts), F.col("ord")).alias("f"), F.count("*").alias("records")).select("cluster", "f.*", "records")
     sessions = tagged.select("cluster", F.explode("sessions").alias("s")).select("cluster", "s.date", "s.time").distinct()
     refs = tagged.select("cluster", "source", "uid").distinct()

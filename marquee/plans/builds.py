@@ -100,13 +100,14 @@ def as_records(events: DataFrame) -> DataFrame:
     A dataset page describes no single event and is not evidence.
     """
     tickets = F.transform(F.coalesce("tickets", F.array()), lambda t: t["url"])
-    own = F.when((F.length("sourceUrl") > 0) & ~F.col("sourceUrl").contains(V.DATASET_MARK), F.array("sourceUrl"))
+    own = F.when((F.length("sourceUrl") > 0) & ~F.col("sourceUrl").contains(V.DATASET_MARK), F.col("sourceUrl"))
     cols = set(events.columns)
     return events.withColumns(
         {
             "uid": F.col("sourceUid"),
             "program": F.col("programKey") if "programKey" in cols else F.lit(None).cast("string"),
-            "urls": F.array_distinct(F.concat(tickets, F.coalesce(own, F.array().cast("array<string>")))),
+            "urls": F.array_distinct(tickets),
+            "page": own,
             "region": F.replace(F.col("region"), F.lit("台"), F.lit("臺")),
         }
     )

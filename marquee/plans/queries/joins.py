@@ -115,7 +115,7 @@ def reconcile_input(spark, sf):
     )
     l = B.raw_listing(spark, sf).select(
         F.col("id").alias("ord"), "source", F.col("uid").cast("string").alias("uid"), "title", "region", "venue",
-        F.lit(None).cast("string").alias("program"),
+        F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("page"),
     )
     empty = F.expr("cast(array() as array<struct<date:date,time:string>>)")
     return l.join(s.withColumnRenamed("event", "ord"), "ord", "left").withColumns({
