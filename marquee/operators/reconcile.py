@@ -150,6 +150,28 @@ def evidence_keys(sigs: DataFrame) -> DataFrame:
     return s.select("sig", "first_ord", direct.alias("direct"), ev.alias("ev"), slots.alias("slots"))
 
 
+MAX_PRODUCT = 20_000
+
+
+def _closure_hits(part_ev: DataFrame, part_x: DataFrame, node_ev: DataFrame, node_x: DataFrame, key_node: DataFrame) -> DataFrame:
+    """(p, node): a record that holds both some evidence and some session of part p.
+
+    A small part lists its evidence times its sessions and looks the keys up. A part whose product
+    is large is asked from the other side: the records that share its evidence, then its sessions.
+    """
+    size = part_ev.groupBy("p").agg(F.count("*").alias("ne")).join(part_x.groupBy("p").agg(F.count("*").alias("nx")), "p")
+    large = size.where(F.col("ne") * F.col("nx") > MAX_PRODUCT).select("p")
+    keys = (
+        part_ev.join(large, "p", "left_anti").join(part_x, "p")
+        .select("p", _hash(F.col("e"), F.col("x")).alias("key"))
+    )
+    # A match needs both halves of the key in one record: the key must exist in some record.
+    small_hits = keys.join(key_node, "key").select("p", "node")
+    sharing = node_ev.join(part_ev.join(large, "p", "left_semi"), "e").select("p", "node").distinct()
+    large_hits = sharing.join(node_x, "node").join(part_x, ["p", "x"], "left_semi").select("p", "node")
+    return small_hits.union(large_hits).distinct()
+
+
 def link_components(keys: DataFrame) -> DataFrame:
     """(node, part) of linked signatures; nodes are first orders. Steps 2 and 3."""
     base = keys.select(F.col("first_ord").alias("node"), "direct", "ev", "slots")
@@ -160,27 +182,36 @@ def link_components(keys: DataFrame) -> DataFrame:
         .distinct()
     )
     parts = components(star_edges(member))
+    # All nodes of a key lie in one part, so one node per key tells the key's part.
+    key_node = checkpointed(member.groupBy("key").agg(F.min("node").alias("node")))
+
+    # Closure: evidence of one member with a session of another. Only evidence seen in several
+    # parts can lead anywhere; parts only ever merge, so that set is computed once.
+    all_ev = base.select("node", F.explode("ev").alias("e"))
+    in_part = parts.withColumnRenamed("part", "p")
+    where = all_ev.join(in_part, "node", "left").select("e", F.coalesce("p", "node").alias("p"))
+    crossing = where.groupBy("e").agg(F.min("p").alias("_a"), F.max("p").alias("_b")).where("_a < _b").select("e")
+    node_ev = checkpointed(all_ev.join(crossing, "e", "left_semi"))
+    node_x = base.select("node", F.explode("slots").alias("x"))
+    active = in_part
     while True:
-        # Closure: evidence of one member with a session of another, for evidence seen in several parts.
-        in_part = parts.withColumnRenamed("part", "p")
-        ev = base.select("node", F.explode("ev").alias("e")).join(in_part, "node", "left").select(F.coalesce("p", "node").alias("p"), "e").distinct()
-        crossing = ev.groupBy("e").agg(F.min("p").alias("_a"), F.max("p").alias("_b")).where("_a < _b").select("e")
-        grown = parts.select("part").distinct().withColumnRenamed("part", "p")
-        part_ev = ev.join(crossing, "e", "left_semi").join(grown, "p", "left_semi")
-        part_x = base.join(in_part, "node").select("p", F.explode("slots").alias("x")).distinct()
-        # Only keys that some single record holds can link: a match needs both parts of the key in it.
-        part_keys = part_ev.join(part_x, "p").select("p", _hash(F.col("e"), F.col("x")).alias("key")).join(
-            member.select("key").distinct(), "key", "left_semi"
-        ).select("p", "key")
-        node_keys = member.join(in_part, "node", "left").select(F.coalesce("p", "node").alias("p"), "key")
-        more = checkpointed(star_edges(node_keys.union(part_keys).distinct(), node="p"))
+        # Only parts that changed last round are expanded.
+        part_ev = node_ev.join(active, "node").select("p", "e").distinct()
+        part_x = node_x.join(active, "node").select("p", "x").distinct()
+        hits = _closure_hits(part_ev, part_x, node_ev, node_x, key_node)
+        owner = parts.withColumnRenamed("part", "q")
+        more = checkpointed(
+            hits.join(owner, "node", "left").select("p", F.coalesce("q", "node").alias("q")).where("p <> q").distinct()
+        )
         if more.isEmpty():
             return parts
         # Components of the contracted graph, one node per part, then relabelled.
-        moved = components(more).select(F.col("node").alias("part"), F.col("part").alias("_to"))
+        moved = components(more.select(F.col("p").alias("u"), F.col("q").alias("v")))
+        moved = moved.select(F.col("node").alias("part"), F.col("part").alias("_to"))
         lone = moved.join(parts.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("_to").alias("part"))
         relabelled = parts.join(moved, "part", "left").select("node", F.coalesce("_to", "part").alias("part"))
         parts = checkpointed(relabelled.union(lone))
+        active = parts.join(moved.select(F.col("_to").alias("part")).distinct(), "part", "left_semi").select("node", F.col("part").alias("p"))
 
 
 # --- the scan inside one component ---------------------------------------------------------------
@@ -318,7 +349,8 @@ STEP_SCHEMA = "part bigint, kind string, sig string, at bigint, cluster bigint"
 
 def clusters(df: DataFrame, exact: bool = True) -> DataFrame:
     """(ord, cluster): cluster is the order of the cluster's first record."""
-    feat = features(df, exact)
+    # The input is read once; every later step starts from the written features.
+    feat = checkpointed(features(df, exact))
     records, sigs = signatures(feat)
     sigs = checkpointed(sigs)
     # Checkpointed once: the closure rounds read the keys several times.

@@ -108,10 +108,12 @@ def joi_06(spark, sf):
 
 def reconcile_input(spark, sf):
     """Orders as records: the customer is the title and uid, line items are sessions and pages."""
-    s = B.session(spark, sf).groupBy("event").agg(
+    owner = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event"), "o_custkey")
+    page = F.concat(F.lit("https://pages.example/"), F.col("o_custkey").cast("string"), F.lit("/"), (F.col("supp") % 7).cast("string"))
+    s = B.session(spark, sf).join(owner, "event").groupBy("event").agg(
         # Distinct sessions and pages of one order: a handful of line items.
         F.array_sort(F.collect_set(F.struct(F.col("day").alias("date"), F.col("clock").alias("time")))).alias("sessions"),
-        F.collect_set(F.when(F.col("scoped"), F.concat(F.lit("https://pages.example/p/"), F.col("part")))).alias("urls"),
+        F.collect_set(F.when(F.col("scoped"), page)).alias("urls"),
     )
     l = B.raw_listing(spark, sf).select(
         F.col("id").alias("ord"), "source", F.col("uid").cast("string").alias("uid"), "title", "region", "venue",

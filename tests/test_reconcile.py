@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from marquee.operators import components as CC, reconcile as R
@@ -57,7 +59,10 @@ def random_records(seed, n):
     return out
 
 
-def test_equals_the_sequential_scan(spark):
+@pytest.mark.parametrize("largest_product", [R.MAX_PRODUCT, 0])
+def test_equals_the_sequential_scan(spark, monkeypatch, largest_product):
+    # With 0 every part takes the way meant for large parts.
+    monkeypatch.setattr(R, "MAX_PRODUCT", largest_product)
     # Many independent inputs in one run: the region carries the number of the input.
     records = []
     for k in range(150):
