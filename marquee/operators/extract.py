@@ -198,19 +198,36 @@ def text_sessions(content: Column) -> Column:
     after = F.regexp_extract(c, r"(?s)活動日期(.*)$", 1)
     section = F.regexp_extract(after, r"(?s)^(.*?)(?:主辦單位|聯絡電話|票\s*價|$)", 1)
 
-    def one(chunk):
-        g = lambda i: F.regexp_extract(chunk, DATE_HIT, i)
-        day = F.concat_ws("-", g(1), F.lpad(g(2), 2, "0"), F.lpad(g(3), 2, "0"))
-        rest = F.regexp_replace(F.regexp_replace(chunk, "^" + DATE_HIT, ""), r"[（(][^)）]*[)）]", " ")
-        marked = F.regexp_extract(rest, r"(\d{1,2}:\d{2})\s*開演", 1)
-        plain = F.regexp_extract(rest, r"(\d{1,2}:\d{2})(?!\d|\s*開場)", 1)
-        clock = F.when(marked != "", marked).when(plain != "", plain)
-        padded = F.lpad(clock, 5, "0")
-        date = day.try_cast("date")
-        valid = date.isNotNull() & F.coalesce(D.valid_clock(padded), F.lit(True))
-        return F.struct(date.alias("date"), padded.alias("time"), valid.alias("valid"))
-
-    return F.transform(date_chunks(section), one)
+    # Staged transforms: each value is computed once and bound, not inlined at every use.
+    heads = F.transform(
+        date_chunks(section),
+        lambda c: F.struct(F.regexp_extract(c, DATE_HIT, 0).alias("head"), c.alias("chunk")),
+    )
+    rests = F.transform(
+        heads,
+        lambda h: F.struct(
+            F.substring_index(F.regexp_replace(h["head"], r"\D+", "-"), "-", 3).try_cast("date").alias("date"),
+            F.regexp_replace(F.substring(h["chunk"], F.length(h["head"]) + 1, F.length(h["chunk"])), r"[（(][^)）]*[)）]", " ").alias("rest"),
+        ),
+    )
+    clocks = F.transform(
+        rests,
+        lambda r: F.struct(
+            r["date"].alias("date"),
+            F.coalesce(
+                F.nullif(F.regexp_extract(r["rest"], r"(\d{1,2}:\d{2})\s*開演", 1), F.lit("")),
+                F.nullif(F.regexp_extract(r["rest"], r"(\d{1,2}:\d{2})(?!\d|\s*開場)", 1), F.lit("")),
+            ).alias("clock"),
+        ),
+    )
+    padded = F.transform(clocks, lambda c: F.struct(c["date"].alias("date"), F.lpad(c["clock"], 5, "0").alias("time")))
+    return F.transform(
+        padded,
+        lambda p: F.struct(
+            p["date"].alias("date"), p["time"].alias("time"),
+            (p["date"].isNotNull() & F.coalesce(D.valid_clock(p["time"]), F.lit(True))).alias("valid"),
+        ),
+    )
 
 
 def labelled_field(content: Column, label: str, stop: str, limit: int = 160) -> Column:

@@ -21,10 +21,10 @@ def inc_01(spark, sf):
     last = daily.groupBy("id").agg(
         F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.max_by(F.struct("title", "price"), "day").alias("v")
     )
-    top = daily.agg(F.max("day").alias("top"))
-    return last.join(rev, "id", "left").join(top, F.lit(True)).select(
+    top = daily.agg(F.max("day")).scalar()
+    return last.join(rev, "id", "left").select(
         "id", "first_seen", "last_seen", F.coalesce("revisions", F.lit(0)).alias("revisions"), "v.title", "v.price",
-        (F.col("last_seen") < F.col("top")).alias("missing"),
+        (F.col("last_seen") < top).alias("missing"),
     )
 
 
@@ -41,8 +41,8 @@ SELECT id, day, status, CASE WHEN nd IS NULL AND day < (SELECT max(day) FROM sna
 @query("inc_02_status_machine", STATUS_SQL)
 def inc_02(spark, sf):
     daily = B.snap(spark, sf).withColumn("open_until", F.date_add("day", F.floor(F.col("price") / 10).cast("int")))
-    top = daily.agg(F.max("day").alias("top"))
-    out = P.status_history(daily.join(top, F.lit(True)), "id", "day", "title", F.col("open_until"), F.col("top"))
+    top = daily.agg(F.max("day")).scalar()
+    out = P.status_history(daily, "id", "day", "title", F.col("open_until"), top)
     return out.select("id", "day", "status", "final_status")
 
 
