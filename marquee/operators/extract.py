@@ -48,7 +48,8 @@ def anchors(df: DataFrame, page_url: str, html: str, keep: list[str]) -> DataFra
     """ext_02: one row per anchor with its href, absolute URL and cleaned text."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1))
     texts = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(2))
-    rows = df.select(*keep, page_url, F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("label"))).alias("pos", "a"))
+    # Outer form: a plain explode would scan the page again in an inferred filter.
+    rows = df.select(*keep, page_url, F.posexplode_outer(F.arrays_zip(hrefs.alias("href"), texts.alias("label"))).alias("pos", "a")).where("pos IS NOT NULL")
     href = T.unescape_named(F.col("a.href"))
     return rows.select(
         *keep, page_url, "pos", href.alias("href"), U.absolute(F.col(page_url), href).alias("url"),
@@ -105,8 +106,8 @@ def json_ld_events(df: DataFrame, html: str, key: list[str]) -> DataFrame:
 
     Blocks that are not JSON are skipped; a block may be one object or a list.
     """
-    blocks = df.select(*key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(JSON_LD), F.lit(1))).alias("block", "text"))
-    parsed = blocks.select(*key, "block", F.try_parse_json("text").alias("v")).where("v IS NOT NULL")
+    blocks = df.select(*key, F.posexplode_outer(F.regexp_extract_all(F.col(html), F.lit(JSON_LD), F.lit(1))).alias("block", "text"))
+    parsed = blocks.select(*key, "block", F.try_parse_json("text").alias("v")).where("block IS NOT NULL AND v IS NOT NULL")
     as_list = parsed.select(
         *key, "block",
         F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
@@ -195,8 +196,9 @@ def text_sessions(content: Column) -> Column:
     marked as the start wins over the first plain clock.
     """
     c = F.replace(content, F.lit("："), F.lit(":"))
-    after = F.regexp_extract(c, r"(?s)活動日期(.*)$", 1)
-    section = F.regexp_extract(after, r"(?s)^(.*?)(?:主辦單位|聯絡電話|票\s*價|$)", 1)
+    # Splits read the text once; a text without the label has no dates.
+    after = F.coalesce(F.get(F.split(c, "活動日期", 2), F.lit(1)), F.lit(""))
+    section = F.get(F.split(after, r"主辦單位|聯絡電話|票\s*價", 2), F.lit(0))
 
     # Staged transforms: each value is computed once and bound, not inlined at every use.
     heads = F.transform(

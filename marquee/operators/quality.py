@@ -79,7 +79,9 @@ def overall(verdicts: DataFrame) -> DataFrame:
 def violations(df: DataFrame, rules: dict[str, Column], id_col: str = "id") -> DataFrame:
     """chk_*: one row per broken rule. A rule that evaluates to NULL counts as not broken."""
     broken = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()])
-    return df.select(F.col(id_col), F.explode(F.array_compact(broken)).alias("violation"))
+    # The outer form with a later filter: a plain explode makes the optimizer evaluate the whole
+    # array again in an inferred "not empty" filter.
+    return df.select(F.col(id_col), F.explode_outer(F.array_compact(broken)).alias("violation")).where("violation IS NOT NULL")
 
 
 def duplicates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -91,7 +93,8 @@ def leak_scan(df: DataFrame, text: Column, keys: list[str] | None = None, patter
     """chk_05: rows matched per leak pattern, whole texts, one scan."""
     hits = F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in (patterns or V.LEAK_PATTERNS).items()])
     return (
-        df.select(*(keys or []), F.explode(F.array_compact(hits)).alias("pattern"))
+        df.select(*(keys or []), F.explode_outer(F.array_compact(hits)).alias("pattern"))
+        .where("pattern IS NOT NULL")
         .groupBy(*(keys or []), "pattern")
         .agg(F.count("*").alias("n"))
     )
