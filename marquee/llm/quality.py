@@ -18,7 +18,8 @@ from marquee.llm.common import mapped
 #: Labelled rows used for fitting, those of the smallest hashes of doc_id; the rest is only scored.
 SAMPLE = 12_000
 BINS = 512
-DIMS = 256 + BINS + 8
+DIMS = 256 + BINS + 10
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LONG = 1 << 20
 
 
@@ -42,17 +43,18 @@ def features(text: str | None) -> np.ndarray:
     out[256 + BINS :] = [
         np.log1p(n) / 10, len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines), len(words) / n * 4,
         upper / n, mark / n, counts[48:58].sum() / n, np.log1p(n / len(lines)) / 10,
+        np.sqrt(sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))), np.sqrt(sum(not w.strip(MARKS) for w in words) / max(1, len(words))),
     ]
     return out
 
 
-def prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.02) -> float:
+def prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 0.25) -> float:
     """Share of positives in the unlabelled scores: the least ratio of upper tails, with room for noise."""
     p, u = np.sort(positive), np.sort(unlabelled)
     cuts = np.quantile(p, np.linspace(0, 0.9, 91))
     tail_p = 1 - np.searchsorted(p, cuts, "left") / len(p)
     tail_u = 1 - np.searchsorted(u, cuts, "left") / len(u)
-    noise = delta * np.sqrt(10_000 / len(u)) / np.sqrt(np.maximum(tail_p, 1e-9)) * 0.5
+    noise = margin / np.sqrt(len(u) * np.maximum(tail_p, 1e-9))
     return float(np.clip(np.min(tail_u / np.maximum(tail_p, 1e-9) + noise), 0.02, 0.99))
 
 
