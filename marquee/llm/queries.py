@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import licences, packing, quality, repair, simhash, toxicity
+from marquee.llm import embeddings, fmindex, licences, packing, quality, repair, simhash, suffixes, tiling, toxicity
 from marquee.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -13,6 +13,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
+@query("op3_embeddings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -28,6 +38,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.covered(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_token_files")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = repair.folder(spark, "token-files")
@@ -38,3 +53,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_licences", licences.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.removed(table(spark, sf_dir, "documents"))
