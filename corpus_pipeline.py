@@ -1,13 +1,15 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. Rows
+without doc_id can't be named by a decision: they pass the quality stage by their score and leave at
+the near-duplicate stage. Columns beyond those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm import quality, simhash
+from marquee.llm import packing, quality, simhash, suffixes, tiling
 from marquee.llm.common import table
 from marquee.llm.repair import folder
 
@@ -22,11 +24,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of every SimHash component."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("quality", quality_stage), ("simhash", near_duplicate_stage)]
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds; emptied ones stay, as empty texts."""
+    return suffixes.kept_texts(docs, ["lang", "source"]).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item by half or more."""
+    leaks = tiling.covered(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document that is left."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", suffix_stage),
+    ("benchmark_leaks", leak_stage),
+    ("packing", packing_stage),
+]
+#: The learned stage and the transforms have no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 

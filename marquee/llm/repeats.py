@@ -280,8 +280,7 @@ def _resolve(frame: pd.DataFrame, index: Callable, size: int) -> pd.DataFrame:
 
 
 def covered(frame: pd.DataFrame, back: pd.DataFrame, unit):
-    """Step 4: (doc_id, raw bytes, word spans, unit count, mask of covered units) of a source's documents."""
-    frame = _sorted(frame)
+    """Step 4: (doc_id, raw bytes, word spans, unit count, mask of covered units) of a source's sorted documents."""
     doc_ids = frame["doc_id"].to_numpy(np.int64)
     spots = [np.frombuffer(p, "<i4").reshape(-1, 3) for p in back["places"] if p is not None]
     spots = spots[0].astype(np.int64) if spots else np.empty((0, 3), np.int64)
@@ -310,16 +309,17 @@ def covered(frame: pd.DataFrame, back: pd.DataFrame, unit):
         base += len(lot)
 
 
-def marked(docs: DataFrame, unit, index: Callable, make: Callable, schema: str) -> DataFrame:
+def marked(docs: DataFrame, unit, index: Callable, make: Callable, schema: str, beside: list[str] = ()) -> DataFrame:
     """``make(doc_id, raw, spans, mask)`` rows of all documents with a doc_id.
 
-    ``docs`` has doc_id and text. Null texts are empty.
+    ``docs`` has doc_id and text. Null texts are empty. Columns ``beside`` come along unchanged.
     """
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sources, shards = max(1, total // SOURCE_BYTES), max(1, total // SHARD_BYTES)
-    sourced = rows.withColumn("src", F.pmod(F.xxhash64("doc_id"), F.lit(sources)).cast("int"))
+    src = F.pmod(F.xxhash64("doc_id"), F.lit(sources)).cast("int").alias("src")
+    sourced = rows.select("doc_id", "text", src)
     columns = [c.split()[0] for c in schema.split(", ")]
 
     announced = sourced.groupBy("src").applyInPandas(lambda f: _announce(f, unit, sources), "bucket int, src int, keys binary, seen binary")
@@ -332,10 +332,16 @@ def marked(docs: DataFrame, unit, index: Callable, make: Callable, schema: str)
         sent.where("kind = 1").select("src", "g", F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("values"), "places")
     )
 
+    extra = docs.select(*beside)
+    schema = ", ".join([schema, *[f"{n} {t}" for n, t in extra.dtypes]])
+    told = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", src, *beside)
+
     def finish(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([make(*x) for x in covered(a, b, unit)] if len(a) else [], columns=columns)
+        a = _sorted(a)
+        out = pd.DataFrame([make(*x) for x in covered(a, b, unit)] if len(a) else [], columns=columns)
+        return out.assign(**{c: a[c] for c in beside}) if len(a) else out.reindex(columns=[*columns, *beside])
 
-    return sourced.groupBy("src").cogroup(back.groupBy("src")).applyInPandas(finish, schema)
+    return told.groupBy("src").cogroup(back.groupBy("src")).applyInPandas(finish, schema)
 
 
 def sha(raw: bytes) -> str:

@@ -104,8 +104,8 @@ def removed(docs: DataFrame) -> DataFrame:
     return found.union(whole)
 
 
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept) of every document with a doc_id: the text without removed bytes.
+def kept_texts(docs: DataFrame, beside: list[str] = ()) -> DataFrame:
+    """(doc_id, kept, columns ``beside``) of every document with a doc_id: the text without removed bytes.
 
     A character of several bytes stays if any of them does.
     """
@@ -113,8 +113,8 @@ def kept_texts(docs: DataFrame) -> DataFrame:
     def make(doc_id, raw, _, mask):
         b = np.frombuffer(raw, np.uint8)
         lead = np.flatnonzero((b & 0xC0) != 0x80)
-        gone = np.minimum.reduceat(mask, lead) if len(lead) else mask[:0]
+        gone = np.logical_and.reduceat(mask, lead) if len(lead) else mask[:0]
         keep = ~np.repeat(gone, np.diff(np.append(lead, len(b))))
         return doc_id, b[keep].tobytes().decode("utf-8", "replace")
 
-    return marked(docs, Bytes, repeated, make, "doc_id long, kept string")
+    return marked(docs, Bytes, repeated, make, "doc_id long, kept string", beside)

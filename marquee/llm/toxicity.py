@@ -19,6 +19,8 @@ from marquee.llm.common import mapped
 #: Labelled rows for fitting, those of the smallest hashes of doc_id.
 SAMPLE = 12_000
 GRADES = 4
+#: Toxic rows that a telling feature is in at least, and the log of how much more frequent it is there.
+LEAST, ODDS = 8, 2.5
 MARKS = ".,!?;:|%$#&*\"'()[]{}<>-_"
 PREFIXES = (4, 5, 6)
 
@@ -35,7 +37,7 @@ def terms(text: str | frozenset | None) -> set[str] | frozenset:
     return words | {f"{w[:n]}~" for w in words for n in PREFIXES if len(w) > n}
 
 
-def _telling(texts: list[str | None], toxic: np.ndarray, least: int = 8, odds: float = 2.5) -> dict[str, int]:
+def _telling(texts: list[str | None], toxic: np.ndarray, least: int = LEAST, odds: float = ODDS) -> dict[str, int]:
     """Features at least ``exp(odds)`` times as frequent in toxic rows, by rank."""
     yes, no = Counter(), Counter()
     n_yes, n_no = int(toxic.sum()), int((~toxic).sum())
@@ -110,11 +112,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    # Only the terms that toxic rows repeat travel; texts of the sample stay on the executors.
+    # Only the telling terms of the sample reach the driver.
     own = mapped(rows, lambda f: pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "t": [" ".join(sorted(terms(t))) for t in f["text"]]}), "doc_id long, toxic int, t string")
     each = own.select("doc_id", "toxic", F.explode(F.split("t", " ")).alias("t"))
-    often = each.where("toxic = 1").groupBy("t").agg(F.count("*").alias("n")).where("n >= 8").select("t")
-    small = each.join(often, "t").groupBy("doc_id", "toxic").agg(F.array_join(F.sort_array(F.collect_list("t")), " ").alias("t"))
+    n = chosen.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("yes"), F.sum((F.col("toxic") != 1).cast("long")).alias("no")).first()
+    yes, no = F.sum((F.col("toxic") == 1).cast("long")), F.sum((F.col("toxic") != 1).cast("long"))
+    lift = F.log((F.col("yes") + 0.5) / ((n["yes"] or 0) + 1) / ((F.col("no") + 0.5) / ((n["no"] or 0) + 1)))
+    telling = each.groupBy("t").agg(yes.alias("yes"), no.alias("no")).where((F.col("yes") >= LEAST) & (lift >= ODDS)).select("t")
+    small = each.join(telling, "t").groupBy("doc_id", "toxic").agg(F.array_join(F.sort_array(F.collect_list("t")), " ").alias("t"))
     got = chosen.join(small.select("doc_id", "t"), "doc_id", "left").orderBy("doc_id").toPandas()
     texts = [frozenset((t or "").split(" ")) - {""} for t in got["t"].where(got["t"].notna(), None)]
     return learn(texts, (got["toxic"] == 1).to_numpy(bool))
