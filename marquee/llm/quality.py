@@ -62,14 +62,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _adam(x: np.ndarray, gradient, steps: int, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
+def _adam(x: np.ndarray, gradient, steps: int, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+    """Mean of the last third of the steps, as the risk's switch keeps single steps moving."""
+    mean = np.zeros(x.shape[1] + 1)
     w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, steps + 1):
         part = gradient(x @ w[:-1].astype(np.float32) + w[-1])
         g = np.append(x.T @ part.astype(np.float32), part.sum()) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+        if t > steps - steps // 3:
+            mean += w / (steps // 3)
+    return mean
 
 
 class Model:
