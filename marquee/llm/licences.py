@@ -67,7 +67,7 @@ def _anchored(text: Column) -> Column:
 def _found(flow: Column) -> Column:
     """Identifiers of the known sentences of lower-case text, in order, as ``<a><b>``."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    sentences = F.filter(F.split(F.regexp_replace(flow, "([.!?;:])[ \\t]+", "$1\n"), "\n"), _anchored)
+    sentences = F.filter(F.split(F.regexp_replace(flow, "([.!?])[ \\t]+", "$1\n"), "\n"), _anchored)
     named = F.transform(sentences, lambda s: F.element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
     return F.array_join(F.transform(F.filter(named, lambda i: i.isNotNull()), lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
 
@@ -96,7 +96,7 @@ def _sql() -> str:
 WITH known(sentence, id) AS (VALUES {known}), rules(licence, rule) AS (VALUES {rules}),
 texts AS (SELECT row_number() OVER () AS row, doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
 readings AS (SELECT row, doc_id, 1 AS reading, t FROM texts UNION ALL SELECT row, doc_id, 2, regexp_replace(t, '\\s+', ' ', 'g') FROM texts),
-cut AS (SELECT row, doc_id, reading, string_split(regexp_replace(t, '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM readings),
+cut AS (SELECT row, doc_id, reading, string_split(regexp_replace(t, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM readings),
 each AS (SELECT row, doc_id, reading, unnest(s) AS s, generate_subscripts(s, 1) AS n FROM cut),
 named AS (SELECT row, doc_id, reading, n, id FROM each JOIN known ON trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) = sentence),
 found AS (SELECT row, doc_id, reading, string_agg('<' || id || '>', '' ORDER BY n) AS ids, count(*) AS k FROM named GROUP BY ALL),
