@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from marquee.llm.repeats import Words, marked, sha
-from marquee.llm.words import span_keys, spans
+from marquee.llm.words import CODES, span_keys, spans
 
 
 class Wavelet:
@@ -86,7 +86,7 @@ def repeated(texts: list[bytes], low: np.ndarray, size: int = Words.size) -> tup
     raw = b"\n".join(texts) + b"\n"
     b = np.frombuffer(raw, np.uint8)
     starts, stops = spans(b)
-    keys = span_keys(b, starts, stops)
+    keys = span_keys(CODES[b], starts, stops)
     limits = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     counts = np.diff(np.searchsorted(starts, limits), prepend=0)
     number = np.unique(keys, return_inverse=True)[1] + 1

@@ -16,15 +16,15 @@ it; equal windows have equal minimizers. Consecutive windows with one minimizer
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from marquee.llm.repair import folder
-from marquee.llm.words import CHUNK, STEP, keyed, lots, mix, run_keys
+from marquee.llm.words import CODES, STEP, keyed, lots, mix, run_keys, span_keys
 
 #: Bytes of text of a source, and of runs of a shard; memory of a task follows them, not the input.
 SOURCE_BYTES = 8 << 20
@@ -45,7 +45,7 @@ class Bytes:
 
     @classmethod
     def lots(cls, raws):
-        """(texts, unit counts, hash of the gram at every unit) of a lot of texts."""
+        """(texts, unit counts, hash of the gram at every unit, word spans, code of every unit) of a lot of texts."""
         for lot in lots(raws):
             data = b"".join(lot) + bytes(cls.gram + 8)
             n = len(data) - cls.gram - 8
@@ -54,7 +54,7 @@ class Bytes:
                 part = np.frombuffer(data, "<u8", count=(len(data) - r) // 8, offset=r)
                 eight[r::8] = part[: len(eight[r::8])]
             h = mix(eight[:n] * np.uint64(STEP) + mix(eight[8 : n + 8]))
-            yield lot, np.fromiter(map(len, lot), np.int64, len(lot)), h, None
+            yield lot, np.fromiter(map(len, lot), np.int64, len(lot)), h, None, CODES[np.frombuffer(data, np.uint8, n)]
 
     @staticmethod
     def cut(raw: bytes, spans, a: int, b: int) -> bytes:
@@ -82,7 +82,7 @@ class Words:
             h = np.zeros(len(keys), np.uint64)
             grams = run_keys(keys, cls.gram)
             h[: len(grams)] = grams
-            yield lot, np.array(counts, np.int64), h, spans
+            yield lot, np.array(counts, np.int64), h, spans, keys
 
     @staticmethod
     def cut(raw: bytes, spans, a: int, b: int) -> bytes:
@@ -143,12 +143,13 @@ def _unpack(raw: bytes) -> np.ndarray:
 class _Source:
     """Runs of one source's documents, in the fixed order."""
 
-    def __init__(self, frame: pd.DataFrame, unit):
+    def __init__(self, frame: pd.DataFrame, unit, named: bool = False):
+        """``named``: with a key of every run's text, and of its first window."""
         frame = _sorted(frame)
         self.doc_ids = frame["doc_id"].to_numpy(np.int64)
-        doc, start, windows, keys, self.raws, self.spans, self.counts = [], [], [], [], [], [], []
+        doc, start, windows, keys, names, self.raws, self.spans = [], [], [], [], [], [], []
         base = 0
-        for lot, counts, h, spans in unit.lots(_raws(frame)):
+        for lot, counts, h, spans, codes in unit.lots(_raws(frame)):
             first, n, key = runs(h, counts, unit.size, unit.gram)
             ends = np.cumsum(counts)
             own = np.searchsorted(ends, first, side="right")
@@ -156,12 +157,14 @@ class _Source:
             start.append(first - (ends - counts)[own])
             windows.append(n)
             keys.append(key)
+            if named:
+                names.append(span_keys(codes, first, first + n - 1 + unit.size))
             self.raws += lot
             self.spans += spans if spans is not None else [None] * len(lot)
-            self.counts += counts.tolist()
             base += len(lot)
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         self.doc, self.start, self.windows, self.keys = join(doc, np.int64), join(start, np.int64), join(windows, np.int64), join(keys, np.uint64)
+        self.names = join(names, np.uint64)
 
 
 def _announce(frame: pd.DataFrame, unit, buckets: int) -> pd.DataFrame:
@@ -199,6 +202,14 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["src", "bucket", "repeated", "hot"])
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _expand(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 SENT = "kind int, src int, g int, texts binary, lengths binary, low binary, places binary"
 
 
@@ -207,46 +218,44 @@ def _send(frame: pd.DataFrame, answers: pd.DataFrame, unit, shards: int) -> pd.D
     columns = [c.split()[0] for c in SENT.split(", ")]
     if not len(frame) or not len(answers):
         return pd.DataFrame(columns=columns)
-    own = _Source(frame, unit)
+    own = _Source(frame, unit, named=True)
     src = int(frame["src"].iloc[0])
     keys, inverse = np.unique(own.keys, return_inverse=True)
     answers = answers.sort_values("bucket")
-    bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(answers[c], size)]).astype(bool)
     size = np.bincount(_bucket(keys, int(answers["buckets"].iloc[0])))
     size = size[size > 0]
+    bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(answers[c], size)]).astype(bool)
     repeated, hot = bits("repeated")[inverse], bits("hot")[inverse]
-    texts: dict[bytes, int] = {}
-    of: list[int] = []
-    g: list[int] = []
-    low: list[int] = []
-    places: list[tuple[int, int, int]] = []
-    shard = _bucket(mix(own.keys), shards)
-    for i in np.flatnonzero(repeated).tolist():
-        d, a, n = int(own.doc[i]), int(own.start[i]), int(own.windows[i])
-        raw, spans, doc_id = own.raws[d], own.spans[d], int(own.doc_ids[d])
-        for first, many in [(a + k, 1) for k in range(n)] if hot[i] else [(a, n)]:
-            text = unit.cut(raw, spans, first, first + many - 1 + unit.size)
-            at = texts.get(text)
-            if at is None:
-                texts[text] = at = len(low)
-                g.append(zlib.crc32(text) % shards if hot[i] else int(shard[i]))
-                low.append(doc_id)
-            elif doc_id < low[at]:
-                low[at] = doc_id
-            places.append((d, first, at))
-    names = list(texts)
-    order = np.argsort(np.array(g, np.int64), kind="stable")
-    group = np.array(g, np.int64)[order]
+    plain, split = np.flatnonzero(repeated & ~hot), np.flatnonzero(repeated & hot)
+    # A hot run becomes windows, each a text of its own.
+    many = own.windows[split]
+    each = np.repeat(split, many)
+    step = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    run = np.concatenate([plain, each])
+    start = np.concatenate([own.start[plain], own.start[each] + step])
+    stop = start + np.concatenate([own.windows[plain], np.ones(len(each), np.int64)]) - 1 + unit.size
+    cut = lambda i: unit.cut(own.raws[own.doc[run[i]]], own.spans[own.doc[run[i]]], int(start[i]), int(stop[i]))
+    name = own.names[run].copy()
+    shard = _bucket(mix(own.keys[run]), shards)
+    window_texts = [cut(i) for i in range(len(plain), len(run))]
+    digest = np.fromiter((int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in window_texts), np.uint64, len(window_texts))
+    name[len(plain) :] = digest
+    shard[len(plain) :] = _bucket(digest, shards)
+    _, first, of = np.unique(name, return_index=True, return_inverse=True)
+    low = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, own.doc_ids[own.doc[run]])
+    group = shard[first]
+    order = np.argsort(group, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
+    group = group[order]
     rows = []
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
     for lo, hi in zip(edge, np.append(edge[1:], len(group))):
-        chosen = [names[k] for k in order[lo:hi]]
-        rows.append((0, src, int(group[lo]), b"".join(chosen), np.fromiter(map(len, chosen), "<u4", len(chosen)).tobytes(), np.array([low[k] for k in order[lo:hi]], "<i8").tobytes(), None))
-    spots = np.array(places, np.int64).reshape(-1, 3)
-    spots[:, 2] = rank[spots[:, 2]]
-    rows.append((1, src, -1, None, None, None, spots.astype("<i4").tobytes()))
+        chosen = [cut(i) for i in first[order[lo:hi]]]
+        rows.append((0, src, int(group[lo]), _squeeze(b"".join(chosen)), np.fromiter(map(len, chosen), "<u4", len(chosen)).tobytes(), low[order[lo:hi]].astype("<i8").tobytes(), None))
+    spots = np.stack([own.doc[run], start, rank[of]], axis=1)
+    rows.append((1, src, -1, None, None, None, _squeeze(spots.astype("<i4").tobytes())))
     return pd.DataFrame(rows, columns=columns)
 
 
@@ -260,6 +269,7 @@ def _resolve(frame: pd.DataFrame, index: Callable, size: int) -> pd.DataFrame:
     split = []
     for raw, lengths, low in zip(frame["texts"], frame["lengths"], frame["low"]):
         ends = np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64))
+        raw = _expand(raw)
         own = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         split.append(own)
         for text, doc in zip(own, np.frombuffer(low, "<i8").tolist()):
@@ -275,18 +285,18 @@ def _resolve(frame: pd.DataFrame, index: Callable, size: int) -> pd.DataFrame:
         n = ends[pick] - starts[pick]
         stop = np.cumsum(n)
         values = found[np.arange(stop[-1]) + np.repeat(starts[pick] - (stop - n), n)]
-        rows.append((src, g, n.astype("<u2").tobytes(), values.astype("<i8").tobytes()))
+        rows.append((src, g, n.astype("<u2").tobytes(), _squeeze(values.astype("<i8").tobytes())))
     return pd.DataFrame(rows, columns=["src", "g", "n", "values"])
 
 
 def covered(frame: pd.DataFrame, back: pd.DataFrame, unit):
     """Step 4: (doc_id, raw bytes, word spans, unit count, mask of covered units) of a source's sorted documents."""
     doc_ids = frame["doc_id"].to_numpy(np.int64)
-    spots = [np.frombuffer(p, "<i4").reshape(-1, 3) for p in back["places"] if p is not None]
+    spots = [np.frombuffer(_expand(p), "<i4").reshape(-1, 3) for p in back["places"] if p is not None]
     spots = spots[0].astype(np.int64) if spots else np.empty((0, 3), np.int64)
     back = back[back["g"] >= 0].sort_values("g")
     n = np.frombuffer(b"".join(back["n"]), "<u2").astype(np.int64)
-    values = np.frombuffer(b"".join(back["values"]), "<i8")
+    values = np.frombuffer(b"".join(map(_expand, back["values"])), "<i8")
     starts = np.cumsum(n) - n
     many = n[spots[:, 2]]
     stop = np.cumsum(many)
@@ -299,7 +309,7 @@ def covered(frame: pd.DataFrame, back: pd.DataFrame, unit):
     doc, window = doc[order], window[order]
     cuts = np.searchsorted(doc, np.arange(len(doc_ids) + 1))
     base = 0
-    for lot, counts, _, spans in unit.lots(_raws(frame)):
+    for lot, counts, _, spans, _ in unit.lots(_raws(frame)):
         for k, raw in enumerate(lot):
             own = window[cuts[base + k] : cuts[base + k + 1]]
             edge = np.zeros(int(counts[k]) + 1, np.int64)

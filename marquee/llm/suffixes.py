@@ -14,68 +14,125 @@ from pyspark.sql import DataFrame, functions as F
 
 from marquee.llm.repeats import Bytes, marked, sha
 
-PARTS = 4
+PARTS = 2
+#: Symbols that one number of the dictionary stands for, and numbers that one sort key holds.
+GRAM, DIGITS = 8, 21
 
 
-def transform(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of all suffixes by their first ``depth`` symbols, the two symbols before each) of a part.
+def grams(body: np.ndarray, depth: int) -> np.ndarray:
+    """Number of the eight symbols at every place, in their order; zeros follow the end."""
+    data = np.concatenate([body, np.zeros(depth + 3 * GRAM, np.uint8)]).tobytes()
+    n = len(body) + depth + 2 * GRAM
+    eight = np.empty(n, np.uint64)
+    for r in range(8):
+        part = np.frombuffer(data, ">u8", count=(n - r + 7) // 8, offset=r)
+        eight[r::8] = part
+    return np.unique(eight, return_inverse=True)[1]
+
+
+def _ranked(high: np.ndarray, middle: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of triples of numbers; equal triples have equal ranks."""
+    if max(int(high.max()), int(middle.max()), int(low.max())) < 1 << DIGITS:
+        key = (high << 2 * DIGITS) | (middle << DIGITS) | low
+        order = np.argsort(key)
+        fresh = np.diff(key[order]) != 0
+    else:
+        order = np.lexsort((low, middle, high))
+        fresh = np.diff(high[order]) | np.diff(middle[order]) | np.diff(low[order])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(fresh != 0)])
+    return order, rank
+
+
+def transform(body: np.ndarray, number: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of all suffixes by ``depth`` symbols or more, the two symbols before each) of a part.
 
-    Symbol 0 ends a text; bytes are shifted up by one, as UTF-8 never uses the topmost. Beyond an end
-    symbol the order doesn't matter.
+    Symbol 0 ends a text. Beyond an end symbol the order doesn't matter.
     """
-    body = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)
-    n = len(body)
-    data = np.concatenate([body, np.zeros(depth + 16, np.uint8)]).tobytes()
-    eight = np.empty(n + depth + 8, np.uint64)
-    for r in range(8):
-        part = np.frombuffer(data, ">u8", count=(len(data) - r) // 8, offset=r)
-        eight[r::8] = part[: len(eight[r::8])]
-    order = np.arange(n)
-    for at in range((depth - 1) // 8 * 8, -1, -8):  # stable passes by eight symbols, from the last
-        order = order[np.argsort(eight[order + at], kind="stable")]
+    n, span = len(body), GRAM
+    rank = number[: n + depth + GRAM]
+    order = np.argsort(rank[:n])
+    while span < depth:
+        a, b = min(span, depth - span), min(2 * span, depth - span)
+        m = len(rank) - b
+        order, rank = _ranked(rank[:m], rank[a : a + m], rank[b : b + m])
+        span += b
+    order = order[order < n]
     pair = np.roll(body, 2).astype(np.uint16) << np.uint16(8) | np.roll(body, 1)
     return order, pair[order]
 
 
-def merge(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def first_interleave(numbers: list[np.ndarray], orders: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(part of every suffix, group, depth) by the leading grams of the parts' sorted suffixes.
+
+    The parts are sorted, so this is a merge of sorted lists. For a depth of few grams the parts just
+    follow one another, at depth 0.
+    """
+    if depth < 3 * GRAM:
+        of = np.repeat(np.arange(len(orders), dtype=np.uint8), [len(x) for x in orders])
+        return of, np.zeros(len(of), np.int64), 0
+    small = max(int(x.max()) for x in numbers) < 1 << DIGITS
+    lists = []
+    for x, order in zip(numbers, orders):
+        key = x[order]
+        lists.append((key << 2 * DIGITS) | (x[order + GRAM] << DIGITS) | x[order + 2 * GRAM] if small else key)
+    key = np.concatenate(lists)
+    turn = np.argsort(key, kind="stable")
+    of = np.repeat(np.arange(len(lists), dtype=np.uint8), [len(x) for x in lists])[turn]
+    key = key[turn]
+    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    return of, group, 3 * GRAM if small else GRAM
+
+
+def merge(before: list[np.ndarray], of: np.ndarray, group: np.ndarray, reached: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the parts' transforms and the first place of every group with ``depth`` equal symbols.
 
-    ``parts`` hold the two symbols before each suffix in the part's order. The interleave names the
-    part of every suffix of the merged order; a part's own suffixes keep their order in it.
+    ``before`` are the two symbols before each suffix in a part's order. The interleave names the part
+    of every suffix in the merged order; a part's own suffixes keep their order in it.
     """
-    total = sum(map(len, parts))
-    of = np.repeat(np.arange(len(parts), dtype=np.uint8), [len(p) for p in parts])
-    group = np.zeros(total, np.int32)
+    total = len(of)
+    state = (group.astype(np.int64) << 8) | of
     symbols = np.empty(total, np.uint16)
-    for _ in range(-(-depth // 2)):
-        for k, before in enumerate(parts):
-            symbols[of == k] = before
+    new = np.empty(total, bool)
+    while True:
+        of = (state & 255).astype(np.uint8)
+        if reached >= depth:
+            break
+        for k, own in enumerate(before):
+            symbols[of == k] = own
         turn = np.argsort(symbols, kind="stable")
-        of, group, lead = of[turn], group[turn], symbols[turn]
-        new = np.empty(total, bool)
+        state = state[turn]
+        group = state >> 8
         new[:1] = True
         np.not_equal(group[1:], group[:-1], out=new[1:])
-        new[1:] |= lead[1:] != lead[:-1]
-        group = np.cumsum(new, dtype=np.int32)
-    return of, np.flatnonzero(np.diff(group, prepend=0))
+        lead = np.cumsum(np.bincount(symbols))
+        new[lead[lead < total]] = True
+        state = (np.cumsum(new) << 8) | (state & 255)
+        reached += 2
+    group = state >> 8
+    return of, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
 
 
 def repeated(texts: list[bytes], low: np.ndarray, size: int = Bytes.size) -> tuple[np.ndarray, np.ndarray]:
-    """(least ``low`` over all texts that hold the window, of every window of every text; ends by text)."""
+    """(least ``low`` over all texts that hold the window, of every window of every text; ends by text).
+
+    ``size`` is even, as a pass sorts by two symbols.
+    """
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     limits = np.linspace(0, int((n + 1).sum()), PARTS + 1)[1:-1]
     cuts = [0, *np.searchsorted(np.cumsum(n + 1), limits).tolist(), len(texts)]
     spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
-    orders, before, base = [], [], 0
-    for a, b in spans:
-        order, pair = transform(texts[a:b], size)
-        orders.append(order + base)
-        before.append(pair)
-        base += len(order)
-    of, edge = merge(before, size)
+    # Symbols are bytes shifted up by one, as UTF-8 never uses the topmost; 0 ends a text.
+    bodies = [np.frombuffer(b"\xff".join(texts[a:b]) + b"\xff", np.uint8) + np.uint8(1) for a, b in spans]
+    rooms = np.cumsum([0] + [len(x) + size + 2 * GRAM for x in bodies])
+    number = grams(np.concatenate([np.concatenate([x, np.zeros(size + 2 * GRAM, np.uint8)]) for x in bodies]), 0)
+    numbers = [number[a:b] for a, b in zip(rooms, rooms[1:])]
+    orders, before = zip(*[transform(x, k, size) for x, k in zip(bodies, numbers)])
+    of, edge = merge(list(before), *first_interleave(numbers, orders, size), size)
+    base = len(of)
     place = np.empty(base, np.int64)
-    for k, order in enumerate(orders):
-        place[of == k] = order
+    for k, (order, x) in enumerate(zip(orders, bodies)):
+        place[of == k] = order + sum(map(len, bodies[:k]))
     text = np.repeat(np.arange(len(texts)), n + 1)
     least = np.minimum.reduceat(low[text[place]], edge)
     value = np.empty(base, np.int64)

@@ -40,10 +40,10 @@ def spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[::2], turn[1::2]
 
 
-def span_keys(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Key of every span; equal bytes give equal keys, wherever they stand."""
-    up, down = powers(len(b))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODES[b] * up[: len(b)], dtype=np.uint64)])
+def span_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Key of every span of 64-bit codes; equal spans give equal keys, wherever they stand."""
+    up, down = powers(len(codes))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -74,7 +74,7 @@ def keyed(raws: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np
     data = b"\n".join(raws) + b"\n"
     b = np.frombuffer(data, np.uint8)
     starts, ends = spans(b)
-    keys = span_keys(b, starts, ends)
+    keys = span_keys(CODES[b], starts, ends)
     at = 0
     lo = 0
     for raw in raws:
