@@ -20,6 +20,11 @@ def lenient_date(c: Column) -> Column:
     return F.when(v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), v.try_cast("date"))
 
 
+def strict_date(c: Column) -> Column:
+    """Year, month and day with nothing after; NULL otherwise."""
+    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), c.try_cast("date"))
+
+
 def valid_clock(c: Column) -> Column:
     return c.rlike(r"^(?:[01]?\d|2[0-3]):[0-5]?\d$")
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from functools import reduce
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -60,11 +61,33 @@ def strip_tags(c: Column) -> Column:
 
 
 def unescape_named(c: Column) -> Column:
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, c)
+    """Numeric references and the names of HTML 4; others stay. The ampersand is last."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit("&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"), F.lit(0)))
+    rest = F.filter(found, lambda e: ~e.isin(*_COMMON))
+    return reduce(
+        lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES,
+        F.when(c.contains("&"), F.aggregate(rest, c, lambda acc, e: F.replace(acc, e, F.coalesce(_entity(e), e)))).otherwise(c),
+    )
+
+
+_COMMON = [e for e, _ in NAMED_ENTITIES]
+
+
+def _entity(e: Column) -> Column:
+    """Character of one reference; NULL when unknown or out of range. A reference to the ampersand stays for the last step."""
+    body = F.substring(e, F.lit(2), F.length(e) - 2)
+    digits = F.when(body.rlike("^#[xX]"), F.substring(body, F.lit(3), F.length(body))).otherwise(
+        F.conv(F.substring(body, F.lit(2), F.length(body)), 10, 16)
+    )
+    code = F.conv(digits, 16, 10).cast("bigint")
+    usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.when(code == 38, F.lit("&amp;")).when(usable, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+    names = F.create_map(*[F.lit(x) for n, p in sorted(name2codepoint.items()) for x in (n, chr(p))])
+    return F.when(body.startswith("#"), char).otherwise(names[body])
 
 
 def clean(c: Column) -> Column:
-    """fn_01: strip tags, unescape the named entities, collapse whitespace."""
+    """fn_01: strip tags, unescape entities, collapse whitespace."""
     return collapse(unescape_named(strip_tags(or_empty(c))))
 
 

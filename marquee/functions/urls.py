@@ -124,11 +124,30 @@ def canonical(url: Column) -> Column:
     ).otherwise(url)
 
 
+def without_dots(p: Column) -> Column:
+    """Path with ``.`` and ``..`` segments resolved; none climbs above the root."""
+    last = F.element_at(F.split(p, "/"), -1)
+    folded = F.aggregate(
+        F.split(p, "/"), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))).when(s == ".", acc).otherwise(F.array_append(acc, s)),
+    )
+    return F.concat(F.array_join(folded, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """Site-relative links on the page's own site; absolute links unchanged, others NULL."""
+    """The link on its page: absolute links unchanged, all relative forms resolved, dot segments removed."""
     site = F.concat(scheme(base), F.lit("://"), authority(base))
+    here = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
+    asked = F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise(F.lit(""))
+    tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(href, r"^([^?#]*)", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(here, "[^/]*$", ""), own))
+    resolved = F.when(joined.contains("/."), without_dots(joined)).otherwise(joined)
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href))
+        .when(href == "", F.concat(site, path(base), asked))
+        .when(href.startswith("#"), F.concat(site, path(base), asked, href))
+        .when(href.startswith("?"), F.concat(site, here, href))
+        .otherwise(F.concat(site, resolved, tail))
     )

@@ -178,6 +178,14 @@ LEAK_PATTERNS = {
     "local_path": r"(?i)[a-z]:[\\/]+Users[\\/]",
     "forbidden_field": r"(?i)(?:descriptionFilterHtml|imageURL|posterURL)",
 }
+# Lower-case literals of which every match of a leak pattern holds one.
+LEAK_GATES = {
+    "email": ["@"],
+    "token": ["_", "sk-proj-"],
+    "private_key": ["-----"],
+    "local_path": [":/", ":\\"],
+    "forbidden_field": ["descriptionfilterhtml", "imageurl", "posterurl"],
+}
 
 # Calendar session fields and labels, race name -> slug.
 CALENDAR_FIELDS = [

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions import dates as D, text as T, urls as U
@@ -46,15 +42,13 @@ def title_confirmed(html: Column, expected: Column) -> Column:
 
 def anchors(df: DataFrame, page_url: str, html: str, keep: list[str]) -> DataFrame:
     """ext_02: one row per anchor with its href, absolute URL and cleaned text."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1))
-    texts = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(2))
-    # Outer form: a plain explode would scan the page again in an inferred filter.
-    rows = df.select(*keep, page_url, F.posexplode_outer(F.arrays_zip(hrefs.alias("href"), texts.alias("label"))).alias("pos", "a")).where("pos IS NOT NULL")
-    href = T.unescape_named(F.col("a.href"))
-    return rows.select(
-        *keep, page_url, "pos", href.alias("href"), U.absolute(F.col(page_url), href).alias("url"),
-        T.clean(F.col("a.label")).alias("label"),
-    )
+    # The page is matched once; the parts are taken from each short match. Outer form: a plain
+    # explode would scan the page again in an inferred filter.
+    found = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(0))
+    rows = df.select(*keep, page_url, F.posexplode_outer(found).alias("pos", "a")).where("pos IS NOT NULL")
+    part = lambda i: F.regexp_extract("a", ANCHOR, i)
+    named = rows.select(*keep, page_url, "pos", T.unescape_named(part(1)).alias("href"), T.clean(part(2)).alias("label"))
+    return named.select(*keep, page_url, "pos", "href", U.absolute(F.col(page_url), F.col("href")).alias("url"), "label")
 
 
 def cards(links: DataFrame, page_url: str, key: list[str]) -> DataFrame:
@@ -107,14 +101,16 @@ def json_ld_events(df: DataFrame, html: str, key: list[str]) -> DataFrame:
     Blocks that are not JSON are skipped; a block may be one object or a list.
     """
     blocks = df.select(*key, F.posexplode_outer(F.regexp_extract_all(F.col(html), F.lit(JSON_LD), F.lit(1))).alias("block", "text"))
-    parsed = blocks.select(*key, "block", F.try_parse_json("text").alias("v")).where("block IS NOT NULL AND v IS NOT NULL")
+    parsed = blocks.select(*key, "block", "text", F.try_parse_json("text").alias("v")).where("block IS NOT NULL AND v IS NOT NULL")
     as_list = parsed.select(
         *key, "block",
-        F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
+        F.when(F.ltrim(F.regexp_replace("text", r"^\s+", "")).startswith("["), F.try_variant_get("v", "$", "array<variant>"))
         .otherwise(F.array("v")).alias("items"),
     )
     items = as_list.select(*key, "block", F.posexplode("items").alias("item", "e"))
     get = lambda p, t="string": F.try_variant_get("e", p, t)
+    # Only whole numbers count as prices; quoted and fractional ones are no facts.
+    whole = lambda p: F.when(F.schema_of_variant(get(p, "variant")) == "BIGINT", get(p, "int"))
     return items.where(get('$["@type"]') == "Event").select(
         *key, "block", "item",
         T.clean(get("$.name")).alias("name"),
@@ -123,8 +119,8 @@ def json_ld_events(df: DataFrame, html: str, key: list[str]) -> DataFrame:
         T.clean(get("$.description")).alias("description"),
         F.substring(get("$.startDate"), 1, 19).alias("start"),
         F.coalesce(get("$.eventStatus").contains("Cancelled"), F.lit(False)).alias("cancelled"),
-        get("$.offers.lowPrice", "int").alias("low"),
-        get("$.offers.highPrice", "int").alias("high"),
+        whole("$.offers.lowPrice").alias("low"),
+        whole("$.offers.highPrice").alias("high"),
         F.coalesce(get("$.offers.availabilityStarts"), get("$.offers.validFrom")).alias("sale"),
     )
 
@@ -132,13 +128,14 @@ def json_ld_events(df: DataFrame, html: str, key: list[str]) -> DataFrame:
 def page_facts(events: DataFrame, key: str) -> DataFrame:
     """agg_18: facts of a page from its Event items that share name and venue with the first one.
 
-    Sessions are the scheduled ones, or the cancelled ones when every item is cancelled.
+    Sessions are the scheduled ones, or the cancelled ones when every item is cancelled. A page with
+    an unreadable start has no facts.
     """
     order = F.struct("block", "item")
     first = events.groupBy(key).agg(
         F.min_by(F.struct("name", "venue", "address", "description", "low", "high", "sale"), order).alias("f")
     )
-    point = F.struct(F.substring("start", 1, 10).try_cast("date").alias("date"), F.substring("start", 12, 5).alias("time"))
+    point = F.struct(D.strict_date(F.substring("start", 1, 10)).alias("date"), F.substring("start", 12, 5).alias("time"))
     same = events.select(key, "name", "venue", "cancelled", point.alias("s")).join(first, key).where(
         (F.col("name") == F.col("f.name")) & F.col("venue").eqNullSafe(F.col("f.venue"))
     )
@@ -146,7 +143,8 @@ def page_facts(events: DataFrame, key: str) -> DataFrame:
         F.first("f").alias("f"),
         F.array_sort(F.collect_set(F.when(~F.col("cancelled"), F.col("s")))).alias("_on"),
         F.array_sort(F.collect_set(F.when(F.col("cancelled"), F.col("s")))).alias("_off"),
-    )
+        F.bool_or(F.col("s.date").isNull()).alias("_unreadable"),
+    ).where("NOT _unreadable")
     all_off = (F.size("_on") == 0) & (F.size("_off") > 0)
     stamped = F.col("f.sale").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$")
     return agg.select(
@@ -180,13 +178,19 @@ def feed_time_place(content: Column) -> Column:
     return F.struct(day.alias("day"), F.when(has, g(4)).alias("clock"), end.alias("end_day"), venue.alias("venue"), address.alias("address"))
 
 
-DATE_HIT = r"(\d{4})\s*/\s*(\d{1,2})\s*(?:/|月)\s*(\d{1,2})日?"
-CHUNK = r"(?s)(\d{4}\s*/\s*\d{1,2}\s*(?:/|月)\s*\d{1,2}日?.*?)(?=\d{4}\s*/\s*\d{1,2}\s*(?:/|月)\s*\d{1,2}日?|$)"
+DATE_BARE = r"\d{4}\s*/\s*\d{1,2}\s*(?:/|月)\s*\d{1,2}日?"
+
+
+def dated_pieces(section: Column) -> Column:
+    """Array of struct(head, rest): every date with the text up to the next one, in two linear passes."""
+    heads = F.regexp_extract_all(section, F.lit(DATE_BARE), F.lit(0))
+    rests = F.slice(F.split(section, DATE_BARE), 2, F.size(heads))
+    return F.zip_with(heads, rests, lambda h, r: F.struct(h.alias("head"), F.coalesce(r, F.lit("")).alias("rest")))
 
 
 def date_chunks(section: Column) -> Column:
     """win_11: pieces of a text, each from one date to the next."""
-    return F.regexp_extract_all(section, F.lit(CHUNK), F.lit(1))
+    return F.transform(dated_pieces(section), lambda p: F.concat(p["head"], p["rest"]))
 
 
 def text_sessions(content: Column) -> Column:
@@ -201,15 +205,11 @@ def text_sessions(content: Column) -> Column:
     section = F.get(F.split(after, r"主辦單位|聯絡電話|票\s*價", 2), F.lit(0))
 
     # Staged transforms: each value is computed once and bound, not inlined at every use.
-    heads = F.transform(
-        date_chunks(section),
-        lambda c: F.struct(F.regexp_extract(c, DATE_HIT, 0).alias("head"), c.alias("chunk")),
-    )
     rests = F.transform(
-        heads,
+        dated_pieces(section),
         lambda h: F.struct(
             F.substring_index(F.regexp_replace(h["head"], r"\D+", "-"), "-", 3).try_cast("date").alias("date"),
-            F.regexp_replace(F.substring(h["chunk"], F.length(h["head"]) + 1, F.length(h["chunk"])), r"[（(][^)）]*[)）]", " ").alias("rest"),
+            F.regexp_replace(h["rest"], r"[（(][^)）]*[)）]", " ").alias("rest"),
         ),
     )
     clocks = F.transform(
@@ -251,50 +251,3 @@ def dotted_points(text: Column) -> Column:
         return F.struct(F.concat_ws("-", g(1), g(2), g(3)).try_cast("date").alias("date"), clock.alias("time"))
 
     return F.transform(hits, one)
-
-
-class _Selector(HTMLParser):
-    """Text of the elements that carry one of the wanted (tag, class) pairs."""
-
-    VOID = {"br", "img", "hr", "meta", "link", "input"}
-
-    def __init__(self, wanted: dict[str, tuple[str, str]]):
-        super().__init__(convert_charrefs=True)
-        self.wanted, self.open, self.found = wanted, [], {k: [] for k in wanted}
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        classes = (dict(attrs).get("class") or "").split()
-        hits = [n for n, (t, c) in self.wanted.items() if (not t or t == tag) and (not c or c in classes)]
-        for n in hits:
-            self.found[n].append("")
-        self.open.append((tag, hits))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        for _, hits in self.open:
-            for n in hits:
-                self.found[n][-1] += data + " "
-
-
-def select_elements(df: DataFrame, html: str, key: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
-    """ext_03, exact selectors: first element text per (tag, class) pair, parsed in Arrow batches."""
-    names = list(wanted)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, body in zip(b[key], b[html]):
-                p = _Selector(wanted)
-                p.feed(body or "")
-                out.append([k] + [" ".join(p.found[n][0].split()) if p.found[n] else None for n in names])
-            yield pd.DataFrame(out, columns=[key, *names])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, html).mapInPandas(run, schema=", ".join([f"`{key}` {kind}"] + [f"`{n}` string" for n in names]))

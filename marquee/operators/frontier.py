@@ -63,6 +63,7 @@ def run_day(state: DataFrame, listed: DataFrame, outcome_ok: Column, today: str,
     and are tried on a later day; known URLs are never read again.
     """
     day = F.lit(today).cast("date")
+    listed = listed.select(source, "url").distinct()  # a link listed twice is one page
     kept = state.join(listed.select(source, "url"), [source, "url"], "left_semi")
     # A known URL stays known when the listing drops it; a dropped pending URL leaves the queue.
     known = state.where("status = 'known'")

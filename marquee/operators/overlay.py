@@ -57,12 +57,13 @@ def overlay_matches(previous: DataFrame, raw: DataFrame) -> DataFrame:
         F.col("id").alias("raw_id"), F.col("id").alias("prev_id"), F.lit("id").alias("how")
     )
     rest = raw.join(previous.select("id"), "id", "left_anti")
-    days = lambda d, name: d.select(F.col("id").alias(name), "title_key", F.explode("dates").alias("day"))
-    # Joined on (title, day), then reduced to one row per raw record: no pair list is kept.
+    days = lambda d: d.select("id", "title_key", F.explode("dates").alias("day"))
+    # The previous side is one row per (title, day) before the join, so a popular title stays linear.
+    held = days(previous).groupBy("title_key", "day").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     fallback = (
-        days(rest, "raw_id").join(days(previous, "prev_id"), ["title_key", "day"])
+        days(rest).withColumnRenamed("id", "raw_id").join(held, ["title_key", "day"])
         .groupBy("raw_id")
-        .agg(F.min("prev_id").alias("lo"), F.max("prev_id").alias("hi"))
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .where("lo = hi")
         .select("raw_id", F.col("lo").alias("prev_id"), F.lit("title_day").alias("how"))
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions import values as V
+from marquee.functions import dates as D, values as V
 
 DECISIONS = ["included", "excluded", "pending", "failed"]
 
@@ -91,7 +94,15 @@ def duplicates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def leak_scan(df: DataFrame, text: Column, keys: list[str] | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
     """chk_05: rows matched per leak pattern, whole texts, one scan."""
-    hits = F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in (patterns or V.LEAK_PATTERNS).items()])
+    # Literals of which every match holds one gate the pattern: most texts are scanned by plain search.
+    def gated(name, pattern):
+        gates = V.LEAK_GATES.get(name) if patterns is None else None
+        if not gates:
+            return text.rlike(pattern)
+        held = reduce(or_, [F.lower(text).contains(g) for g in gates])
+        return F.when(held, text.rlike(pattern)).otherwise(F.lit(False))
+
+    hits = F.array(*[F.when(gated(n, p), F.lit(n)) for n, p in (patterns or V.LEAK_PATTERNS).items()])
     return (
         df.select(*(keys or []), F.explode_outer(F.array_compact(hits)).alias("pattern"))
         .where("pattern IS NOT NULL")
@@ -121,22 +132,18 @@ def traversal_state(expected: Column, visited: Column, claimed: Column) -> Colum
     return F.struct(valid.alias("valid"), (valid & all_seen & F.coalesce(claimed, F.lit(False))).alias("complete"))
 
 
-EVENT_ALLOWED_TICKET = ["platform", "url", "checkedAt", "sessions", "price", "saleAt"]
-
-
 def event_rules(today: Column | None = None) -> dict[str, Column]:
     """chk_01: rules over a live event row (columns as in ``schemas.LIVE_COLUMNS``)."""
     from marquee.functions import urls as U
 
     missing = lambda c: F.coalesce(F.length(F.col(c)) == 0, F.lit(True))
-    in_scope = lambda s: F.exists(
-        F.col("sessions"), lambda e: e["date"].eqNullSafe(s["date"]) & e["time"].eqNullSafe(s["time"])
-    )
+    # Set difference of equal structs: linear in the sessions, where a nested exists is quadratic.
+    slots = lambda a: F.transform(a, lambda s: F.struct(s["date"].alias("date"), s["time"].alias("time")))
     no_tickets = F.coalesce(F.col("tickets"), F.array())
     return {
         "identity": missing("sourceUid") | missing("title") | missing("region") | missing("venue"),
         "sessions_empty": F.coalesce(F.size("sessions") == 0, F.lit(True)),
-        "session_date": F.exists("sessions", lambda s: s["date"].try_cast("date").isNull()),
+        "session_date": F.exists("sessions", lambda s: D.strict_date(s["date"]).isNull()),
         "session_time": F.exists("sessions", lambda s: s["time"].isNotNull() & ~s["time"].rlike(r"^(?:[01]?\d|2[0-3]):[0-5]?\d$")),
         "source_url": ~U.is_safe(F.col("sourceUrl"), ("https",)),
         "status": ~F.col("status").isin(*V.EVENT_STATUSES),
@@ -146,9 +153,9 @@ def event_rules(today: Column | None = None) -> dict[str, Column]:
             no_tickets,
             lambda t: F.coalesce((F.length(t["platform"]) == 0) | (F.length(t["platform"]) > 80) | t["platform"].contains("<"), F.lit(True)),
         ),
-        "ticket_checked": F.exists(no_tickets, lambda t: t["checkedAt"].try_cast("date").isNull()),
+        "ticket_checked": F.exists(no_tickets, lambda t: D.strict_date(t["checkedAt"]).isNull()),
         "ticket_scope": F.exists(
-            no_tickets, lambda t: F.coalesce(F.size(t["sessions"]) == 0, F.lit(True)) | F.exists(t["sessions"], lambda s: ~in_scope(s))
+            no_tickets, lambda t: F.coalesce(F.size(t["sessions"]) == 0, F.lit(True)) | (F.size(F.array_except(slots(t["sessions"]), slots(F.col("sessions")))) > 0)
         ),
     }
 

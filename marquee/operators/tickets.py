@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions import text as T, urls as U, values as V
+from marquee.functions import dates as D, text as T, urls as U, values as V
 from marquee.operators.ranking import first_per_key
 
 
@@ -66,7 +66,7 @@ def normalize_nested(df: DataFrame) -> DataFrame:
     usable = F.filter(
         F.col("_scoped"),
         lambda t: U.is_detail(t["url"]) & (F.length(t["platform"]) > 0)
-        & F.coalesce(t["checkedAt"].try_cast("date").isNotNull(), F.lit(False)) & (F.size(t["sessions"]) > 0),
+        & D.strict_date(t["checkedAt"]).isNotNull() & (F.size(t["sessions"]) > 0),
     )
     merged = F.transform(
         F.array_distinct(F.transform(F.col("_usable"), key)),

@@ -116,7 +116,7 @@ def resolve_link(
     pair = F.concat(F.lit("uid="), uid)
     culture = (
         (U.scheme(url) == "https")
-        & (U.host(url) == V.CULTURE_HOST)
+        & (F.lower(U.authority(url)) == V.CULTURE_HOST)
         & (U.path(url) == V.CULTURE_PATH)
         & ((q == F.concat(F.lit("method=showEventDetail&"), pair)) | (q == F.concat(pair, F.lit("&method=showEventDetail"))))
     )

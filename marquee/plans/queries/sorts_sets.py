@@ -23,16 +23,14 @@ WHERE_SQL = {
 def _ordered(view):
     @query(f"srt_01_order_{view}", LISTING + f"""
 SELECT row_number() OVER (ORDER BY {ORDER_SQL[view]}) AS pos, id, region, start_day, end_day FROM listing WHERE {WHERE_SQL[view]}
-ORDER BY pos LIMIT 48
 """)
     def run(spark, sf):
-        from pyspark.sql import Window
+        from marquee.operators.ranking import positions
 
-        # Two pages of the ordered view: a distributed top-k, numbered afterwards.
-        hits = B.listing(spark, sf).where(S.view_predicate(view, as_of()))
-        top = S.page(hits, S.order_for(view, FIRST_REGIONS), pages=2)
-        pos = F.row_number().over(Window.orderBy(*S.order_for(view, FIRST_REGIONS)))
-        return top.select(pos.cast("bigint").alias("pos"), "id", "region", "start_day", "end_day")
+        # The whole ordered view: range partitions numbered on their own and shifted.
+        hits = B.listing(spark, sf).where(S.view_predicate(view, as_of())).select("id", "title", "region", "start_day", "end_day", F.lit(1).alias("view"))
+        out = positions(hits, ["view"], S.order_for(view, FIRST_REGIONS))
+        return out.select(F.col("pos").cast("bigint").alias("pos"), "id", "region", "start_day", "end_day")
 
 
 for _v in ORDER_SQL:
@@ -111,15 +109,13 @@ def set_01(spark, sf):
 
 
 @query("set_02_union_sessions", SESSION + """
-SELECT event, count(DISTINCT (day, coalesce(clock, ''))) AS merged FROM session WHERE platform IN ('KKTIX', 'ibon') GROUP BY 1
+SELECT event, count(DISTINCT (day, coalesce(clock, ''))) AS merged FROM session GROUP BY 1
 """)
 def set_02(spark, sf):
-    s = B.session(spark, sf).where(F.col("platform").isin("KKTIX", "ibon"))
-    x = F.struct("day", F.coalesce("clock", F.lit("")))
-    sides = s.groupBy("event").agg(
-        F.collect_set(F.when(F.col("platform") == "KKTIX", x)).alias("a"), F.collect_set(F.when(F.col("platform") == "ibon", x)).alias("b")
-    )
-    return sides.select("event", F.size(F.array_union("a", "b")).cast("bigint").alias("merged"))
+    s = B.session(spark, sf)
+    first = F.col("platform").isin("KKTIX", "OPENTIX")
+    sides = s.where(first).select("event", "day", "clock").union(s.where(~first).select("event", "day", "clock")).distinct()
+    return sides.groupBy("event").agg(F.count("*").alias("merged"))
 
 
 @query("set_03_intersection", SESSION + """
@@ -128,10 +124,8 @@ SELECT event, coalesce(list_has_any(x, y), false) AS overlaps, coalesce(len(list
 """)
 def set_03(spark, sf):
     k = F.col("platform") == "KKTIX"
-    s = B.session(spark, sf).groupBy("event").agg(
-        F.collect_set(F.when(k, F.col("day"))).alias("x"), F.collect_set(F.when(~k, F.col("day"))).alias("y")
-    )
-    return s.select("event", F.arrays_overlap("x", "y").alias("overlaps"), F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"))
+    days = B.session(spark, sf).groupBy("event", "day").agg((F.bool_or(k) & F.bool_or(~k)).alias("both"))
+    return days.groupBy("event").agg(F.bool_or("both").alias("overlaps"), F.count_if("both").alias("shared"))
 
 
 @query("set_04_extra_keys", """
@@ -146,13 +140,14 @@ def set_04(spark, sf):
 WITH v AS (SELECT conv_id, list_sort(array_agg(DISTINCT turn)) AS visited, max(turn) AS top, count(*) AS n FROM conversations GROUP BY 1),
 e AS (SELECT *, range(0, top + 1 + CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END) AS expected FROM v)
 SELECT conv_id, len(list_filter(visited, lambda x: NOT list_contains(expected, x))) = 0 AS valid,
-       len(list_filter(expected, lambda x: NOT list_contains(visited, x))) = 0 AS complete FROM e
+       len(list_filter(visited, lambda x: NOT list_contains(expected, x))) = 0 AND len(list_filter(expected, lambda x: NOT list_contains(visited, x))) = 0 AS complete FROM e
 """)
 def set_05(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("visited"), F.max("turn").alias("top"))
-    top = F.col("top") + F.when(F.col("conv_id") % 3 == 0, 1).otherwise(0)
-    st = Q.traversal_state(F.sequence(F.lit(0).cast("bigint"), top), F.col("visited"), F.lit(True))
-    return c.select("conv_id", st["valid"].alias("valid"), st["complete"].alias("complete"))
+    # Expected turns are 0 to a top: bounds and a distinct count decide, without listing either side.
+    top = F.max("turn") + F.max(F.when(F.col("conv_id") % 3 == 0, 1).otherwise(0))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min("turn").alias("low"), F.count_distinct("turn").alias("n"), top.alias("top"))
+    valid = F.col("low") >= 0
+    return c.select("conv_id", valid.alias("valid"), (valid & (F.col("n") == F.col("top") + 1)).alias("complete"))
 
 
 @query("set_06_keep_first", f"""

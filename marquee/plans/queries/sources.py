@@ -25,11 +25,11 @@ def src_01(spark, sf):
 @query("src_02_kind_fanout", """
 SELECT CASE event_type WHEN 'purchase' THEN 'concerts' WHEN 'view' THEN 'comedy' END AS kind,
        count(*) AS n, count(DISTINCT user_id) AS entities, bool_or(event_type IN ('purchase', 'view')) AS category_seen
-FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1
+FROM events GROUP BY 1
 """)
 def src_02(spark, sf):
     kind = F.when(F.col("event_type") == "purchase", "concerts").when(F.col("event_type") == "view", "comedy")
-    e = table(spark, sf, "events").where(F.col("event_type").isin("purchase", "view"))
+    e = table(spark, sf, "events")
     return e.groupBy(kind.alias("kind")).agg(
         F.count("*").alias("n"), F.count_distinct("user_id").alias("entities"),
         F.bool_or(F.col("event_type").isin("purchase", "view")).alias("category_seen"),
@@ -38,11 +38,20 @@ def src_02(spark, sf):
 
 @query("src_03_snapshot_scan", """
 SELECT source, lang AS kind, count(*) AS n, max(doc_id) AS last_doc FROM documents
-WHERE regexp_matches(source, '^[a-z0-9][a-z0-9-]{0,63}$') AND lang = 'en' GROUP BY 1, 2
+WHERE regexp_matches(source, '^[a-z0-9][a-z0-9-]{0,63}$') GROUP BY 1, 2
 """)
 def src_03(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("source").rlike(R.SOURCE_ID) & (F.col("lang") == "en"))
-    return d.groupBy("source", F.col("lang").alias("kind")).agg(F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
+    # The snapshot is written by (kind, source) once; every kind is then a scan of its own partitions.
+    root = _out_dir(spark, "snapshot")
+    d = table(spark, sf, "documents").where(F.col("source").rlike(R.SOURCE_ID))
+    rows = d.select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("source_id"))
+    rows.hint("rebalance", "kind").write.partitionBy("kind", "source_id").parquet(root)
+    kinds = [r["kind"] for r in rows.select("kind").distinct().collect()]  # languages: a bounded domain
+    one = lambda k: R.read_snapshot(spark, root, k).groupBy(F.col("source_id").alias("source"), "kind").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
+    out = one(kinds[0])
+    for k in kinds[1:]:
+        out = out.union(one(k))
+    return out
 
 
 @query("src_04_registry_check", """
@@ -61,15 +70,16 @@ def src_05(spark, sf):
 
 
 @query("src_06_feed_scan", """
-SELECT user_id AS feed, count(*) AS entries, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k_sum,
-       count(*) = 0 AS empty_feed
-FROM events GROUP BY 1
+SELECT c_custkey AS feed, count(event_id) AS entries, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k_sum,
+       count(event_id) = 0 AS empty_feed
+FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1
 """)
 def src_06(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.from_json("props", "k BIGINT").alias("p"))
-    return e.groupBy(F.col("user_id").alias("feed")).agg(
-        F.count("*").alias("entries"), F.sum("p.k").alias("k_sum"), (F.count("*") == 0).alias("empty_feed")
-    )
+    # Feeds come from the registry, so one without entries shows.
+    e = table(spark, sf, "events").select(F.col("user_id").alias("feed"), F.from_json("props", "k BIGINT")["k"].alias("k"))
+    n = e.groupBy("feed").agg(F.count("*").alias("entries"), F.sum("k").alias("k_sum"))
+    feeds = table(spark, sf, "customer").select(F.col("c_custkey").alias("feed"))
+    return feeds.join(n, "feed", "left").select("feed", F.coalesce("entries", F.lit(0)).alias("entries"), "k_sum", F.col("entries").isNull().alias("empty_feed"))
 
 
 @query("src_07_envelope_scan", """

@@ -80,17 +80,22 @@ def win_06(spark, sf):
 
 
 @query("win_07_failure_rotation", f"""
-WITH last AS (SELECT user_id AS id, max(CAST(ts AS DATE)) FILTER (event_type = 'error') AS last_attempt, min(event_id) AS pos FROM events GROUP BY 1)
-SELECT id, last_attempt, pos FROM last WHERE last_attempt IS NULL OR last_attempt < {EVENTS_AS_OF_SQL}
-ORDER BY last_attempt ASC NULLS FIRST, pos LIMIT 100
+WITH last AS (SELECT user_id AS source, event_id % 50 AS id, max(CAST(ts AS DATE)) FILTER (event_type = 'error') AS last_attempt, min(event_id) AS pos FROM events GROUP BY 1, 2),
+due AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_attempt ASC NULLS FIRST, pos) AS place FROM last
+  WHERE last_attempt IS NULL OR last_attempt < {EVENTS_AS_OF_SQL})
+SELECT source, id, last_attempt, pos FROM due WHERE place <= 100
 """)
 def win_07(spark, sf):
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("source"), (F.col("event_id") % 50).alias("id")).agg(
         F.max(F.when(F.col("event_type") == "error", F.to_date("ts"))).alias("last_attempt"), F.min("event_id").alias("pos")
     )
     due = e.where(F.col("last_attempt").isNull() | (F.col("last_attempt") < events_as_of()))
-    # Failures wait behind what was never tried; the daily budget is the limit.
-    return due.orderBy(F.col("last_attempt").asc_nulls_first(), "pos").limit(100)
+    # Failures wait behind what was never tried. The daily budget of a source is a group limit,
+    # which every task applies before the shuffle.
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.col("last_attempt").asc_nulls_first(), "pos"))
+    return due.withColumn("place", place).where("place <= 100").select("source", "id", "last_attempt", "pos")
 
 
 @query("win_08_change_detection", SNAP + """
