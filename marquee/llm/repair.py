@@ -20,9 +20,10 @@ from marquee.llm.common import partitions
 from marquee.llm.tokens import default_tokenizer, encoder
 from marquee.operators.ranking import ensure_checkpoint_dir
 
-SHARD_IDS = 1_000_000
+SHARD_IDS = 250_000
 ROUNDS = 5
-LEAST = 24
+LEAST = 12
+TABLE_BITS = 19
 BATCH = 256
 
 
@@ -49,19 +50,18 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         if len(seq) < 2:
             break
         pair = seq[:-1] * top + seq[1:]
-        # Slots of a hashed table bound the memory; a slot below the limit holds no frequent pair.
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-        full = np.bincount(slot, minlength=1 << 22) >= least
-        near = np.flatnonzero(full[slot])
-        found, inverse, count = np.unique(pair[near], return_inverse=True, return_counts=True)
-        often = count >= least
+        # A hashed table of bounded size; each slot stands for one of its pairs, the rest wait for a later round.
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+        held = np.full(1 << TABLE_BITS, -1, np.int64)
+        held[slot] = pair
+        own = held[slot] == pair
+        often = np.bincount(slot[own], minlength=1 << TABLE_BITS) >= least
         if not often.any():
             break
-        name = np.where(often, top + np.cumsum(often) - 1, -1)[inverse]
-        symbol = np.full(len(pair), -1, np.int64)
-        symbol[near] = name
+        name = np.where(often, top + np.cumsum(often) - 1, -1)
+        symbol = np.where(own, name[slot], -1)
+        pairs = held[often]
         at = _picked(symbol >= 0)
-        pairs = found[often]
         rule = np.stack([pairs // top, pairs % top], axis=1)
         known = np.concatenate([np.ones(base, np.int64), *lengths])
         rules.append(rule)
