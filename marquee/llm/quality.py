@@ -20,7 +20,8 @@ SAMPLE = 12_000
 BINS = 512
 DIMS = 256 + BINS + 10
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-LONG = 1 << 20
+#: Bytes of a text, and rows, taken at once.
+LONG, ROWS = 1 << 20, 500
 
 
 def features(text: str | None) -> np.ndarray:
@@ -87,10 +88,11 @@ class Model:
         self.mean, self.scale, self.w, self.share = mean, scale, w, share
 
     def score(self, texts: pd.Series) -> np.ndarray:
-        if not len(texts):
-            return np.empty(0)
-        x = (np.stack([features(t) for t in texts]) - self.mean) / self.scale
-        return _sigmoid(x @ self.w[:-1] + self.w[-1])
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), ROWS):
+            x = (np.stack([features(t) for t in texts.iloc[at : at + ROWS]]) - self.mean) / self.scale
+            out[at : at + ROWS] = _sigmoid(x @ self.w[:-1] + self.w[-1])
+        return out
 
 
 def learn(x: np.ndarray, positive: np.ndarray, steps: int = 300, share: float | None = None) -> Model:

@@ -9,7 +9,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Bytes of text taken at once, and pieces a worker keeps; a full table starts anew, ids stay the same.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 PIECES_KEPT = 3_000_000
 
 _STEP = 0x9E3779B97F4A7C15 | 1

@@ -11,7 +11,7 @@ CODES = np.random.default_rng(7).integers(1, 2**63, 256, np.int64).view(np.uint6
 BLANKS = np.zeros(256, bool)
 BLANKS[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text taken at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
