@@ -11,12 +11,12 @@ from marquee.operators import normalize as N, snapshot as P, tickets as K
 from marquee.plans import builds
 from marquee.sources.readers import unify_spellings
 
-NOW = "2026-10-06T09:00:00+08:00"
+NOW = "2026-10-06T07:40:00+08:00"
 
 
-def exhibition(uid="abc123", title="測試資料", start="2026/10/01", end="2026/10/20", on_sales="N", category="6", shows=None, promote=None):
-    shows = shows if shows is not None else [dict(time=start + " 10:00:00", endTime=end + " 18:00:00", location="台北市中正區", locationName="測試館", price=None, onSales=on_sales)]
-    return dict(UID=uid, version="1.4", title=title, category=category, startDate=None, endDate=None, showUnit=None, descriptionFilterHtml=None, sourceWebPromote=promote, showInfo=shows)
+def exhibition(uid="row-9", title="河邊木刻展", start="2026/10/03", end="2026/10/24", on_sales="N", category="6", shows=None, promote=None):
+    shows = shows if shows is not None else [dict(time=start + " 10:00:00", endTime=end + " 18:00:00", location="台北市士林區", locationName="河岸館", price=None, onSales=on_sales)]
+    return dict(UID=uid, version="2.0", title=title, category=category, startDate=None, endDate=None, showUnit=None, descriptionFilterHtml=None, sourceWebPromote=promote, showInfo=shows)
 
 
 def raw(spark, rows):
@@ -50,7 +50,7 @@ def test_rejections(spark):
 def test_shows_before_a_bad_one_stay_unless_strict(spark):
     good = exhibition()["showInfo"][0]
     rows = [exhibition(shows=[good, dict(good, endTime="2026/01/01"), dict(good, locationName="B")])]
-    assert [r["venue"] for r in run(spark, rows)[0].collect()] == ["測試館"]
+    assert [r["venue"] for r in run(spark, rows)[0].collect()] == ["河岸館"]
     assert run(spark, rows, strict=True)[0].count() == 0
 
 
@@ -75,7 +75,7 @@ def test_history_revisions_and_disappearance(spark):
     assert (r["firstSeen"], r["lastSeen"], len(r["revisions"])) == ("2026-10-01", "2026-10-02", 0)
     three = P.merge_listings(two, b, "2026-10-03").collect()
     assert len(three) == 1 and three[0]["firstSeen"] == "2026-10-01"
-    assert three[0]["revisions"][0]["end"] == dt.date(2026, 10, 20) and three[0]["end"] == dt.date(2026, 11, 1)
+    assert three[0]["revisions"][0]["end"] == dt.date(2026, 10, 24) and three[0]["end"] == dt.date(2026, 11, 1)
     gone = P.merge_listings(two, a.limit(0), "2026-10-03").collect()
     assert len(gone) == 1 and gone[0]["missingFromSource"] is True
 
@@ -105,8 +105,8 @@ def test_build_guards_and_curated(spark):
     assert b4.reason == "EMPTY_INPUT" and b4.events.where("source = 'moc'").count() == 29
 
 
-def live_row(uid="x", time="2026/11/01 19:00:00", venue="A", price="", title="測試演唱會", category="17", extra=()):
-    shows = [dict(time=t, endTime=None, location="台北市信義區", locationName=venue, price=p, onSales=None) for t, p in [(time, price), *extra]]
+def live_row(uid="x", time="2026/11/01 18:15:00", venue="A", price="", title="海風演唱會", category="17", extra=()):
+    shows = [dict(time=t, endTime=None, location="台北市大安區", locationName=venue, price=p, onSales=None) for t, p in [(time, price), *extra]]
     return dict(exhibition(uid=uid, title=title, category=category, shows=shows))
 
 
@@ -115,7 +115,7 @@ def live_events(spark, rows, kind="concerts"):
 
 
 def test_live_sessions_and_price(spark):
-    r = live_row(extra=[("2026/11/01 19:00:00", ""), ("2026/11/02 19:00:00", "")])
+    r = live_row(extra=[("2026/11/01 18:15:00", ""), ("2026/11/02 19:00:00", "")])
     got = live_events(spark, [r, r])[0].collect()
     assert len(got) == 1 and len(got[0]["sessions"]) == 2 and got[0]["price"] is None and got[0]["region"] == "臺北市"
     for prices, want in (((None, "5"), V.PRICE_MIXED), (("5", None), "5"), (("5", "5"), "5"), (("5", "6"), V.PRICE_MIXED)):
@@ -162,7 +162,7 @@ def test_nested_tickets(spark):
     s = "struct<date:string,time:string>"
     schema = f"sessions array<{s}>, tickets array<struct<platform:string,url:string,checkedAt:string,sessions:array<{s}>,price:string,saleAt:string>>"
     one = ("2026-11-01", "19:00")
-    t = (None, "https://comedyclub.kktix.cc/events/example", "2026-10-06", [one, one], "500", None)
+    t = (None, "https://deck.kktix.cc/events/night", "2026-10-06", [one, one], "500", None)
     rows = [([one], [t, t, (None, "https://tixcraft.com/", "2026-10-06", [one], None, None), (None, "javascript:alert(1)", "2026-10-06", [one], None, None),
                      (None, t[1], "2026-10-06", [("2026-11-02", "19:00")], "500", None)])]
     out = K.normalize_nested(spark.createDataFrame(rows, schema)).first()["tickets"]
@@ -183,7 +183,7 @@ def test_live_build_reconciles(spark):
 
 
 def test_reviewed_import(spark):
-    rows = [("one", True, {"title": "English Comedy Night"}, "1"), ("p", False, {"title": "English Comedy Night"}, "1"), ("c", True, {"title": "Stand-up workshop"}, "1")]
+    rows = [("one", True, {"title": "Riverside English Stand-up Comedy"}, "1"), ("p", False, {"title": "Riverside English Stand-up Comedy"}, "1"), ("c", True, {"title": "Stand-up workshop"}, "1")]
     items = spark.createDataFrame(rows, "sourceUid string, officialFactsReviewed boolean, evidence map<string,string>, page_id string")
     _, counts = builds.import_reviewed(items, "comedy", None)
     r = counts.first()
