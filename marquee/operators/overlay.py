@@ -75,16 +75,19 @@ def overlay_matches(previous: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def reviewed_overlay(reviewed: DataFrame, crawled: DataFrame, key: str, crawler_owned: list[str], reviewed_owned: list[str]) -> DataFrame:
-    """inc_03: crawler-owned columns are replaced, reviewed columns are kept unless empty.
+    """inc_03: crawler-owned columns are replaced, reviewed columns are kept unless empty, new records enter.
 
     A sale time filled from the crawl brings the crawl's note along.
     """
-    c = crawled.select(key, *[F.col(x).alias("_c_" + x) for x in {*crawler_owned, *reviewed_owned, "saleNote"} if x in crawled.columns])
-    joined = reviewed.join(c, key, "left")
+    c = crawled.select(key, F.lit(True).alias("_c_hit"), *[F.col(x).alias("_c_" + x) for x in crawled.columns if x != key])
+    joined = reviewed.withColumn("_r_hit", F.lit(True)).join(c, key, "full")
     empty = lambda x: F.coalesce(F.length(F.col(x).cast("string")) == 0, F.lit(True))
-    changes = {x: F.coalesce(F.col("_c_" + x), F.col(x)) for x in crawler_owned}
+    # A crawled NULL clears what the crawl owns; only unmatched rows keep it.
+    changes = {x: F.when(F.col("_c_hit"), F.col("_c_" + x)).otherwise(F.col(x)) for x in crawler_owned}
     changes |= {x: F.when(empty(x), F.col("_c_" + x)).otherwise(F.col(x)) for x in reviewed_owned}
     if "saleAt" in reviewed_owned and "saleNote" in crawled.columns:
         filled = empty("saleAt") & ~empty("_c_saleAt")
         changes["saleNote"] = F.when(filled, F.col("_c_saleNote")).otherwise(F.col("saleNote"))
-    return joined.withColumns(changes).drop(*[x for x in joined.columns if x.startswith("_c_")])
+    # A crawled record without a reviewed one enters as it is.
+    new = {x: F.when(F.col("_r_hit").isNull(), F.col("_c_" + x)).otherwise(changes.get(x, F.col(x))) for x in reviewed.columns if x != key and x in crawled.columns}
+    return joined.withColumns({**changes, **new}).drop("_r_hit", *[x for x in joined.columns if x.startswith("_c_")])

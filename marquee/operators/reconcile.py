@@ -150,26 +150,13 @@ def evidence_keys(sigs: DataFrame) -> DataFrame:
     return s.select("sig", "first_ord", direct.alias("direct"), ev.alias("ev"), slots.alias("slots"))
 
 
-MAX_PRODUCT = 20_000
-
-
-def _closure_hits(part_ev: DataFrame, part_x: DataFrame, node_ev: DataFrame, node_x: DataFrame, key_node: DataFrame) -> DataFrame:
+def _closure_hits(part_ev: DataFrame, part_x: DataFrame, held: DataFrame) -> DataFrame:
     """(p, node): a record that holds both some evidence and some session of part p.
 
-    A small part lists its evidence times its sessions and looks the keys up. A part whose product
-    is large is asked from the other side: the records that share its evidence, then its sessions.
+    ``held`` has each (evidence, session) pair of the records once, with one record of it, so copies
+    and a page or title with many records cost a row per session, not one per record.
     """
-    size = part_ev.groupBy("p").agg(F.count("*").alias("ne")).join(part_x.groupBy("p").agg(F.count("*").alias("nx")), "p")
-    large = size.where(F.col("ne") * F.col("nx") > MAX_PRODUCT).select("p")
-    keys = (
-        part_ev.join(large, "p", "left_anti").join(part_x, "p")
-        .select("p", _hash(F.col("e"), F.col("x")).alias("key"))
-    )
-    # A match needs both halves of the key in one record: the key must exist in some record.
-    small_hits = keys.join(key_node, "key").select("p", "node")
-    sharing = node_ev.join(part_ev.join(large, "p", "left_semi"), "e").select("p", "node").distinct()
-    large_hits = sharing.join(node_x, "node").join(part_x, ["p", "x"], "left_semi").select("p", "node")
-    return small_hits.union(large_hits).distinct()
+    return held.join(part_ev, "e").join(part_x, ["p", "x"], "left_semi").select("p", "node").distinct()
 
 
 def link_components(keys: DataFrame) -> DataFrame:
@@ -182,8 +169,6 @@ def link_components(keys: DataFrame) -> DataFrame:
         .distinct()
     )
     parts = components(star_edges(member))
-    # All nodes of a key lie in one part, so one node per key tells the key's part.
-    key_node = checkpointed(member.groupBy("key").agg(F.min("node").alias("node")))
 
     # Closure: evidence of one member with a session of another. Only evidence seen in several
     # parts can lead anywhere; parts only ever merge, so that set is computed once.
@@ -193,12 +178,14 @@ def link_components(keys: DataFrame) -> DataFrame:
     crossing = where.groupBy("e").agg(F.min("p").alias("_a"), F.max("p").alias("_b")).where("_a < _b").select("e")
     node_ev = checkpointed(all_ev.join(crossing, "e", "left_semi"))
     node_x = base.select("node", F.explode("slots").alias("x"))
+    # All nodes of an (evidence, session) pair lie in one part, so one node tells the pair's part.
+    held = checkpointed(node_ev.join(node_x, "node").groupBy("e", "x").agg(F.min("node").alias("node")))
     active = in_part
     while True:
         # Only parts that changed last round are expanded.
         part_ev = node_ev.join(active, "node").select("p", "e").distinct()
         part_x = node_x.join(active, "node").select("p", "x").distinct()
-        hits = _closure_hits(part_ev, part_x, node_ev, node_x, key_node)
+        hits = _closure_hits(part_ev, part_x, held)
         owner = parts.withColumnRenamed("part", "q")
         more = checkpointed(
             hits.join(owner, "node", "left").select("p", F.coalesce("q", "node").alias("q")).where("p <> q").distinct()
@@ -384,16 +371,32 @@ def clusters(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def merged(df: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
-    """Merge clusters into long tables: events (facts of the first member), sessions, refs, tickets.
+    """Merge clusters into long tables: events (facts of the first member), sessions, facts, refs, tickets.
+
+    Sessions keep the fields of the first record that names them; session facts and the references
+    gathered by earlier merges (``sourceRefs``) are united.
 
     Long tables keep a hot cluster spread over rows instead of one wide document.
     """
     tagged = df.join(members, "ord")
-    facts = [c for c in df.columns if c not in ("ord", "sessions", "urls", "page", "tickets")]
+    nested = ("ord", "sessions", "urls", "page", "tickets", "sessionFacts", "sourceRefs")
+    facts = [c for c in df.columns if c not in nested]
     events = tagged.groupBy("cluster").agg(F.min_by(F.struct(*facts), F.col("ord")).alias("f"), F.count("*").alias("records")).select("cluster", "f.*", "records")
-    sessions = tagged.select("cluster", F.explode("sessions").alias("s")).select("cluster", "s.date", "s.time").distinct()
-    refs = tagged.select("cluster", "source", "uid").distinct()
-    out = {"events": events, "sessions": sessions, "refs": refs}
+    # The first record that names a session gives its further fields, such as a cancelled status.
+    each = tagged.select("cluster", "ord", F.posexplode("sessions").alias("_pos", "s"))
+    fields = df.schema["sessions"].dataType.elementType.names
+    sessions = each.groupBy("cluster", *[F.col(f"s.{k}").alias(k) for k in ("date", "time")]).agg(
+        F.min_by("s", F.struct("ord", "_pos")).alias("s")
+    ).select("cluster", "date", "time", *[f"s.{k}" for k in fields if k not in ("date", "time")])
+    refs = tagged.select("cluster", "source", "uid")
+    if "sourceRefs" in df.columns:
+        refs = refs.union(tagged.select("cluster", F.explode("sourceRefs").alias("r")).select("cluster", "r.source", "r.uid"))
+    out = {"events": events, "sessions": sessions, "refs": refs.distinct()}
+    if "sessionFacts" in df.columns:
+        f = tagged.select("cluster", "ord", F.posexplode("sessionFacts").alias("_pos", "f"))
+        first = f.groupBy("cluster", F.col("f.date").alias("date"), F.col("f.time").alias("time")).agg(F.min_by("f", F.struct("ord", "_pos")).alias("f"))
+        more = [n for n in df.schema["sessionFacts"].dataType.elementType.names if n not in ("date", "time")]
+        out["facts"] = first.select("cluster", "date", "time", *[f"f.{n}" for n in more])
     if "tickets" in df.columns:
         t = tagged.select("cluster", "ord", F.posexplode("tickets").alias("pos", "t")).select("cluster", "ord", "pos", "t.*")
         # The first ticket of a URL keeps its price and sale facts; later ones widen its scope.

@@ -47,20 +47,22 @@ def inc_02(spark, sf):
 
 
 @query("inc_03_reviewed_overlay", """
-SELECT d.doc_id AS id, 'crawl-' || d.lang AS title, CASE WHEN d.n_chars > 400 THEN CAST(d.n_chars AS VARCHAR) ELSE CASE WHEN l.quality = 1 THEN 'q' END END AS price,
-  coalesce(CASE WHEN l.toxic = 0 THEN 't' END, CASE WHEN l.quality = 1 THEN 'crawled-time' END) AS "saleAt",
-  CASE WHEN NOT coalesce(l.toxic = 0, false) AND coalesce(l.quality = 1, false) THEN 'crawled-note' ELSE 'reviewed-note' END AS "saleNote"
+SELECT d.doc_id AS id, CASE WHEN l.quality = 0 THEN 'old' WHEN d.lang <> 'fr' THEN 'crawl-' || d.lang END AS title,
+  CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.n_chars > 400 THEN CAST(d.n_chars AS VARCHAR) WHEN l.quality = 1 THEN 'q' END AS price,
+  CASE WHEN l.toxic = 0 THEN 't' WHEN l.quality = 1 THEN 'crawled-time' END AS "saleAt",
+  CASE WHEN l.doc_id IS NULL OR (l.toxic <> 0 AND l.quality = 1) THEN 'crawled-note' ELSE 'reviewed-note' END AS "saleNote"
 FROM documents d LEFT JOIN labels l USING (doc_id)
 """)
 def inc_03(spark, sf):
-    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
-    base = d.select("doc_id", "n_chars", "lang").join(l, "doc_id", "left")
-    reviewed = base.select(
+    # Labelled documents are the reviewed side; the crawl lists all but those of quality 0, so matched,
+    # unlisted and new records all occur. French titles arrive empty and clear the old ones.
+    base = table(spark, sf, "documents").select("doc_id", "n_chars", "lang").join(table(spark, sf, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
+    reviewed = base.where("known").select(
         F.col("doc_id").alias("id"), F.lit("old").alias("title"), F.when(F.col("n_chars") > 400, F.col("n_chars").cast("string")).alias("price"),
         F.when(F.col("toxic") == 0, "t").alias("saleAt"), F.lit("reviewed-note").alias("saleNote"),
     )
-    crawled = base.select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("crawl-"), F.col("lang")).alias("title"), F.when(F.col("quality") == 1, "q").alias("price"),
+    crawled = base.where("known IS NULL OR quality = 1").select(
+        F.col("doc_id").alias("id"), F.when(F.col("lang") != "fr", F.concat(F.lit("crawl-"), F.col("lang"))).alias("title"), F.when(F.col("quality") == 1, "q").alias("price"),
         F.when(F.col("quality") == 1, "crawled-time").alias("saleAt"), F.lit("crawled-note").alias("saleNote"),
     )
     return O.reviewed_overlay(reviewed, crawled, "id", ["title"], ["price", "saleAt"])

@@ -59,10 +59,7 @@ def random_records(seed, n):
     return out
 
 
-@pytest.mark.parametrize("largest_product", [R.MAX_PRODUCT, 0])
-def test_equals_the_sequential_scan(spark, monkeypatch, largest_product):
-    # With 0 every part takes the way meant for large parts.
-    monkeypatch.setattr(R, "MAX_PRODUCT", largest_product)
+def test_equals_the_sequential_scan(spark):
     # Many independent inputs in one run: the region carries the number of the input.
     records = []
     for k in range(150):
@@ -99,3 +96,15 @@ def test_components(spark):
 def test_star_edges_are_linear(spark):
     rows = [(i, 7) for i in range(1000)] + [(5000, 8)]
     assert CC.star_edges(spark.createDataFrame(rows, "node bigint, key bigint")).count() == 999
+
+
+def test_merge_keeps_status_facts_and_references(spark):
+    day = dt.date(2025, 4, 5)
+    schema = ("ord long, source string, uid string, title string, sessions array<struct<date:date,time:string,status:string>>, urls array<string>, page string, "
+              "sessionFacts array<struct<date:date,time:string,host:string>>, sourceRefs array<struct<source:string,uid:string>>")
+    rows = [(1, "a", "1", "t", [(day, "19:00", "cancelled")], [], None, [], [("z", "9")]), (2, "b", "2", "t", [(day, "19:00", None), (day, "21:00", None)], [], None, [(day, "21:00", "Kim")], None)]
+    members = spark.createDataFrame([(1, 1), (2, 1)], "ord long, cluster long")
+    out = R.merged(spark.createDataFrame(rows, schema), members)
+    assert {(r["time"], r["status"]) for r in out["sessions"].collect()} == {("19:00", "cancelled"), ("21:00", None)}
+    assert [(r["time"], r["host"]) for r in out["facts"].collect()] == [("21:00", "Kim")]
+    assert {(r["source"], r["uid"]) for r in out["refs"].collect()} == {("a", "1"), ("b", "2"), ("z", "9")}
