@@ -175,3 +175,67 @@ def first_session(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("event").agg(F.min(F.struct("day", F.coalesce("clock", F.lit("")).alias("clock"))).alias("s")).select(
         "event", F.col("s.day").alias("day"), F.col("s.clock").alias("clock")
     )
+
+
+@dataclass(frozen=True)
+class LiveFilter:
+    """A query for live events; empty fields do not restrict. Platform and day hold for one session together."""
+
+    region: str = ""
+    venue: str = ""
+    genre: str = ""
+    platform: str = ""
+    day: str = ""
+    text: str = ""
+    groups: dict[str, list[str]] = field(default_factory=dict)
+    text_columns: tuple[str, ...] = ("title", "venue")
+
+
+def live_sessions(events: DataFrame, sessions: DataFrame, tickets: DataFrame, today: Column) -> DataFrame:
+    """Coming, not cancelled sessions of events that stand, a row per covering platform or the unverified bucket.
+
+    events: id, region, venue, genre, title, cancelled; sessions and tickets: event, day, clock.
+    """
+    open_events = events.where(~F.coalesce("cancelled", F.lit(False))).drop("cancelled")
+    coming = sessions.where((F.col("day") >= today) & ~F.coalesce("cancelled", F.lit(False))).select("event", "day", "clock").distinct()
+    return session_platforms(coming, tickets).join(open_events, F.col("event") == F.col("id"))
+
+
+def _live_predicates(f: LiveFilter) -> dict[str, Column]:
+    equal = lambda c, v: F.col(c) == v if v else F.lit(True)
+    return {
+        "region": region_predicate(f.region, f.groups), "venue": equal("venue", f.venue), "genre": equal("genre", f.genre), "platform": equal("platform", f.platform),
+        "": (F.col("day") == F.lit(f.day).cast("date") if f.day else F.lit(True)) & (contains_text(f.text, *f.text_columns) if f.text else F.lit(True)),
+    }
+
+
+def search_live(rows: DataFrame, f: LiveFilter) -> DataFrame:
+    """Events with a session of ``live_sessions`` that meets the whole filter: id, first such day and clock, how many.
+
+    The first session is the sort key of the result; ``ranking.positions`` or a top-k page orders it.
+    """
+    cond = F.lit(True)
+    for p in _live_predicates(f).values():
+        cond = cond & p
+    hits = rows.where(cond).select("id", "day", "clock").distinct()
+    first = F.min(F.struct("day", F.coalesce("clock", F.lit("")).alias("clock")))
+    return hits.groupBy("id").agg(first.alias("s"), F.count("*").alias("sessions")).select("id", F.col("s.day").alias("day"), F.col("s.clock").alias("clock"), "sessions")
+
+
+def live_facets(rows: DataFrame, f: LiveFilter) -> DataFrame:
+    """Values of region, venue, genre and platform with the number of events each would give.
+
+    Every facet leaves out its own condition (the region also the venue's); all others hold for the
+    same session, so each offered value returns at least one event.
+    """
+    predicates = _live_predicates(f)
+    rest = predicates.pop("")
+    entries = []
+    for facet in predicates:
+        cond = rest
+        for other, p in predicates.items():
+            if other != facet and not (facet == "region" and other == "venue"):
+                cond = cond & p
+        entries.append(F.when(cond, F.struct(F.lit(facet).alias("facet"), F.col(facet).cast("string").alias("value"))))
+    found = rows.select("id", F.explode(F.array_compact(F.array(*entries))).alias("x")).select("id", "x.*").distinct()
+    return found.groupBy("facet", "value").agg(F.count("*").alias("n"))

@@ -188,6 +188,17 @@ def agg_12(spark, sf):
     return S.facets(B.listing(spark, sf), predicates, {"region": ["venue"]})
 
 
+@query("agg_12_live_facets", LIVE + """
+, x AS (SELECT *, region = 'ASIA' AS p_region, venue = 'NATION_2' AS p_venue, genre = '5-LOW' AS p_genre, platform = 'ibon' AS p_platform FROM live)
+SELECT 'region' AS facet, region AS value, count(DISTINCT id) AS n FROM x WHERE p_genre AND p_platform GROUP BY 2
+UNION ALL SELECT 'venue', venue, count(DISTINCT id) FROM x WHERE p_region AND p_genre AND p_platform GROUP BY 2
+UNION ALL SELECT 'genre', genre, count(DISTINCT id) FROM x WHERE p_region AND p_venue AND p_platform GROUP BY 2
+UNION ALL SELECT 'platform', platform, count(DISTINCT id) FROM x WHERE p_region AND p_venue AND p_genre GROUP BY 2
+""")
+def agg_12_live(spark, sf):
+    return S.live_facets(B.live(spark, sf), S.LiveFilter(region="ASIA", venue="NATION_2", genre="5-LOW", platform="ibon"))
+
+
 @query("agg_13_platform_values", SESSION + f"""
 , t AS (SELECT DISTINCT event, day, clock, platform FROM session WHERE scoped)
 SELECT coalesce(t.platform, '{V.UNVERIFIED_PLATFORM}') AS platform, count(*) AS sessions

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marquee.functions import values as V
 from marquee.plans.registry import query
 from marquee.sources import bindings as B
 from marquee.sources.bindings import table
@@ -25,6 +26,7 @@ SESSION = f"WITH {B.SESSION_SQL}"
 LISTING = f"WITH {B.LISTING_SQL}"
 PERIOD = f"WITH {B.PERIOD_SQL}"
 SNAP = f"WITH {B.SNAP_SQL}"
+LIVE = f"WITH {B.LIVE_SQL}".replace("'unverified'", "'" + V.UNVERIFIED_PLATFORM + "'")
 
 # Text helpers of the SQL twins.
 SPACE_SQL = r"[\s\p{Z}\x{85}\x{0B}]+"

@@ -138,6 +138,15 @@ def flt_06(spark, sf):
     return hit.groupBy("event").agg(F.count("*").alias("matching"))
 
 
+@query("flt_06_live_search", LIVE + """
+, h AS (SELECT DISTINCT id, day, clock FROM live WHERE region IN ('ASIA', 'EUROPE') AND platform = 'KKTIX' AND contains(lower(title || ' ' || venue), 'o'))
+SELECT id, CAST(min(CAST(day AS VARCHAR) || ' ' || coalesce(clock, ''))[1:10] AS DATE) AS day, min(CAST(day AS VARCHAR) || ' ' || coalesce(clock, ''))[12:] AS clock,
+  count(*) AS sessions FROM h GROUP BY 1
+""")
+def flt_06_live(spark, sf):
+    return S.search_live(B.live(spark, sf), S.LiveFilter(region="east", platform="KKTIX", text="O", groups={"east": ["ASIA", "EUROPE"]}))
+
+
 @query("flt_07_uncovered_session", SESSION + """
 SELECT s.event, s.day, s.clock, s.ord FROM session s
 WHERE NOT EXISTS (SELECT 1 FROM session t WHERE t.scoped AND t.event = s.event AND t.day = s.day

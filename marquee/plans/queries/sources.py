@@ -16,10 +16,17 @@ SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
 FROM events
 """)
 def src_01(spark, sf):
-    # Two spellings of one field: a declared schema reads both, the first present one counts.
-    e = table(spark, sf, "events").withColumn("p", F.from_json("props", "k BIGINT"))
-    upper = F.get_json_object("props", "$.K").try_cast("bigint")
-    return e.select("event_id", "event_type", F.col("p.k").alias("k"), F.coalesce(upper, F.col("p.k")).alias("either"))
+    # Provider rows as JSON files in the shared folder, odd ones with the second spelling of the show
+    # list and the price; the provider reader unites both.
+    root = _out_dir(spark, "provider")
+    k = F.get_json_object("props", "$.k")
+    show = lambda name: F.to_json(F.array(F.struct(F.col("event_type").alias("locationName"), k.alias(name))))
+    row = lambda shows, price: F.concat(F.lit('{"UID":"'), F.col("event_id").cast("string"), F.lit('","category":"'), F.col("event_type"), F.lit(f'","{shows}":'), show(price), F.lit("}"))
+    e = table(spark, sf, "events")
+    e.select(F.when(F.col("event_id") % 2 == 0, row("showInfo", "price")).otherwise(row("showinfo", "Price"))).write.text(root)
+    rows = R.read_provider(spark, root)
+    price = F.get("shows", F.lit(0))["price"].cast("bigint")
+    return rows.select(F.col("UID").cast("bigint").alias("event_id"), F.col("category").alias("event_type"), price.alias("k"), price.alias("either"))
 
 
 @query("src_02_kind_fanout", """
@@ -66,7 +73,11 @@ def src_04(spark, sf):
 SELECT DISTINCT trim(url) AS url FROM pages WHERE regexp_matches(url, '^https://[^/]+/[a-z]{2}/\d+$')
 """)
 def src_05(spark, sf):
-    return R.listed_urls(table(spark, sf, "pages"), F.col("url"), r"^https://[^/]+/[a-z]{2}/\d+$")
+    # Sitemap files of the page table, written to the shared folder and read as XML.
+    root = _out_dir(spark, "sitemap")
+    loc = F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "<", "&lt;")
+    table(spark, sf, "pages").select(F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>"))).write.text(root)
+    return R.read_sitemap(spark, root, r"^https://[^/]+/[a-z]{2}/\d+$")
 
 
 @query("src_06_feed_scan", """
@@ -75,8 +86,12 @@ SELECT c_custkey AS feed, count(event_id) AS entries, sum(CAST(json_extract(prop
 FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1
 """)
 def src_06(spark, sf):
-    # Feeds come from the registry, so one without entries shows.
-    e = table(spark, sf, "events").select(F.col("user_id").alias("feed"), F.from_json("props", "k BIGINT")["k"].alias("k"))
+    # Entries as JSON feed files in the shared folder, one feed object a row, read with the declared
+    # schema. Feeds come from the registry, so one without entries shows.
+    root = _out_dir(spark, "feed")
+    entry = F.struct(F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("title"), F.lit("").alias("summary"), F.col("props").alias("content"))
+    table(spark, sf, "events").select(F.to_json(F.struct(F.array(entry).alias("entry")))).write.text(root)
+    e = R.read_feed(spark, root).select(F.col("url").cast("bigint").alias("feed"), F.from_json("content", "k BIGINT")["k"].alias("k"))
     n = e.groupBy("feed").agg(F.count("*").alias("entries"), F.sum("k").alias("k_sum"))
     feeds = table(spark, sf, "customer").select(F.col("c_custkey").alias("feed"))
     return feeds.join(n, "feed", "left").select("feed", F.coalesce("entries", F.lit(0)).alias("entries"), "k_sum", F.col("entries").isNull().alias("empty_feed"))
@@ -86,11 +101,15 @@ def src_06(spark, sf):
 SELECT conv_id AS page_id, turn AS item_pos, role AS item_kind, length(text) AS n_chars FROM conversations
 """)
 def src_07(spark, sf):
-    # A turn is already one item row; the nested reader is ``readers.explode_envelope``.
-    c = table(spark, sf, "conversations")
-    return c.select(
-        F.col("conv_id").alias("page_id"), F.col("turn").alias("item_pos"), F.col("role").alias("item_kind"),
-        F.length("text").cast("bigint").alias("n_chars"),
+    # One JSON envelope a turn, in files of the shared folder, read with the declared schema and exploded.
+    root = _out_dir(spark, "envelopes")
+    item = F.struct(F.col("turn").cast("string").alias("sourceUid"), F.create_map(F.lit("kind"), F.col("role"), F.lit("text"), F.col("text")).alias("evidence"))
+    page = F.struct(F.col("conv_id").cast("string").alias("id"), F.array(item).alias("items"))
+    table(spark, sf, "conversations").select(F.to_json(F.struct(F.lit("talks").alias("sourceId"), F.array(page).alias("pages")))).write.text(root)
+    items = R.explode_envelope(R.read_envelopes(spark, root))
+    return items.select(
+        F.col("page_id").cast("bigint").alias("page_id"), F.col("item.sourceUid").cast("bigint").alias("item_pos"), F.col("item.evidence")["kind"].alias("item_kind"),
+        F.length(F.col("item.evidence")["text"]).cast("bigint").alias("n_chars"),
     )
 
 

@@ -161,3 +161,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
+
+
+LIVE_SQL = RAW_LISTING_SQL + "," + SESSION_SQL + """,
+live AS (
+  SELECT l.id, l.region, l.venue, l.source AS genre, l.title, s.day, s.clock, coalesce(t.platform, 'unverified') AS platform
+  FROM (SELECT DISTINCT event, day, clock FROM session WHERE day >= DATE '1998-06-01' AND NOT cancelled) s
+  JOIN raw_listing l ON l.id = s.event AND l.status <> 'P'
+  LEFT JOIN (SELECT DISTINCT event, day, clock, platform FROM session WHERE scoped OR part % 2 = 0) t
+    ON t.event = s.event AND t.day = s.day AND t.clock IS NOT DISTINCT FROM s.clock)
+"""
+
+
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as live events (status P stands for cancelled), line items as sessions and tickets."""
+    from marquee.operators.search import live_sessions
+
+    events = raw_listing(spark, sf_dir).select("id", "region", "venue", F.col("source").alias("genre"), "title", (F.col("status") == "P").alias("cancelled"))
+    s = session(spark, sf_dir)
+    return live_sessions(events, s, s.where("scoped OR part % 2 = 0"), F.lit(AS_OF).cast("date"))

@@ -9,6 +9,9 @@ from marquee import schemas as S
 SOURCE_ID = r"^[a-z0-9][a-z0-9-]{0,63}$"
 
 
+PROVIDER_FIELDS = ["UID", "version", "title", "category", "startDate", "endDate", "showUnit", "descriptionFilterHtml", "sourceWebPromote"]
+
+
 class SourceError(ValueError):
     """A source whose input cannot be used; ``code`` is a fixed, publishable reason."""
 
@@ -18,9 +21,17 @@ class SourceError(ValueError):
 
 
 def read_provider(spark: SparkSession, path: str) -> DataFrame:
-    """src_01: provider catalogue; both spellings of the show list and the price are read."""
-    raw = spark.read.schema(S.PROVIDER_ROW).option("caseSensitive", "true").json(path, multiLine=True)
-    return unify_spellings(raw)
+    """src_01: provider catalogue, one JSON object a line; both spellings of the show list and the price are read.
+
+    Column names are case-insensitive, so each spelling is parsed on its own from the row's text.
+    """
+    lines = spark.read.text(path)
+    one = lambda shows, price: F.from_json("value", S.PROVIDER_ROW.replace("showInfo array", f"{shows} array").replace(" price:", f" {price}:"))
+    parts = lines.select(one("showInfo", "price").alias("a"), one("showinfo", "price").alias("b"), one("showInfo", "Price").alias("c"), one("showinfo", "Price").alias("d"))
+    shows = F.coalesce("a.showInfo", "b.showinfo")
+    prices = F.coalesce("c.showInfo", "d.showinfo")
+    both = F.zip_with(shows, prices, lambda x, y: x.withField("price", F.coalesce(x["price"], y["Price"])))
+    return parts.select(*[F.col(f"a.{n}").alias(n) for n in PROVIDER_FIELDS], both.alias("shows"))
 
 
 def unify_spellings(raw: DataFrame) -> DataFrame:
@@ -80,11 +91,16 @@ def listed_urls(df: DataFrame, loc: Column, keep: str) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """src_06: entries of a JSON feed."""
-    feed = spark.read.schema(S.FEED).json(path, multiLine=True)
+    """src_06: entries of JSON feeds, one feed object a line."""
+    feed = spark.read.schema(S.FEED).json(path)
     return feed.select(F.explode("entry").alias("e")).select("e.*")
 
 
+def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """src_07: reviewed envelopes, one JSON object a line."""
+    return spark.read.schema(S.ENVELOPE).json(path)
+
+
 def explode_envelope(envelopes: DataFrame) -> DataFrame:
     """src_07: reviewed envelopes to one row per item, positions kept."""
     pages = envelopes.select(
