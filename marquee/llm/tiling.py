@@ -111,8 +111,10 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return np.unpackbits(out.astype("<u8").view(np.uint8), bitorder="little").astype(bool)
 
 
-def covered(docs: DataFrame, benchmark: DataFrame, least: int = SEED, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, n_tiles, covered, item_words, coverage) of pairs with coverage >= ``threshold``.
+def covered(docs: DataFrame, benchmark: DataFrame, least: int = SEED, threshold: float = 0.5, run: int = 13) -> DataFrame:
+    """(doc_id, item_id, n_tiles, longest, covered, item_words, coverage) of leaks.
+
+    A pair leaks if its coverage is ``threshold`` or more, or one tile has ``run`` words or more.
 
     Words are compared in lower case without marks. Items of fewer than five words are too short to
     tell a leak and match nothing, as do null and empty texts. Rows with repeated or null ids are
@@ -154,8 +156,9 @@ def covered(docs: DataFrame, benchmark: DataFrame, least: int = SEED, threshold:
                 text += [*np.frombuffer(part["words"], np.uint64).tolist(), -1 - n]  # a tile doesn't cross parts
             marked = tiles(item, text, least)
             n = sum(k for _, _, k in marked)
-            out.append((doc_id, item_id, len(marked), n, len(item), n / len(item)))
-        return pd.DataFrame(out, columns=["doc_id", "item_id", "n_tiles", "covered", "item_words", "coverage"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+            longest = max((k for _, _, k in marked), default=0)
+            out.append((doc_id, item_id, len(marked), longest, n, len(item), n / len(item)))
+        return pd.DataFrame(out, columns=["doc_id", "item_id", "n_tiles", "longest", "covered", "item_words", "coverage"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    found = mapped(whole.select("doc_id", "item_id", "own", "parts"), tile, "doc_id long, item_id long, n_tiles int, covered int, item_words int, coverage double")
-    return found.where(F.col("coverage") >= threshold)
+    found = mapped(whole.select("doc_id", "item_id", "own", "parts"), tile, "doc_id long, item_id long, n_tiles int, longest int, covered int, item_words int, coverage double")
+    return found.where((F.col("coverage") >= threshold) | (F.col("longest") >= run))

@@ -89,6 +89,13 @@ def test_leaks(spark):
     assert (4, 3) in {(r["doc_id"], r["item_id"]) for r in tiling.covered(df, bench, threshold=0.25).collect()}
 
 
+def test_a_long_run_of_a_longer_item_leaks(spark):
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = ["x " + " ".join(words[20:33]) + " y", "x " + " ".join(words[20:32]) + " y"]
+    assert [(r["doc_id"], r["longest"]) for r in tiling.covered(docs_frame(spark, texts), bench).collect()] == [(0, 13)]
+
+
 def test_leaks_of_repeats_and_nothing(spark):
     text = "one two three four five six"
     bench = spark.createDataFrame([(1, text), (1, text)], "item_id long, text string")
