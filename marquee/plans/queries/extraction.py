@@ -159,6 +159,29 @@ def ext_12(spark, sf):
     )
 
 
+@query("ext_12_calendar_races", """
+SELECT o_orderkey AS race, CASE o_orderstatus WHEN 'F' THEN 'monaco' WHEN 'O' THEN 'italy' ELSE 'c' || (o_custkey % 10) END AS id,
+  year(o_orderdate) = 1997 AND o_orderpriority <> '5-LOW' AS valid, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 2 END AS sessions,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'Practice 1' ELSE '' END AS missing,
+  CAST(CAST(o_orderdate AS DATE) - CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 2 END AS VARCHAR) AS weekend_start FROM orders
+""")
+def ext_12_races(spark, sf):
+    # Orders as calendar rows: low ones carry a race time without a zone, urgent ones no practice time.
+    day = F.col("o_orderdate").cast("date")
+    point = lambda d, t: F.struct(d.cast("string").alias("date"), t.alias("time"))
+    none = F.lit(None).cast("struct<date:string,time:string>")
+    raw = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("race"), F.year("o_orderdate").cast("string").alias("season"),
+        F.when(F.col("o_orderstatus") == "F", "Monaco Grand Prix").when(F.col("o_orderstatus") == "O", "Italian Grand Prix").otherwise(F.lit("Town Grand Prix")).alias("raceName"),
+        F.struct(F.concat(F.lit("c"), (F.col("o_custkey") % 10).cast("string")).alias("circuitId")).alias("Circuit"), day.cast("string").alias("date"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "12:00:00").otherwise(F.lit("12:00:00Z")).alias("time"),
+        point(F.date_sub(day, 2), F.when(F.col("o_orderpriority") != "1-URGENT", "10:00:00Z")).alias("FirstPractice"),
+        *[none.alias(f) for f, _ in V.CALENDAR_FIELDS if f != "FirstPractice"],
+    )
+    out = CAL.races(raw, "1997")
+    return out.select("race", "id", "valid", F.size("sessions").cast("bigint").alias("sessions"), F.array_join("missingTimes", ",").alias("missing"), F.col("weekendStart").alias("weekend_start"))
+
+
 @query("joi_08_contained_titles", f"""
 WITH t AS (SELECT DISTINCT {host_sql('url')} AS host, {word_key_sql(clean_sql(TITLE_SQL))} AS k FROM pages),
 l AS (SELECT * FROM t WHERE length(k) >= 8)

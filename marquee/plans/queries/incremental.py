@@ -46,6 +46,28 @@ def inc_02(spark, sf):
     return out.select("id", "day", "status", "final_status")
 
 
+@query("inc_02_merge_live", SESSION + f"""
+, s AS (SELECT event AS id, count(DISTINCT (day, coalesce(clock, ''))) AS a, count(DISTINCT (day, coalesce(clock, ''))) FILTER (ord < 6) AS b, max(day) FILTER (ord < 6) AS last FROM session GROUP BY 1),
+e AS (SELECT s.*, o_orderpriority AS p, CASE WHEN o_orderstatus = 'O' THEN 'rescheduled' ELSE 'scheduled' END AS old FROM s JOIN orders ON o_orderkey = id)
+SELECT id, CASE WHEN p = '1-URGENT' OR b = 0 THEN 'scheduled' WHEN p = '5-LOW' THEN CASE WHEN last >= {AS_OF_SQL} THEN 'unconfirmed' ELSE old END
+  WHEN a <> b THEN 'changed' ELSE old END AS status, CASE WHEN p NOT IN ('1-URGENT', '5-LOW') AND b > 0 AND a <> b THEN 1 ELSE 0 END AS revisions FROM e
+WHERE NOT (p = '5-LOW' AND b = 0)
+""")
+def inc_02_merge(spark, sf):
+    # Yesterday's snapshot lacks the urgent orders and the later lines; today's lacks the low ones.
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("st"))
+    slots = lambda s: s.groupBy(F.col("event").alias("id")).agg(F.array_sort(F.collect_set(F.struct(F.col("day").alias("date"), F.col("clock").alias("time")))).alias("sessions"))
+    s = B.session(spark, sf)
+    shape = lambda df, status: df.select(
+        "id", "sessions", status.alias("status"), F.lit(None).cast("string").alias("statusNote"),
+        F.expr("cast(array() as array<struct<at:string,note:string,previousSessions:array<struct<date:date,time:string>>>>)").alias("revisions"),
+    )
+    before = shape(slots(s.where("ord < 6")).join(o.where("p <> '1-URGENT'"), "id"), F.when(F.col("st") == "O", "rescheduled").otherwise(F.lit("scheduled")))
+    now = shape(slots(s).join(o.where("p <> '5-LOW'"), "id"), F.lit("scheduled"))
+    out = P.merge_live(before, now, f"{B.AS_OF}T09:00:00+08:00")
+    return out.select("id", "status", F.size("revisions").cast("bigint").alias("revisions"))
+
+
 @query("inc_03_reviewed_overlay", """
 SELECT d.doc_id AS id, CASE WHEN l.quality = 0 THEN 'old' WHEN d.lang <> 'fr' THEN 'crawl-' || d.lang END AS title,
   CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.n_chars > 400 THEN CAST(d.n_chars AS VARCHAR) WHEN l.quality = 1 THEN 'q' END AS price,

@@ -76,7 +76,8 @@ def src_05(spark, sf):
     # Sitemap files of the page table, written to the shared folder and read as XML.
     root = _out_dir(spark, "sitemap")
     loc = F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "<", "&lt;")
-    table(spark, sf, "pages").select(F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>"))).write.text(root)
+    nodes = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 1000).alias("n"), F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>")).alias("x"))
+    nodes.groupBy("n").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("x"), ""), F.lit("</urlset>")).alias("doc")).select("doc").write.text(root)
     return R.read_sitemap(spark, root, r"^https://[^/]+/[a-z]{2}/\d+$")
 
 

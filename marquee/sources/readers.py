@@ -82,8 +82,10 @@ def registry_problems(registry: DataFrame, id_col: str = "id") -> DataFrame:
 
 def read_sitemap(spark: SparkSession, path: str, keep: str) -> DataFrame:
     """src_05: distinct URLs of a sitemap that match the pattern."""
-    nodes = spark.read.schema("loc string").xml(path, rowTag="url")
-    return listed_urls(nodes, F.col("loc"), keep)
+    # One record per document, of which a file may hold several; a sitemap lists 50,000 URLs at most.
+    docs = spark.read.text(path, lineSep="</urlset>").where(F.col("value").contains("<urlset"))
+    nodes = docs.select(F.from_xml(F.concat(F.trim("value"), F.lit("</urlset>")), "url array<struct<loc: string>>").alias("x"))
+    return listed_urls(nodes.select(F.explode("x.url").alias("u")), F.col("u.loc"), keep)
 
 
 def listed_urls(df: DataFrame, loc: Column, keep: str) -> DataFrame:
