@@ -28,7 +28,7 @@ from marquee.llm.words import CODES, STEP, keyed, lots, mix, run_keys, span_keys
 
 #: Bytes of text of a source, and of runs of a shard; memory of a task follows them, not the input.
 SOURCE_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 5 << 19
 #: Occurrences from which a minimizer counts as hot.
 HOT = 4096
 KEY_BYTES = 6
