@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from marquee.llm.common import release
 from marquee.llm.tokens import default_tokenizer, encoder
 from marquee.operators.ranking import checkpointed, positions
 
@@ -41,6 +42,7 @@ def pieces(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, end
                     part = ids[at : at + limit]
                     out.append((None if pd.isna(doc_id) else int(doc_id), row, n, at, len(part), zlib.crc32(part.tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInPandas(run, PIECES)

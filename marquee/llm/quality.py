@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from marquee.llm.common import mapped
+from marquee.llm.common import mapped, release
 
 #: Labelled rows used for fitting, those of the smallest hashes of doc_id; the rest is only scored.
 SAMPLE = 12_000
@@ -149,7 +149,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(texts))
+        out = pd.Series(sent.value.score(texts))
+        release()
+        return out
 
     return docs.withColumn("_score", score("text"))
 

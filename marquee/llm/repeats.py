@@ -23,6 +23,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from marquee.llm.common import release
 from marquee.llm.repair import folder
 from marquee.llm.words import CODES, STEP, keyed, lots, mix, run_keys, span_keys
 
@@ -319,6 +320,24 @@ def covered(frame: pd.DataFrame, back: pd.DataFrame, unit):
         base += len(lot)
 
 
+def _light(work: Callable, sides: int = 1) -> Callable:
+    """``work`` on a group, after which the worker gives its memory back."""
+
+    def one(a: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return work(a)
+        finally:
+            release()
+
+    def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return work(a, b)
+        finally:
+            release()
+
+    return one if sides == 1 else two
+
+
 def marked(docs: DataFrame, unit, index: Callable, make: Callable, schema: str, beside: list[str] = ()) -> DataFrame:
     """``make(doc_id, raw, spans, mask)`` rows of all documents with a doc_id.
 
@@ -332,12 +351,12 @@ def marked(docs: DataFrame, unit, index: Callable, make: Callable, schema: str,
     sourced = rows.select("doc_id", "text", src)
     columns = [c.split()[0] for c in schema.split(", ")]
 
-    announced = sourced.groupBy("src").applyInPandas(lambda f: _announce(f, unit, sources), "bucket int, src int, keys binary, seen binary")
-    answers = announced.groupBy("bucket").applyInPandas(_answer, "src int, bucket int, repeated binary, hot binary").withColumn("buckets", F.lit(sources))
+    announced = sourced.groupBy("src").applyInPandas(_light(lambda f: _announce(f, unit, sources)), "bucket int, src int, keys binary, seen binary")
+    answers = announced.groupBy("bucket").applyInPandas(_light(_answer), "src int, bucket int, repeated binary, hot binary").withColumn("buckets", F.lit(sources))
     path = folder(spark, "runs")
-    sourced.groupBy("src").cogroup(answers.groupBy("src")).applyInPandas(lambda a, b: _send(a, b, unit, shards), SENT).write.option("compression", "zstd").parquet(path)
+    sourced.groupBy("src").cogroup(answers.groupBy("src")).applyInPandas(_light(lambda a, b: _send(a, b, unit, shards), 2), SENT).write.option("compression", "zstd").parquet(path)
     sent = spark.read.schema(SENT).parquet(path)
-    resolved = sent.where("kind = 0").groupBy("g").applyInPandas(lambda f: _resolve(f, index, unit.size), "src int, g int, n binary, values binary")
+    resolved = sent.where("kind = 0").groupBy("g").applyInPandas(_light(lambda f: _resolve(f, index, unit.size)), "src int, g int, n binary, values binary")
     back = resolved.select("src", "g", "n", "values", F.lit(None).cast("binary").alias("places")).unionByName(
         sent.where("kind = 1").select("src", "g", F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("values"), "places")
     )
@@ -351,7 +370,7 @@ def marked(docs: DataFrame, unit, index: Callable, make: Callable, schema: str,
         out = pd.DataFrame([make(*x) for x in covered(a, b, unit)] if len(a) else [], columns=columns)
         return out.assign(**{c: a[c] for c in beside}) if len(a) else out.reindex(columns=[*columns, *beside])
 
-    return told.groupBy("src").cogroup(back.groupBy("src")).applyInPandas(finish, schema)
+    return told.groupBy("src").cogroup(back.groupBy("src")).applyInPandas(_light(finish, 2), schema)
 
 
 def sha(raw: bytes) -> str:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from marquee.llm.common import partitions
+from marquee.llm.common import partitions, release
 from marquee.operators.components import components
 from marquee.operators.ranking import checkpointed
 
@@ -49,7 +49,9 @@ def _signed(value: int) -> int:
 
 @F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([_signed(fingerprint(t)) for t in texts], dtype="int64")
+    out = pd.Series([_signed(fingerprint(t)) for t in texts], dtype="int64")
+    release()
+    return out
 
 
 def _keys(fp: Column, limit: int) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from marquee.llm.common import mapped
+from marquee.llm.common import mapped, release
 from marquee.llm.words import keyed, lots, run_keys
 from marquee.operators.ranking import checkpointed
 
@@ -139,6 +139,7 @@ def covered(docs: DataFrame, benchmark: DataFrame, least: int = SEED, threshold:
                 for n, (a, b) in enumerate(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))):
                     out.append((row, None if pd.isna(doc_id) else int(doc_id), n, words[a : b + SEED - 1].tobytes()))
             yield pd.DataFrame(out, columns=["row", "doc_id", "part", "words"]).astype({"doc_id": "Int64"})
+        release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = checkpointed(rows.mapInPandas(cut, "row long, doc_id long, part int, words binary"))
