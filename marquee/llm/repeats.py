@@ -23,13 +23,14 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from marquee.llm.common import release
+from marquee.llm.common import partitions, release
 from marquee.llm.repair import folder
 from marquee.llm.words import CODES, STEP, keyed, lots, mix, run_keys, span_keys
 
 #: Bytes of text of a source, and of runs of a shard; memory of a task follows them, not the input.
 SOURCE_BYTES = 8 << 20
 SHARD_BYTES = 5 << 19
+LEAST_BYTES = 1 << 18
 #: Occurrences from which a minimizer counts as hot.
 HOT = 4096
 KEY_BYTES = 6
@@ -346,7 +347,9 @@ def marked(docs: DataFrame, unit, index: Callable, make: Callable, schema: str,
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sources, shards = max(1, total // SOURCE_BYTES), max(1, total // SHARD_BYTES)
+    # As many groups as there are partitions to fill, but none of less than LEAST_BYTES for it.
+    spread = min(partitions(spark), total // LEAST_BYTES)
+    sources, shards = max(1, total // SOURCE_BYTES, spread), max(1, total // SHARD_BYTES, spread)
     src = F.pmod(F.xxhash64("doc_id"), F.lit(sources)).cast("int").alias("src")
     sourced = rows.select("doc_id", "text", src)
     columns = [c.split()[0] for c in schema.split(", ")]
