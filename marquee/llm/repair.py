@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm.common import partitions
+from marquee.llm.common import partitions, release
 from marquee.llm.tokens import default_tokenizer, encoder
 from marquee.operators.ranking import ensure_checkpoint_dir
 
@@ -148,6 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1
                 size += len(ids) + 1
         if held:
             yield flush()
+        release()
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _ordered(rows).mapInPandas(run, SHARDS).write.mode("overwrite").parquet(path)
@@ -188,6 +189,7 @@ def _decoded(spark: SparkSession, path: str, schema: str, make) -> DataFrame:
                         own = ids[start - starts[at] : start - starts[at] + n]
                         out.append(make(doc_id, before[row.pid] + row.first + start, own))
                 yield pd.DataFrame(out, columns=columns)
+        release()
 
     return shards.mapInPandas(run, schema)
 
