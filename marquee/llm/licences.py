@@ -53,8 +53,9 @@ RULES = [
     ("Unlicense", ["unlicense.note"]),
     ("Proprietary", ["reserved.note"]),
 ]
-#: Every known sentence holds one of these, so other sentences need no normalisation.
-ANCHORS = ["licen", "rights reserved", "permission", "redistribut", "warrant", "copyright", "public domain"]
+#: Every known sentence holds one of these inside a word, so raw text without them needs no normalisation,
+#: however its words are spaced, wrapped or hyphenated.
+ANCHORS = ["licen", "reserved", "permission", "redistribut", "warrant", "copyright", "domain"]
 
 
 def _anchored(text: Column) -> Column:

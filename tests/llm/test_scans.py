@@ -34,6 +34,17 @@ def test_every_known_sentence_passes_the_gate():
     assert {i for _, ids in licences.RULES for i in ids} <= set(licences.SENTENCES.values())
 
 
+def test_wrapped_and_spaced_sentences_pass_the_gate(spark):
+    texts = ["(c) X. All rights\nreserved.", "(c) X. All rights  reserved.", "All rights\treserved", "all rights-reserved", "Word. All Rights\r\nReserved!", "This is free and unencumbered software released into the public\ndomain.", "This is free and unencumbered software released into the public  domain.", "A reserved seat in the domain."]
+    got = sorted((r["doc_id"], r["licence"]) for r in licences.scan(docs_frame(spark, texts)).collect())
+    assert got == [(i, "Proprietary") for i in range(5)] + [(5, "Unlicense"), (6, "Unlicense")]
+
+
+def test_anchors_are_parts_of_single_words():
+    assert all(any(a in word for a in licences.ANCHORS for word in s.split()) for s in licences.SENTENCES)
+    assert all(a.isalnum() for a in licences.ANCHORS)
+
+
 def test_licences_of_repeats_and_nothing(spark):
     df = docs_frame(spark, ["All rights reserved."] * 3, [1, 1, None])
     assert licences.scan(df).count() == 3 and licences.scan(docs_frame(spark, [])).count() == 0
