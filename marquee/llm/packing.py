@@ -35,16 +35,20 @@ def pieces(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, end
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
         for frame in frames:
-            out = []
+            out, names = [], []
             for doc_id, row, ids in zip(frame["doc_id"], frame["row"], encode.batch(frame["text"])):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for n, at in enumerate(range(0, len(ids), limit)):
                     part = ids[at : at + limit]
-                    out.append((None if pd.isna(doc_id) else int(doc_id), row, n, at, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    names.append(None if pd.isna(doc_id) else int(doc_id))
+                    out.append((row, n, at, len(part), zlib.crc32(part.tobytes())))
+            found = pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32"])
+            found.insert(0, "doc_id", pd.array(names, "Int64"))
+            yield found
         release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    # Ids go as strings, as whole numbers beside nulls would reach Python as inexact floats.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInPandas(run, PIECES)
 
 

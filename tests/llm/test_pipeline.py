@@ -44,3 +44,29 @@ def test_stages(spark, tmp_path):
     whole = pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, packed))
+
+
+def test_rows_of_repeated_and_null_doc_ids(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeinrstlo") for _ in range(rng.randint(3, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    a, b, c, d, e, f, passage, item = (line(60) for _ in range(8))
+    rows = [(3, b), (5, b), (5, a), (3, b), (3, b), (7, d), (7, d), (7, f"{e} {item}"), (None, c), (None, c), (None, d), (None, f"{f} {passage}"), (None, f"{item} {f[:90]}"), (2**60 + 1, passage)]
+    docs = docs_frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    taken = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=order)
+    near = pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    kept = [(3, b), (5, a), (7, d), (7, f"{e} {item}"), (2**60 + 1, passage), (None, c), (None, f"{f} {passage}"), (None, f"{item} {f[:90]}")]
+    assert taken(near) == sorted(kept, key=order) and near.columns == DOCS.names
+    left = pipeline.leak_stage(spark, near, str(tmp_path))
+    clean = [x for x in kept if item not in x[1]]
+    assert taken(left) == sorted(clean, key=order) and (7, d) in clean
+    # A row without doc_id comes after the others, so it loses the passage; all rows stay.
+    cut = pipeline.suffix_stage(spark, left, str(tmp_path))
+    assert taken(cut) == sorted([(i, f"{f} " if t == f"{f} {passage}" else t) for i, t in clean], key=order)
+    assert cut.columns == DOCS.names and [t for _, t in cut.dtypes] == [x.dataType.simpleString() for x in DOCS]
+    # Exact repeats are emptied but for one.
+    again = pipeline.suffix_stage(spark, docs_frame(spark, [a, a, a], [4, 4, None]), str(tmp_path))
+    assert sorted(r["text"] for r in again.collect()) == ["", "", a]
+    assert {r["doc_id"] for r in pipeline.packing_stage(spark, cut, str(tmp_path)).collect()} == {3, 5, 7, 2**60 + 1, None}
