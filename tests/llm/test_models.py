@@ -104,3 +104,13 @@ def test_toxicity_of_odd_rows(spark):
     got = toxicity.severity(df, labels).collect()
     assert len(got) == 4 and not any(r["toxic"] for r in got)
     assert toxicity.severity(docs_frame(spark, []), labels).count() == 0
+
+
+def test_a_repeated_labelled_row_does_not_displace_others(spark):
+    texts = [f"good plain words number {i}. " * 5 if i % 2 else f"BUY!! {i} $$$ NOW ### " * 9 for i in range(40)]
+    ids = [100 + i for i in range(40)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in ids], "doc_id long, quality int, toxic int")
+    low = next(i for i in range(40) if zlib.crc32(str(ids[i]).encode()) % 5)
+    plain = quality.fit(docs_frame(spark, texts, ids), labels, sample=40)
+    again = quality.fit(docs_frame(spark, texts + [texts[low]] * 100, ids + [ids[low]] * 100), labels, sample=40)
+    assert np.allclose(plain.w, again.w) and np.allclose(plain.mean, again.mean)
