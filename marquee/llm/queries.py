@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import embeddings, fmindex, licences, packing, quality, repair, simhash, suffixes, tiling, toxicity
+from marquee.llm import embeddings, exact, fmindex, licences, merkle, packing, periodic, quality, repair, simhash, suffixes, tiling, toxicity
 from marquee.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -58,3 +58,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.removed(table(spark, sf_dir, "documents"))
+
+
+@query("op11_exact_dedup", exact.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"), repair.folder(spark, "exact"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digested(periodic.periodic(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.build(table(spark, sf_dir, "documents"), repair.folder(spark, "manifest"), merkle.tampered()).audit()
