@@ -10,26 +10,27 @@ its first member's page. A record matches when the regions agree and either
   (b) the venues differ, the titles agree and a session with a clock is shared.
 
 Distributed form:
-  1. Evidence that only one record holds can never match and is dropped; records that then look
-     alike form one *signature*, so a hot group of copies is one row from here on.
-  2. Signatures sharing an evidence key are linked. A key is a reference, a program, or evidence
-     (title, URL, contained title) combined with one session. Links are stars, never pairs.
-  3. Components of the link graph are closed under matching; a closure step adds the links of
-     clusters that combine evidence of one member with a session of another.
-  4. The greedy scan runs inside each component over signatures. Its result for a signature is a
-     step function of the record order; when a later copy could fall on another step, the exact
-     order of that copy is looked up with a join and the scan repeats with it.
+  1. URLs and references that only one record holds can never match and are dropped; records that then
+     look alike form one *signature*, so a hot group of copies is one row from here on.
+  2. A match is an equality of keys: a reference, a program, or a title, URL or contained title together
+     with a session. A signature asks for keys; a cluster gives those of its first member, and those that
+     members bring, each from the order on in which the member joined.
+  3. All signatures choose at once, given the clusters of the round before: the earliest cluster that
+     gives a key they ask for before their own order. Choices of a cluster whose first member has itself
+     moved are followed to the end by pointer doubling, and the next round starts. What holds for all
+     orders below o in one round is decided rightly for o in the next, so the rounds end, and they end
+     with the sequential result: a set of choices that repeats itself is the only one that does.
+  4. Later copies of a signature can fall to another cluster; the exact order of that copy is looked up.
+
+No component, key or cluster is worked on by one task: rounds are joins and minima. Their number is the
+depth to which one choice overturns another, not the length of a chain or the size of a component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marquee.functions import text as T, values as V
-from marquee.operators.components import components, star_edges
 from marquee.operators.ranking import checkpointed
 from marquee.operators.venues import program_identity, venue_identity
 
@@ -116,258 +117,205 @@ def contained_titles(sigs: DataFrame) -> DataFrame:
     return found.select("region_key", "venue_key", "title_key", "hub")
 
 
-def _hash(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
+def _key(kind: str, *parts) -> Column:
+    return F.md5(F.concat_ws("\x01", F.lit(kind), *parts))
 
 
-def evidence_keys(sigs: DataFrame) -> DataFrame:
-    """(sig, first_ord, direct, ev, slots): hashes of direct keys, evidence and sessions. Step 2.
+def _each(items: Column, make) -> Column:
+    return F.transform(items, make)
 
-    Equal hashes of unlike keys only join components, which stays correct.
-    """
-    pairs = contained_titles(sigs)
-    hubs = pairs.groupBy("region_key", "venue_key", "title_key").agg(F.collect_set("hub").alias("hubs"))
-    own = pairs.select("region_key", "venue_key", F.col("hub").alias("title_key"), F.lit(True).alias("is_hub")).distinct()
+
+def _pairs(left: Column, right: Column, make) -> Column:
+    return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: make(a, b))))
+
+
+def _timed(sessions: Column) -> Column:
+    return F.filter(sessions, lambda s: ~s.endswith(" "))
+
+
+def nodes(sigs: DataFrame) -> DataFrame:
+    """Signatures named by their first order, with the titles that theirs contains (``hubs``)."""
     key = ["region_key", "venue_key", "title_key"]
-    s = sigs.join(hubs, key, "left").join(own, key, "left")
-    r, v = F.col("region_key"), F.col("venue_key")
-    direct = F.array_compact(F.array(
-        F.when(F.col("ref").isNotNull(), _hash(F.lit("ref"), r, F.col("ref"))),
-        F.when(F.col("program").isNotNull(), _hash(F.lit("program"), r, v, F.col("program"))),
-    ))
-    known = lambda arr: F.when(F.col("venue_known"), arr).otherwise(F.array().cast("array<bigint>"))
-    hub_list = F.concat(
-        F.coalesce("hubs", F.array().cast("array<string>")),
-        F.when(F.col("is_hub"), F.array("title_key")).otherwise(F.array().cast("array<string>")),
+    pairs = checkpointed(contained_titles(sigs))
+    hubs = pairs.groupBy(*key).agg(F.collect_set("hub").alias("hubs"))
+    inside = pairs.select("region_key", "venue_key", F.col("hub").alias("title_key"), F.lit(True).alias("is_hub")).distinct()
+    none = F.array().cast("array<string>")
+    cited = F.array_distinct(F.concat("urls", F.when(F.col("page").isNotNull(), F.array("page")).otherwise(none)))
+    merges = F.col("venue_known") | F.col("ref").isNotNull() | F.col("program").isNotNull()
+    return sigs.join(hubs, key, "left").join(inside, key, "left").select(
+        F.col("first_ord").alias("node"), "sig", "last_ord", "region_key", "venue_key", "venue_known", "title_key", "program", "ref", "sessions", "urls",
+        cited.alias("cited"), F.coalesce("hubs", none).alias("hubs"), F.coalesce("is_hub", F.lit(False)).alias("is_hub"), merges.alias("merges"),
     )
-    ev = F.array_distinct(F.concat(
-        F.array(_hash(F.lit("title"), r, F.col("title_key"))),
-        F.transform("urls", lambda u: _hash(F.lit("url"), r, u)),
-        F.when(F.col("page").isNotNull(), F.array(_hash(F.lit("url"), r, F.col("page")))).otherwise(F.array().cast("array<bigint>")),
-        known(F.transform(hub_list, lambda h: _hash(F.lit("hub"), r, v, h))),
-    ))
-    slots = F.transform("sessions", lambda x: _hash(x))
-    return s.select("sig", "first_ord", direct.alias("direct"), ev.alias("ev"), slots.alias("slots"))
 
 
-def _closure_hits(part_ev: DataFrame, part_x: DataFrame, held: DataFrame) -> DataFrame:
-    """(p, node): a record that holds both some evidence and some session of part p.
+def evidence(s: DataFrame) -> DataFrame:
+    """(node, venue, key, asks, gives, apart): what a signature looks for, and what it offers as a cluster's first.
+
+    A key names one kind of match together with a session, where the match needs one; a record matches
+    a cluster that gives a key which the record asks for. ``apart``: the venues must differ.
+    """
+    r, v, t, known = F.col("region_key"), F.col("venue_key"), F.col("title_key"), F.col("venue_known")
+    empty = F.lit(None).cast("array<struct<key:string,asks:boolean,gives:boolean,apart:boolean>>")
+    row = lambda key, asks, gives, apart=False: F.struct(key.alias("key"), asks.alias("asks"), gives.alias("gives"), F.lit(apart).alias("apart"))
+    yes, no = F.lit(True), F.lit(False)
+    lists = [
+        F.when(F.col("ref").isNotNull(), F.array(row(_key("r", r, v, F.col("ref")), yes, yes))),
+        F.when(F.col("program").isNotNull(), F.array(row(_key("p", r, v, F.col("program")), yes, yes))),
+        _each(F.col("sessions"), lambda x: row(_key("t", r, v, t, x), known, yes)),
+        _each(_timed(F.col("sessions")), lambda x: row(_key("x", r, t, x), yes, yes, True)),
+        # A title contains another: asked by the shorter, and by the longer for each that it contains.
+        F.when(known & F.col("is_hub"), _each(F.col("sessions"), lambda x: row(_key("h", r, v, t, x), yes, no))),
+        F.when(known, _pairs(F.col("hubs"), F.col("sessions"), lambda h, x: row(_key("t", r, v, h, x), yes, no))),
+        _pairs(F.col("hubs"), F.col("sessions"), lambda h, x: row(_key("h", r, v, h, x), no, yes)),
+    ]
+    found = F.flatten(F.array_compact(F.array(*[F.coalesce(x, empty) for x in lists])))
+    return s.select("node", F.col("venue_key").alias("venue"), F.explode(found).alias("e")).select("node", "venue", "e.*")
+
+
+def _mixed(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """Keys with several values of a column."""
+    return rows.groupBy(*keys).agg(F.min(what).alias("_a"), F.max(what).alias("_b")).where("_a < _b").select(*keys)
+
+
+def bridged_titles(s: DataFrame, cited: DataFrame) -> DataFrame:
+    """(region, title) whose records may join a cluster of another title.
+
+    The first of a title to do so shares a reference, program or URL with another title, or one of the
+    titles contains the other.
+    """
+    key = ["region_key", "title_key"]
+    found = [s.where("is_hub OR size(hubs) > 0").select(*key)]
+    for rows, by in ((s.where("ref IS NOT NULL"), "ref"), (s.where("program IS NOT NULL"), "program"), (cited, "u")):
+        found.append(rows.join(_mixed(rows, ["region_key", by], "title_key"), ["region_key", by], "left_semi").select(*key))
+    return found[0].union(found[1]).union(found[2]).union(found[3]).distinct()
+
+
+def telling_urls(s: DataFrame, cited: DataFrame, bridged: DataFrame) -> DataFrame:
+    """Rows of ``cited`` whose URL is held by several signatures and by a title that crosses, with counts.
 
-    ``held`` has each (evidence, session) pair of the records once, with one record of it, so copies
-    and a page or title with many records cost a row per session, not one per record.
+    A URL whose titles all stay with their own tells nothing that the title doesn't.
     """
-    return held.join(part_ev, "e").join(part_x, ["p", "x"], "left_semi").select("p", "node").distinct()
+    key = ["region_key", "u"]
+    useful = cited.join(bridged, ["region_key", "title_key"], "left_semi").select(*key).distinct()
+    many = cited.groupBy(*key).agg(F.count("*").alias("nu")).where("nu > 1").join(useful, key, "left_semi")
+    return cited.where("venue_known").join(many, key)
 
 
-def link_components(keys: DataFrame) -> DataFrame:
-    """(node, part) of linked signatures; nodes are first orders. Steps 2 and 3."""
-    base = keys.select(F.col("first_ord").alias("node"), "direct", "ev", "slots")
-    paired = base.select("node", F.explode("ev").alias("e"), "slots").select("node", "e", F.explode("slots").alias("x"))
-    member = checkpointed(
-        base.select("node", F.explode("direct").alias("key"))
-        .union(paired.select("node", _hash(F.col("e"), F.col("x")).alias("key")))
-        .distinct()
+def url_evidence(telling: DataFrame) -> DataFrame:
+    """Evidence rows of URLs together with the own sessions of the record that cites them."""
+    key = _key("u", F.col("region_key"), F.col("venue_key"), F.col("u"), F.col("x"))
+    rows = telling.select("node", "region_key", "venue_key", "u", F.explode("sessions").alias("x"))
+    return rows.select("node", F.col("venue_key").alias("venue"), key.alias("key"), F.lit(True).alias("asks"), F.lit(True).alias("gives"), F.lit(False).alias("apart"))
+
+
+def url_sessions(s: DataFrame, telling: DataFrame) -> DataFrame:
+    """(url key, session key, evidence key, by_url): pairs that records ask for, each once.
+
+    ``by_url``: the URL has no more signatures than the session has, so clusters are looked up by it.
+    """
+    r, v = F.col("region_key"), F.col("venue_key")
+    pairs = telling.select("region_key", "venue_key", "u", "nu", F.explode("sessions").alias("x")).distinct()
+    many = s.select("region_key", F.explode("sessions").alias("x")).groupBy("region_key", "x").agg(F.count("*").alias("nx")).where("nx > 1")
+    return pairs.join(many, ["region_key", "x"]).select(
+        _key("U", r, v, F.col("u")).alias("uk"), _key("X", r, v, F.col("x")).alias("xk"), _key("u", r, v, F.col("u"), F.col("x")).alias("key"), (F.col("nu") <= F.col("nx")).alias("by_url")
+    )
+
+
+def loose_nodes(s: DataFrame, bridged: DataFrame) -> DataFrame:
+    """Signatures that may ask for a key which no other one holds, but a cluster of unlike members gives."""
+    title, ref = ["region_key", "title_key"], ["region_key", "ref"]
+    titles = bridged.union(_mixed(s, title, "venue_key"))
+    refs = _mixed(s.where("ref IS NOT NULL"), ref, "venue_key")
+    return s.join(titles, title, "left_semi").select("node").union(s.join(refs, ref, "left_semi").select("node")).distinct()
+
+
+def _grown(moved: DataFrame, s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, c, venue, t): what clusters give from order ``t`` on through members that joined them."""
+    first = s.select(F.col("node").alias("c"), F.col("region_key").alias("r"), F.col("venue_key").alias("v"), F.col("title_key").alias("tt"), F.col("hubs").alias("hh"))
+    own = moved.join(s.select("node", "sessions", "urls", "ref"), "node").join(first, "c")
+    r, v, t = F.col("r"), F.col("v"), F.col("tt")
+    ref = F.when(F.col("ref").isNotNull(), F.array(_key("r", r, v, F.col("ref")))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(
+        ref, _each(F.col("sessions"), lambda x: _key("t", r, v, t, x)), _each(_timed(F.col("sessions")), lambda x: _key("x", r, t, x)),
+        _pairs(F.col("hh"), F.col("sessions"), lambda h, x: _key("h", r, v, h, x)),
     )
-    parts = components(star_edges(member))
-
-    # Closure: evidence of one member with a session of another. Only evidence seen in several
-    # parts can lead anywhere; parts only ever merge, so that set is computed once.
-    all_ev = base.select("node", F.explode("ev").alias("e"))
-    in_part = parts.withColumnRenamed("part", "p")
-    where = all_ev.join(in_part, "node", "left").select("e", F.coalesce("p", "node").alias("p"))
-    crossing = where.groupBy("e").agg(F.min("p").alias("_a"), F.max("p").alias("_b")).where("_a < _b").select("e")
-    node_ev = checkpointed(all_ev.join(crossing, "e", "left_semi"))
-    node_x = base.select("node", F.explode("slots").alias("x"))
-    # All nodes of an (evidence, session) pair lie in one part, so one node tells the pair's part.
-    held = checkpointed(node_ev.join(node_x, "node").groupBy("e", "x").agg(F.min("node").alias("node")))
-    active = in_part
+    direct = own.select(F.explode(keys).alias("key"), "c", F.col("v").alias("venue"), F.col("at").alias("t"))
+    # A URL of one member with a session of another; the first member's count from its own order.
+    begin = moved.select("c").distinct().join(s.select(F.col("node").alias("c"), "sessions", F.col("cited").alias("urls")), "c").join(first, "c").withColumn("at", F.col("c"))
+    both = own.select("c", "at", "r", "v", "sessions", "urls").unionByName(begin.select("c", "at", "r", "v", "sessions", "urls"))
+    us = both.select("c", "at", "r", "v", F.explode("urls").alias("u")).groupBy(_key("U", r, v, F.col("u")).alias("uk"), "c", "v").agg(F.min("at").alias("tu"))
+    xs = both.select("c", "at", "r", "v", F.explode("sessions").alias("x")).groupBy(_key("X", r, v, F.col("x")).alias("xk"), "c").agg(F.min("at").alias("tx"))
+    by_url = pairs.where("by_url").join(us, "uk").join(xs, ["xk", "c"])
+    by_session = pairs.where("not by_url").join(xs, "xk").join(us, ["uk", "c"])
+    cols = ["key", "c", F.col("v").alias("venue"), F.greatest("tu", "tx").alias("t")]
+    return direct.union(by_url.select(*cols)).union(by_session.select(*cols)).groupBy("key", "c", "venue").agg(F.min("t").alias("t"))
+
+
+def _decided(moved: DataFrame, s: DataFrame, keys: DataFrame, shared: DataFrame, pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(node, c, at): the choice of every record, given the clusters that ``moved`` makes.
+
+    Only clusters whose first member stays are offered. Of clusters that give a key by their first
+    member alone the earliest of a venue is enough, so a key costs a row for each venue.
+    """
+    gone = moved.where("at = node").select("node")
+    alone = shared.where("gives").join(gone, "node", "left_anti").groupBy("key", "venue").agg(F.min("node").alias("c"))
+    # A record that must be elsewhere takes the earliest cluster, or that of the next venue if this is its own.
+    nearest = F.row_number().over(Window.partitionBy("key").orderBy("c"))
+    alone = alone.withColumn("_n", nearest).where("_n <= 2").select("key", "venue", "c", F.col("c").alias("t"))
+    grown = _grown(moved.join(gone.withColumnRenamed("node", "c"), "c", "left_anti"), s, pairs)
+    asks = lambda rows: rows.where("asks").select("node", F.col("venue").alias("own"), "key", "apart")
+    fits = (~F.col("apart") | (F.col("venue") != F.col("own"))) & (F.col("c") != F.col("node"))
+    found = asks(shared).join(alone, "key").where(fits).select("node", "c", "t").union(asks(keys).join(grown, "key").where(fits).select("node", "c", "t"))
+    # Read by both choices below.
+    found = checkpointed(found.groupBy("node", "c").agg(F.min("t").alias("t")))
+    first = found.where("t < node").groupBy("node").agg(F.min("c").alias("c"))
+    # Later copies of a signature leave for an earlier cluster once one has what they ask for.
+    about = s.where("last_ord > node").select("node", "last_ord", "merges")
+    later = found.where("t >= node").join(about, "node").where("t < last_ord").select("node", "c", "merges", "t")
+    later = later.join(first.withColumnRenamed("c", "_f"), "node", "left")
+    limit = F.coalesce("_f", F.when(F.col("merges"), F.col("node")), F.lit(2**63 - 1))
+    before = F.min("c").over(Window.partitionBy("node").orderBy("t", "c").rowsBetween(Window.unboundedPreceding, -1))
+    steps = later.withColumn("_b", before).where(F.col("c") < F.least(limit, F.coalesce("_b", F.lit(2**63 - 1)))).select("node", "c", "t")
+    places = records.join(steps, "node").where("ord > t").groupBy("node", "c", "t").agg(F.min("ord").alias("at"))
+    return first.select("node", "c", F.col("node").alias("at")).union(places.groupBy("node", "at").agg(F.min("c").alias("c")).select("node", "c", "at"))
+
+
+def _followed(moved: DataFrame) -> DataFrame:
+    """Choices of a cluster whose own first member moved go where that one went; the way halves each time."""
     while True:
-        # Only parts that changed last round are expanded.
-        part_ev = node_ev.join(active, "node").select("p", "e").distinct()
-        part_x = node_x.join(active, "node").select("p", "x").distinct()
-        hits = _closure_hits(part_ev, part_x, held)
-        owner = parts.withColumnRenamed("part", "q")
-        more = checkpointed(
-            hits.join(owner, "node", "left").select("p", F.coalesce("q", "node").alias("q")).where("p <> q").distinct()
-        )
-        if more.isEmpty():
-            return parts
-        # Components of the contracted graph, one node per part, then relabelled.
-        moved = components(more.select(F.col("p").alias("u"), F.col("q").alias("v")))
-        moved = moved.select(F.col("node").alias("part"), F.col("part").alias("_to"))
-        lone = moved.join(parts.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("_to").alias("part"))
-        relabelled = parts.join(moved, "part", "left").select("node", F.coalesce("_to", "part").alias("part"))
-        parts = checkpointed(relabelled.union(lone))
-        active = parts.join(moved.select(F.col("_to").alias("part")).distinct(), "part", "left_semi").select("node", F.col("part").alias("p"))
-
-
-# --- the scan inside one component ---------------------------------------------------------------
-
-
-class _Cluster:
-    __slots__ = ("first", "created", "own", "sessions", "urls", "refs")
-
-    def __init__(self, row, at):
-        self.first, self.created = row, at
-        self.sessions, self.urls, self.refs = {}, {}, {}
-        self.absorb(row, at)
-        if row.page:
-            self.urls.setdefault(row.page, at)
-
-    def absorb(self, row, at):
-        for have, new in ((self.sessions, row.sessions), (self.urls, row.urls), (self.refs, row.refs)):
-            for item in new:
-                have.setdefault(item, at)
-
-    def since(self, row):
-        """Order from which this cluster matches the row; None when it never does."""
-        f = self.first
-        if f.region_key != row.region_key:
-            return None
-        shared = [self.sessions[s] for s in row.sessions if s in self.sessions]
-        if f.venue_key != row.venue_key:
-            timed = [self.sessions[s] for s in row.sessions if s in self.sessions and not s.endswith(" ")]
-            return min(timed) if timed and f.title_key == row.title_key else None
-        options = [self.refs[r] for r in row.refs if r in self.refs]
-        if row.program and row.program == f.program:
-            options.append(self.created)
-        if row.venue_known and shared:
-            a, b = f.title_key, row.title_key
-            if a == b or (min(len(a), len(b)) >= MIN_CONTAINED and (a in b or b in a)):
-                options.append(max(self.created, min(shared)))
-            else:
-                seen = [self.urls[u] for u in [*row.urls, row.page] if u in self.urls]
-                if seen:
-                    options.append(max(min(seen), min(shared)))
-        return min(options) if options else None
-
-
-class _Row:
-    __slots__ = ("sig", "region_key", "venue_key", "venue_known", "title_key", "program", "refs", "sessions", "urls", "page", "orders", "last", "merges_with_copy")
-
-    def __init__(self, r):
-        self.sig, self.region_key, self.venue_key = r.sig, r.region_key, r.venue_key
-        self.venue_known, self.title_key, self.program = bool(r.venue_known), r.title_key, r.program
-        self.refs = [r.ref] if r.ref is not None else []
-        self.sessions, self.urls, self.page = list(r.sessions), list(r.urls), r.page
-        self.orders, self.last = sorted(set(r.orders)), r.last_ord
-        self.merges_with_copy = self.venue_known or bool(self.refs) or bool(self.program)
-
-
-def scan_component(part: int, rows: list[_Row]) -> list[tuple]:
-    """Greedy scan of one component: steps (kind 'step') and order look-ups it needs (kind 'need')."""
-    clusters: list[_Cluster] = []
-    index: dict[tuple, list[int]] = {}
-
-    def remember(i, row):
-        for k in [("s", x) for x in row.sessions] + [("r", x) for x in row.refs] + ([("p", row.program)] if row.program else []):
-            at = index.setdefault(k, [])
-            if i not in at:
-                at.append(i)
-
-    def candidates(row):
-        hits = set()
-        for k in [("s", x) for x in row.sessions] + [("r", x) for x in row.refs] + ([("p", row.program)] if row.program else []):
-            hits.update(index.get(k, ()))
-        return sorted(hits)
-
-    steps, placed = [], {}
-    events = sorted(((o, row) for row in rows for o in row.orders), key=lambda t: t[0])
-    for at, row in events:
-        home = next((i for i in candidates(row) if (m := clusters[i].since(row)) is not None and m < at), None)
-        if home is None:
-            if row.sig in placed:
-                # A copy nobody matches, the first copy's cluster included: a cluster of its own,
-                # always shadowed by the first copy's, so it never grows.
-                steps.append((part, "step", row.sig, at, None))
-                continue
-            clusters.append(_Cluster(row, at))
-            home = len(clusters) - 1
-        else:
-            clusters[home].absorb(row, at)
-        remember(home, row)
-        placed[row.sig] = home
-        steps.append((part, "step", row.sig, at, clusters[home].created))
-        if clusters[home].first is row and not row.merges_with_copy:
-            steps.append((part, "step", row.sig, at + 1, None))
-    last_step = {}
-    for _, _, sig, at, cluster in steps:
-        last_step[sig] = (at, cluster)
-    for row in rows:
-        at, cluster = last_step[row.sig]
-        if row.last <= at:
-            continue
-        limit = cluster if cluster is not None else float("inf")
-        later = [
-            m for i in candidates(row)
-            if (m := clusters[i].since(row)) is not None and m >= at
-            # The copies after ``at`` may match a cluster opened earlier than the present one.
-            and (clusters[i].created < limit)
-        ]
-        if later and min(later) < row.last:
-            steps.append((part, "need", row.sig, min(later), None))
-    return steps
-
-
-def scan_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Scan the components of a partition sorted by component, holding one component at a time."""
-
-    def frame(steps):
-        out = pd.DataFrame(steps, columns=["part", "kind", "sig", "at", "cluster"])
-        return out.astype({"cluster": "Int64"})
-
-    part, rows = None, []
-    for batch in batches:
-        done = []
-        for r in batch.itertuples(index=False):
-            if r.part != part:
-                if rows:
-                    done += scan_component(part, rows)
-                part, rows = r.part, []
-            rows.append(_Row(r))
-        if done:
-            yield frame(done)
-    if rows:
-        yield frame(scan_component(part, rows))
-
-
-STEP_SCHEMA = "part bigint, kind string, sig string, at bigint, cluster bigint"
+        hop = moved.where("at = node").select(F.col("node").alias("c"), F.col("c").alias("to"))
+        if moved.join(hop, "c", "left_semi").isEmpty():
+            return moved
+        moved = checkpointed(moved.join(hop, "c", "left").select("node", F.coalesce("to", "c").alias("c"), "at"))
 
 
 def clusters(df: DataFrame, exact: bool = True) -> DataFrame:
     """(ord, cluster): cluster is the order of the cluster's first record."""
     # The input is read once; every later step starts from the written features.
     feat = checkpointed(features(df, exact))
-    records, sigs = signatures(feat)
-    sigs = checkpointed(sigs)
-    # Checkpointed once: the closure rounds read the keys several times.
-    parts = link_components(checkpointed(evidence_keys(sigs)))
-    linked = checkpointed(sigs.join(parts.withColumnRenamed("node", "first_ord"), "first_ord"))
-    orders = linked.select("sig", F.array("first_ord").alias("orders"))
+    named, sigs = signatures(feat)
+    s = checkpointed(nodes(checkpointed(sigs)))
+    records = checkpointed(named.join(s.select("sig", "node"), "sig").select("ord", "node"))
+    cited = s.select("node", "region_key", "venue_key", "venue_known", "title_key", "sessions", F.explode("cited").alias("u"))
+    bridged = checkpointed(bridged_titles(s, cited))
+    telling = checkpointed(telling_urls(s, cited, bridged))
+    pairs = checkpointed(url_sessions(s, telling))
+    keys = checkpointed(evidence(s).unionByName(url_evidence(telling)))
+    common = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b").select("key")
+    shared = checkpointed(keys.join(common, "key", "left_semi"))
+    # What members bring is asked for by holders of a shared key, or by records of titles that cross.
+    open_keys = checkpointed(shared.where("asks").unionByName(keys.where("asks").join(loose_nodes(s, bridged), "node", "left_semi").join(common, "key", "left_anti")))
+    moved = checkpointed(s.select("node", F.col("node").alias("c"), F.col("node").alias("at")).where("false"))
     while True:
-        # Whole components per task, many components per task: sorted runs instead of one call each.
-        by_part = linked.join(orders, "sig").repartition("part").sortWithinPartitions("part")
-        scanned = checkpointed(by_part.mapInPandas(scan_partitions, STEP_SCHEMA))
-        needs = scanned.where("kind = 'need'").select("sig", "at")
-        if needs.isEmpty():
+        found = checkpointed(_decided(moved, s, open_keys, shared, pairs, records))
+        if found.count() == moved.count() and found.join(moved, ["node", "c", "at"], "left_anti").isEmpty():
             break
-        # Exact order of the first copy after the requested point, then scan again with it.
-        found = records.join(needs, "sig").where(F.col("ord") > F.col("at")).groupBy("sig").agg(F.min("ord").alias("o"))
-        orders = checkpointed(
-            orders.join(found, "sig", "left").select(
-                "sig", F.when(F.col("o").isNull(), F.col("orders")).otherwise(F.array_union("orders", F.array("o"))).alias("orders")
-            )
-        )
-    # A signature outside every component merges with its own copies only.
-    merges_with_copy = F.col("venue_known") | F.col("ref").isNotNull() | F.col("program").isNotNull()
-    lone = sigs.join(parts.select(F.col("node").alias("first_ord")), "first_ord", "left_anti").select(
-        "sig", F.col("first_ord").alias("at"), F.when(merges_with_copy, F.col("first_ord")).alias("cluster")
-    )
-    steps = scanned.where("kind = 'step'").select("sig", "at", "cluster").union(lone)
-    # Steps per signature are few: one, plus one per resolved look-up.
-    ends = steps.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("at", "cluster"))).alias("steps"))
-    current = F.element_at(F.filter("steps", lambda s: s["at"] <= F.col("ord")), -1)
-    return records.join(ends, "sig").select("ord", F.coalesce(current["cluster"], F.col("ord")).alias("cluster"))
+        moved = _followed(found)
+    # From ``at`` on copies belong to ``c``; those that nothing matches, their own kind included, stand alone.
+    start = s.where("merges").select("node", F.col("node").alias("c"), F.col("node").alias("at")).join(moved.where("at = node").select("node"), "node", "left_anti")
+    ends = moved.union(start).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("steps"))
+    current = F.element_at(F.filter("steps", lambda x: x["at"] <= F.col("ord")), -1)
+    return records.join(ends, "node", "left").select("ord", F.coalesce(current["c"], F.col("ord")).alias("cluster"))
 
 
 def merged(df: DataFrame, members: DataFrame) -> dict[str, DataFrame]:

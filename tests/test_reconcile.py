@@ -108,3 +108,23 @@ def test_merge_keeps_status_facts_and_references(spark):
     assert {(r["time"], r["status"]) for r in out["sessions"].collect()} == {("19:00", "cancelled"), ("21:00", None)}
     assert [(r["time"], r["host"]) for r in out["facts"].collect()] == [("21:00", "Kim")]
     assert {(r["source"], r["uid"]) for r in out["refs"].collect()} == {("a", "1"), ("b", "2"), ("z", "9")}
+
+
+def test_one_large_component(spark):
+    """A chain through pages and times, a crowd at one time, and repeated turns of choice, all linked."""
+    day = lambda i: dt.date(2000, 1, 1) + dt.timedelta(days=i)
+    n = 1000
+    chain = [(i, "s", f"c{i}", f"t{i}", "r", "Hall", None, [(day(i), "19:00"), (day(i + 1), "19:00")], [f"u{i}", f"u{i + 1}"], None) for i in range(n)]
+    crowd = [(n + i, "s", f"d{i}", "crowd", "r", f"Place {i % 50}", None, [(day(0), "20:00"), (day(i), "21:00")], [], None) for i in range(n)]
+    # Title and page change in turn: a record that leaves its own cluster lets the next one keep its own.
+    turns = [(2 * n + i, "s", f"e{i}", f"w{(i + 1) // 2}", "r", "Hall", None, [(day(i // 2), "18:00"), (day(i // 2 + 1), "18:00")], [f"v{i // 2}"], None) for i in range(8)]
+    records = chain + crowd + turns
+    got = {r["ord"]: r["cluster"] for r in R.clusters(spark.createDataFrame(records, SCHEMA).repartition(5), exact=False).collect()}
+    assert got == sequential(records)
+    assert {got[i] for i in range(n)} == {0}
+
+
+def test_no_task_holds_a_component(spark):
+    records = random_records(5, 40)
+    plan = R.clusters(spark.createDataFrame(records, SCHEMA), exact=False)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "PythonUDF" not in plan
