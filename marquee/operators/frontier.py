@@ -55,12 +55,14 @@ def fair_head(queue: DataFrame, source: str, is_backlog: Column, order: list[Col
 
 
 def run_day(state: DataFrame, listed: DataFrame, outcome_ok: Column, today: str, cap: int = V.DAILY_PAGE_BUDGET,
-            source: str = "source") -> DataFrame:
+            source: str = "source", budgets: DataFrame | None = None) -> DataFrame:
     """inc_04: one day of a frontier, from the old state and the day's listing to the new state.
 
     State columns: source, url, status (known, pending), queue_key (string, orders the backlog),
     last_attempt (date). Each URL is attempted at most once a day; failures go behind the backlog
-    and are tried on a later day; known URLs are never read again.
+    and are tried on a later day; known URLs are never read again. ``budgets`` lists the sources whose
+    state already counts a day's reads: an older state can't tell what it read today, so a source with
+    known pages that is missing there gets no reads on this day.
     """
     day = F.lit(today).cast("date")
     listed = listed.select(source, "url").distinct()  # a link listed twice is one page
@@ -75,7 +77,11 @@ def run_day(state: DataFrame, listed: DataFrame, outcome_ok: Column, today: str,
             F.lit(None).cast("date").alias("last_attempt"),
         )
     )
-    used = state.where(F.col("last_attempt") == day).groupBy(source).agg(F.count("*").alias("used"))
+    none = state.select(source, F.lit(0).cast("bigint").alias("reserved")).where("false")
+    reserved = none
+    if budgets is not None:
+        reserved = known.select(source).distinct().join(budgets.select(source), source, "left_anti").select(source, F.lit(cap).cast("bigint").alias("reserved"))
+    used = used_budget(state, reserved, source, "last_attempt", day)
     due = queue.where(F.col("last_attempt").isNull() | (F.col("last_attempt") < day))
     is_old = F.col("last_attempt").isNotNull() | (F.col("queue_key") != F.col("url"))
     turns = fair_head(due, source, is_old, [F.col("queue_key"), F.col("url")], cap)

@@ -35,6 +35,8 @@ from marquee.operators.ranking import checkpointed
 from marquee.operators.venues import program_identity, venue_identity
 
 MIN_CONTAINED = 8
+#: Titles of one gram that a task compares with the gram's look-ups.
+TITLES_OF_A_CHUNK = 2000
 
 
 def features(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -96,25 +98,46 @@ def signatures(feat: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.select("ord", "sig"), sigs
 
 
-def contained_titles(sigs: DataFrame) -> DataFrame:
+def contained_titles(sigs: DataFrame, chunk: int = TITLES_OF_A_CHUNK) -> DataFrame:
     """(region, venue, title, hub): each title with every distinct long title it contains.
 
-    A contained title is found through its first characters, matched against all windows of the
-    longer title: an equi-join on distinct titles of one venue, then an exact check.
+    A title that contains another holds all of its grams of MIN_CONTAINED characters, so it is enough to
+    look the shorter one up by the gram that the fewest titles of the venue hold; a gram held by its own
+    title alone settles it without a look-up. The titles of a gram are cut into chunks of equal size, each
+    met by all its look-ups, so a gram that many titles share makes many equal tasks.
     """
-    titles = sigs.where(F.col("venue_known") & (F.length("title_key") >= MIN_CONTAINED)).select(
-        "region_key", "venue_key", "title_key"
-    ).distinct()
-    short = titles.select("region_key", "venue_key", F.col("title_key").alias("hub"), F.substring("title_key", 1, MIN_CONTAINED).alias("gram"))
-    windows = F.transform(
+    place = ["region_key", "venue_key"]
+    titles = sigs.where(F.col("venue_known") & (F.length("title_key") >= MIN_CONTAINED)).select(*place, "title_key").distinct()
+    grams = F.transform(
         F.sequence(F.lit(1), F.length("title_key") - (MIN_CONTAINED - 1)),
         lambda i: F.substring(F.col("title_key"), i, F.lit(MIN_CONTAINED)),
     )
-    long = titles.select("*", F.explode(F.array_distinct(windows)).alias("gram"))
-    found = long.join(short, ["region_key", "venue_key", "gram"]).where(
+    held = titles.select(*place, "title_key", F.explode(F.array_distinct(grams)).alias("gram"))
+    many = held.groupBy(*place, "gram").agg(F.count("*").alias("n"))
+    rarest = held.join(many, [*place, "gram"]).groupBy(*place, F.col("title_key").alias("hub")).agg(F.min(F.struct("n", "gram")).alias("g"))
+    asked = rarest.where("g.n > 1").select(*place, "hub", F.col("g.gram").alias("gram"), F.ceil(F.col("g.n") / chunk).cast("int").alias("chunks"))
+    cuts = asked.select(*place, "gram", "chunks").distinct()
+    long = held.join(cuts, [*place, "gram"]).withColumn("part", F.pmod(F.hash("title_key"), F.col("chunks")))
+    short = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    found = long.join(short.drop("chunks"), [*place, "gram", "part"]).where(
         (F.col("title_key") != F.col("hub")) & F.col("title_key").contains(F.col("hub"))
     )
-    return found.select("region_key", "venue_key", "title_key", "hub")
+    return found.select(*place, "title_key", "hub")
+
+
+def title_links(records: DataFrame) -> DataFrame:
+    """(region, venue, title, other, how): titles of one venue that may stand for one event (joi_08).
+
+    ``contained``: the title contains the other. ``url``: both cite one URL; the titles of a URL are
+    linked to the least of them, so a URL of a whole venue gives a row for each title, not all pairs.
+    ``records``: region_key, venue_key, venue_known, title_key, urls.
+    """
+    place = ["region_key", "venue_key"]
+    inside = contained_titles(records).select(*place, F.col("title_key").alias("title"), F.col("hub").alias("other"), F.lit("contained").alias("how"))
+    cited = records.where("venue_known").select(*place, "title_key", F.explode("urls").alias("url")).distinct()
+    least = cited.groupBy(*place, "url").agg(F.min("title_key").alias("other"), F.max("title_key").alias("_top")).where("other < _top").drop("_top")
+    by_url = cited.join(least, [*place, "url"]).where("title_key <> other").select(*place, F.col("title_key").alias("title"), "other", F.lit("url").alias("how")).distinct()
+    return inside.unionByName(by_url)
 
 
 def _key(kind: str, *parts) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.operators import frontier as FR, overlay as O, search as S, snapshot as P
+from marquee.operators import frontier as FR, overlay as O, search as S, snapshot as P, status as ST
 from marquee.plans.queries.common import *  # noqa: F403
 from marquee.plans.queries.joins import CURR, DAY1, DAY2, PREV, _day
 from marquee.plans.queries.quality import VERDICT, _verdicts
@@ -68,6 +68,27 @@ def inc_02_merge(spark, sf):
     return out.select("id", "status", F.size("revisions").cast("bigint").alias("revisions"))
 
 
+@query("inc_02_five_states", SNAP + """
+, d AS (SELECT id, day, price > 25 AS fact, day + CAST(floor(price / 10) AS INTEGER) AS open_until,
+    CASE title WHEN 'error' THEN 'cancelled' WHEN 'purchase' THEN 'rescheduled' ELSE 'scheduled' END AS crawl FROM snap),
+l AS (SELECT *, row_number() OVER w AS i, lag(day) OVER w AS pd, lag(fact) OVER w AS pf, lag(open_until) OVER w AS po FROM d WINDOW w AS (PARTITION BY id ORDER BY day)),
+m AS (SELECT *, CASE WHEN i = 1 OR crawl <> 'scheduled' THEN crawl WHEN pf <> fact THEN 'changed' END AS told,
+    coalesce(day - pd > 1 AND po > pd, false) AS gap FROM l),
+n AS (SELECT *, max(CASE WHEN told IS NOT NULL THEN i END) OVER (PARTITION BY id ORDER BY i) AS j, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY id ORDER BY i) AS gaps FROM m),
+s AS (SELECT a.id, a.day, a.open_until, CASE WHEN a.i = a.j THEN a.told WHEN b.told IN ('changed', 'rescheduled') AND a.gaps = b.gaps THEN b.told ELSE 'scheduled' END AS status
+    FROM n a JOIN n b ON b.id = a.id AND b.i = a.j)
+SELECT id, max(day) AS last_day, max_by(status, day) AS listed_status,
+  CASE WHEN max(day) < (SELECT max(day) FROM snap) AND max_by(open_until, day) > max(day) AND max_by(status, day) <> 'cancelled' THEN 'unconfirmed' ELSE max_by(status, day) END AS final_status
+FROM s GROUP BY id
+""")
+def inc_02_five(spark, sf):
+    daily = B.snap(spark, sf)
+    crawl = F.when(F.col("title") == "error", ST.CANCELLED).when(F.col("title") == "purchase", ST.RESCHEDULED).otherwise(ST.SCHEDULED)
+    listings = daily.select("id", "day", (F.col("price") > 25).cast("string").alias("fact"), F.date_add("day", F.floor(F.col("price") / 10).cast("int")).alias("open_until"), crawl.alias("crawl"))
+    top = daily.agg(F.max("day")).scalar()
+    return ST.final_status(ST.history(ST.segments(listings, "id"), "id"), "id", top)
+
+
 @query("inc_03_reviewed_overlay", """
 SELECT d.doc_id AS id, CASE WHEN l.quality = 0 THEN 'old' WHEN d.lang <> 'fr' THEN 'crawl-' || d.lang END AS title,
   CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.n_chars > 400 THEN CAST(d.n_chars AS VARCHAR) WHEN l.quality = 1 THEN 'q' END AS price,
@@ -112,6 +133,27 @@ def inc_04(spark, sf):
     return out.select("source", "url", "status", "last_attempt")
 
 
+@query("inc_04_migration_day", f"""
+WITH q AS (SELECT p.lang AS source, p.doc_id AS url, l.quality FROM documents p LEFT JOIN labels l USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, quality IS NOT NULL ORDER BY CAST(url AS VARCHAR)) * 2 - CASE WHEN quality IS NOT NULL THEN 0 ELSE 1 END AS turn FROM q WHERE quality IS DISTINCT FROM 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn) AS pos FROM r)
+SELECT source, count(*) FILTER (pos <= 100 AND source IN ('en', 'fr')) AS reads, count(*) FILTER (source NOT IN ('en', 'fr') OR pos > 100 OR url % 2 = 0) AS pending FROM n GROUP BY 1
+""")
+def inc_04_migration(spark, sf):
+    # Languages as sources: two have a budget from earlier days, the others come from an older state.
+    d = table(spark, sf, "documents").select(F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("url"), "doc_id")
+    l = table(spark, sf, "labels").select("doc_id", "quality")
+    state = d.join(l, "doc_id").select(
+        "source", "url", F.when(F.col("quality") == 1, "known").otherwise(F.lit("pending")).alias("status"),
+        F.concat(F.lit("+2024-01-01|"), F.col("url")).alias("queue_key"), F.lit(None).cast("date").alias("last_attempt"),
+    )
+    budgets = d.where("source IN ('en', 'fr')").select("source").distinct()
+    # Even ids fail: they are tried, and wait again.
+    out = FR.run_day(state, d.select("source", "url"), F.col("url").cast("long") % 2 != 0, B.EVENTS_AS_OF, budgets=budgets)
+    new = out.join(state.where("status = 'known'").select("source", "url"), ["source", "url"], "left_anti")
+    return new.groupBy("source").agg(F.count("last_attempt").alias("reads"), F.count_if(F.col("status") == "pending").alias("pending"))
+
+
 @query("inc_05_completed_buffer", SNAP + f""", {PREV}, {CURR}
 SELECT id, title, price FROM prev WHERE id NOT IN (SELECT id FROM curr WHERE price > 10) UNION ALL SELECT id, title, price FROM curr WHERE price > 10
 """)

@@ -144,6 +144,36 @@ def joi_08(spark, sf):
     return star_edges(d.select(F.col("doc_id").alias("node"), key.alias("key")))
 
 
+VARIANTS_SQL = f"""
+v AS (SELECT r_name AS region, n_name AS venue, o_custkey % 40 AS page,
+        {word_key_sql("CASE o_orderstatus WHEN 'F' THEN c_name WHEN 'O' THEN c_mktsegment || ' ' || c_name ELSE c_name || ' live' END")} AS title
+      FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+t AS (SELECT DISTINCT region, venue, title FROM v), u AS (SELECT DISTINCT region, venue, title, page FROM v)
+"""
+
+
+def title_variants(spark, sf):
+    """Orders as records of one venue a nation: customers under three spellings, pages shared by many customers."""
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    o = table(spark, sf, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
+    title = F.when(F.col("o_orderstatus") == "F", F.col("c_name")).when(F.col("o_orderstatus") == "O", F.concat_ws(" ", "c_mktsegment", "c_name")).otherwise(F.concat(F.col("c_name"), F.lit(" live")))
+    return o.select(
+        F.col("r_name").alias("region_key"), F.col("n_name").alias("venue_key"), F.lit(True).alias("venue_known"), T.word_key(title).alias("title_key"),
+        F.array((F.col("o_custkey") % 40).cast("string")).alias("urls"),
+    )
+
+
+@query("joi_08_title_links", f"""
+WITH {VARIANTS_SQL}
+SELECT a.region, a.venue, a.title, b.title AS other, 'contained' AS how FROM t a JOIN t b USING (region, venue)
+WHERE a.title <> b.title AND contains(a.title, b.title) AND length(b.title) >= 8
+UNION ALL SELECT DISTINCT region, venue, title, least AS other, 'url' FROM
+  (SELECT *, min(title) OVER (PARTITION BY region, venue, page) AS least FROM u) WHERE title <> least
+""")
+def joi_08_title_links(spark, sf):
+    return R.title_links(title_variants(spark, sf)).select(F.col("region_key").alias("region"), F.col("venue_key").alias("venue"), "title", "other", "how")
+
+
 @query("joi_09_overlay_match", SESSION + """
 , raw AS (SELECT event, array_agg(DISTINCT day) AS dates FROM session WHERE platform IN ('KKTIX', 'ibon') GROUP BY 1),
 prev AS (SELECT event, array_agg(DISTINCT day) AS dates FROM session WHERE platform IN ('OPENTIX', 'tixCraft') GROUP BY 1),

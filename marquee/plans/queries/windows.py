@@ -80,22 +80,22 @@ def win_06(spark, sf):
 
 
 @query("win_07_failure_rotation", f"""
-WITH last AS (SELECT user_id AS source, event_id % 50 AS id, max(CAST(ts AS DATE)) FILTER (event_type = 'error') AS last_attempt, min(event_id) AS pos FROM events GROUP BY 1, 2),
-due AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_attempt ASC NULLS FIRST, pos) AS place FROM last
+WITH last AS (SELECT CASE WHEN user_id % 25 = 0 THEN event_type || ' rare' ELSE event_type END AS source, user_id AS id,
+    max(CAST(ts AS DATE)) FILTER (value > 150) AS last_attempt, min(event_id) AS pos FROM events GROUP BY 1, 2),
+due AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_attempt ASC NULLS FIRST, pos) AS place, count(*) OVER (PARTITION BY source) AS waiting FROM last
   WHERE last_attempt IS NULL OR last_attempt < {EVENTS_AS_OF_SQL})
-SELECT source, id, last_attempt, pos FROM due WHERE place <= 100
+SELECT source, id, last_attempt, pos, waiting > 100 AS cut FROM due WHERE place <= 100
 """)
 def win_07(spark, sf):
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("source"), (F.col("event_id") % 50).alias("id")).agg(
-        F.max(F.when(F.col("event_type") == "error", F.to_date("ts"))).alias("last_attempt"), F.min("event_id").alias("pos")
+    # Event types as sources, users as their pages; a read with a value above 150 failed on its day.
+    rare = F.when(F.col("user_id") % 25 == 0, F.concat(F.col("event_type"), F.lit(" rare"))).otherwise(F.col("event_type"))
+    e = table(spark, sf, "events").groupBy(rare.alias("source"), F.col("user_id").alias("id")).agg(
+        F.max(F.when(F.col("value") > 150, F.to_date("ts"))).alias("last_attempt"), F.min("event_id").alias("pos")
     )
     due = e.where(F.col("last_attempt").isNull() | (F.col("last_attempt") < events_as_of()))
-    # Failures wait behind what was never tried. The daily budget of a source is a group limit,
-    # which every task applies before the shuffle.
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.col("last_attempt").asc_nulls_first(), "pos"))
-    return due.withColumn("place", place).where("place <= 100").select("source", "id", "last_attempt", "pos")
+    reads = FR.plan_reads(due, FR.used_budget(e.where("false"), e.select("source", F.lit(0).alias("reserved")).where("false"), "source", "last_attempt", events_as_of()), "source", [F.col("last_attempt").asc_nulls_first(), F.col("pos")])
+    waiting = due.groupBy("source").agg((F.count("*") > 100).alias("cut"))
+    return reads.join(waiting, "source").select("source", "id", "last_attempt", "pos", "cut")
 
 
 @query("win_08_change_detection", SNAP + """

@@ -1,19 +1,20 @@
 """Status machine as a keyed stateful stream (inc_02).
 
-Input rows are one listing of an event on one day: id, day, fact (its sessions as text) and
-open_until (its last session day). The state keeps the last listing and its status. A row older
+Input rows are one listing of an event on one day: id, day, fact (its sessions as text), open_until
+(its last session day) and, where the crawl reports one, crawl (its status). The state keeps the last listing and its status. A row older
 than the state's last day is ignored.
 """
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from marquee.operators import status as S
+
 OUTPUT = "id string, day date, status string"
 STATE = "day date, fact string, open_until date, status string"
 
@@ -25,15 +26,15 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
-def next_status(last: tuple | None, day, fact) -> str:
+def next_status(last: tuple | None, day, fact, crawl: str = "scheduled") -> str:
     """Status of a listing given the previous one (day, fact, open_until, status)."""
     if last is None:
-        return "scheduled"
+        return crawl
     last_day, last_fact, open_until, status = last
-    if fact != last_fact:
-        return "changed"
-    unlisted = (day - last_day).days > 1 and open_until >= last_day + datetime.timedelta(days=1)
-    return status if status in ("changed", "rescheduled") and not unlisted else "scheduled"
+    before = S.STATES.index(status)
+    if (day - last_day).days > 1:
+        before = S.unlisted_state(before, open_until > last_day)
+    return S.STATES[S.next_state(before, fact != last_fact, S.STATES.index(crawl))]
 
 
 class StatusProcessor(StatefulProcessor):
@@ -52,7 +53,7 @@ class StatusProcessor(StatefulProcessor):
             if last is not None and day <= last[0]:
                 continue
             r = days[day]
-            status = next_status(last, day, r.fact)
+            status = next_status(last, day, r.fact, getattr(r, "crawl", None) or "scheduled")
             last = (day, r.fact, r.open_until, status)
             out.append((key[0], day, status))
         if out:
