@@ -16,11 +16,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
-from marquee.llm.common import release
-from marquee.operators.ranking import positions
+from marquee.llm.common import partitions, release
+from marquee.operators.ranking import checkpointed
 
 FAN, STRIDE = 3, 4
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -215,10 +215,19 @@ def build(docs: DataFrame, path: str, claimed: Column | None = None, stride: int
 
 
 def _numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Places from 0 in each tree and the size of the tree; names as text."""
-    placed = positions(rows, keys, order, "_pos")
-    size = placed.groupBy(*keys).agg(F.max("_pos").cast("long").alias("n"))
-    return placed.join(size, keys).select(*keys, (F.col("_pos") - 1).cast("long").alias("i"), "n", "digest", F.col("name").cast("string").alias("name"), "claim")
+    """Places from 0 in each tree and the size of the tree; names as text.
+
+    A range sort by tree and order numbers each partition; the rows of earlier partitions and of the whole
+    tree are added by (tree, partition), so the rows of one large tree never meet in one task.
+    """
+    parts = partitions(rows.sparkSession)
+    ranged = checkpointed(rows.repartitionByRange(parts, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"))
+    # One row for each tree and partition.
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(*keys, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("n"))
+    own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(*order)) - 1)
+    return own.join(sums, [*keys, "_pid"]).select(*keys, (F.col("_i") + F.col("_before")).alias("i"), "n", "digest", F.col("name").cast("string").alias("name"), "claim")
 
 
 def tampered() -> Column:
