@@ -101,22 +101,24 @@ def runs(h: np.ndarray, counts: np.ndarray, size: int, gram: int) -> tuple[np.nd
     n, width = len(h), size - gram + 1
     if n < size:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    place = np.uint64((1 << int(n).bit_length()) - 1)
-    low = (h & ~place) | np.arange(n, dtype=np.uint64)  # leftmost of equal hashes
-    span = 1
+    low, span = h, 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    at = (low[: n - size + 1] & place).astype(np.int64)
+    low = low[: n - size + 1]
     stop = np.repeat(np.cumsum(counts), counts)[: n - size + 1]
     first = np.flatnonzero(np.arange(size, n + 1) <= stop)
     if not len(first):
         return first, first, np.empty(0, np.uint64)
-    at = at[first]
-    edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (first[1:] != first[:-1] + 1)]))
-    return first[edge], np.diff(np.append(edge, len(first))), h[at[edge]]
+    # The leftmost least gram is another one where the least hash changes, or where it stood first and left.
+    turn = np.ones(len(low), bool)
+    turn[1:] = (low[1:] != low[:-1]) | (h[: len(low) - 1] == low[:-1])
+    gap = np.concatenate([[True], first[1:] != first[:-1] + 1])
+    edge = np.flatnonzero(gap | turn[first])
+    # Minima crowd at the low end; mixed, they spread evenly over buckets.
+    return first[edge], np.diff(np.append(edge, len(first))), mix(low[first[edge]])
 
 
 def _raws(frame: pd.DataFrame) -> list[bytes]:

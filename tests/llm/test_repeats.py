@@ -91,3 +91,21 @@ def test_equal_windows_share_a_minimizer():
             own[w] = k
     assert sorted(own) == [*range(351), *range(400, 551)]
     assert all(own[w] == own[w - 300] for w in range(400, 551))
+
+
+@pytest.mark.parametrize("spread", [1, 1 << 12, 1 << 50])
+def test_minimizers_do_not_depend_on_the_lot(spread):
+    """Hashes that differ in their low bits only, alone and before thousands of others."""
+    rng = np.random.default_rng(3)
+    own = rng.integers(0, 1 << 9, 60).astype(np.uint64) * np.uint64(spread) + np.uint64(1 << 50)
+    rest = rng.integers(1 << 60, 1 << 62, 5000).astype(np.uint64)
+    alone = repeats.runs(own, np.array([60]), 50, 16)
+    first, n, key = repeats.runs(np.concatenate([own, rest]), np.array([60, 5000]), 50, 16)
+    mine = first < 60
+    for a, b in zip(alone, (first[mine], n[mine], key[mine])):
+        assert a.tolist() == b.tolist()
+    # The windows of a run share their leftmost least gram.
+    for a, m, k in zip(*alone):
+        for w in range(a, a + m):
+            assert repeats.mix(own[w : w + 35].min(keepdims=True))[0] == k
+            assert w + int(own[w : w + 35].argmin()) == a + int(own[a : a + 35].argmin())
