@@ -25,6 +25,10 @@ def day_end(ms: int) -> int:
     return (ms // DAY_MS + 1) * DAY_MS
 
 
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["source", "day", "url"], dtype=object)
+
+
 def budget_left(cap: int, reserved: int, used: int) -> int:
     return max(0, cap - reserved - used)
 
@@ -37,7 +41,7 @@ class FrontierProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queue = handle.getListState("queue", "url string")
+        self.queue = handle.getListState("queue", "url string, ms bigint")
         self.known = handle.getMapState("known", "url string", "day date")
         self.first = handle.getValueState("first", "ms bigint")
 
@@ -51,24 +55,28 @@ class FrontierProcessor(StatefulProcessor):
         for url in fresh:
             self.known.updateValue((url,), (at.date(),))
         if fresh:
-            self.queue.appendList([(u,) for u in fresh])
+            self.queue.appendList([(u, ms) for u in fresh])
         if self.queue.exists():
             self.handle.registerTimer(day_end(max(ms, timerValues.getCurrentWatermarkInMs())))
-        yield pd.DataFrame({"source": [], "day": [], "url": []})
+        yield _rows([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs()
-        queue = [r[0] for r in self.queue.get()] if self.queue.exists() else []
+        queue = [tuple(r) for r in self.queue.get()] if self.queue.exists() else []
         migration = key[0] in self.legacy and day_end(self.first.get()[0]) == end
-        n = budget_left(self.cap, self.cap if migration else 0, 0)
-        reads, rest = queue[:n], queue[n:]
+        left = budget_left(self.cap, self.cap if migration else 0, 0)
+        # A batch can hold links of the next day when the timer fires; those wait for their own.
+        due = [u for u, ms in queue if ms < end]
+        reads, given = due[:left], set(due[:left])
+        rest = [x for x in queue if x[0] not in given]
         if rest:
-            self.queue.put([(u,) for u in rest])
-            self.handle.registerTimer(end + DAY_MS)
+            self.queue.put(rest)
         elif queue:
             self.queue.clear()
+        if len(reads) < len(due):
+            self.handle.registerTimer(end + DAY_MS)
         day = datetime.datetime.fromtimestamp(end / 1000 - 1, datetime.timezone.utc).date()
-        yield pd.DataFrame({"source": [key[0]] * len(reads), "day": [day] * len(reads), "url": reads})
+        yield _rows([(key[0], day, url) for url in reads])
 
     def close(self) -> None:
         pass

@@ -12,7 +12,9 @@ from marquee.streaming.status import use_rocksdb
 def drained(spark, tmp_path, days, legacy=frozenset()):
     """Reads by (source, day); ``days`` are the (source, url) links listed on each day."""
     use_rocksdb(spark)
-    inbox = f"{tmp_path}/inbox"
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    inbox = str(inbox)
     schema = "source string, url string, seen timestamp"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(inbox).withWatermark("seen", "0 seconds")
     for i, links in enumerate(days):
