@@ -212,3 +212,10 @@ OPEN_ENDED_PATTERN = r"起|常設|長期|未定|持續|迄今"
 # List tags that may need a detail page.
 CONCERT_TAG = "演唱會"
 DETAIL_TAGS = ["演唱會", "中心自辦", "中心合辦"]
+
+# Price texts of detail pages.
+DETAIL_FREE = "免費（仍請確認官方參加條件）"
+DETAIL_PAID = "付費，詳細票價請查官方"
+DETAIL_UNKNOWN = "官網未提供結構化票價，請查官方"
+DETAIL_UNCHECKED = "票價未逐日確認；"
+DETAIL_LAST_REVIEW = "票價未逐日確認；前次人工核對："

@@ -34,19 +34,37 @@ def fingerprint_dedup(df: DataFrame, title: Column, others: list[str], order: Co
 
 
 def review_overrides(df: DataFrame, reviews: DataFrame, fields: list[str]) -> DataFrame:
-    """joi_04: reviewed columns replace the row's when the uid and the title agree and the URL is safe."""
-    r = reviews.select(
+    """joi_04: reviewed columns replace the row's when the uid and the title agree and the URL is safe.
+
+    A uid has one review, the last by check day and URL. Where reviews name ``sessions`` (array of date,
+    time, venue), the ticket covers those of the event's venue only (``ticketSessions``).
+    """
+    scoped = "sessions" in reviews.columns
+    r = first_per_key(reviews, ["uid"], F.struct(*[c for c in ("checkedAt", "url") if c in reviews.columns]), last=True)
+    r = r.select(
         F.col("uid").alias("_uid"), F.col("title").alias("_title"), F.col("url").alias("_url"),
-        *[F.col(f).alias("_r_" + f) for f in fields],
+        *[F.col(f).alias("_r_" + f) for f in fields], *([F.col("sessions").alias("_s")] if scoped else []),
     ).where(U.is_safe(F.col("_url"), ("https",)))
     hit = (F.col("sourceUid") == F.col("_uid")) & (F.col("title") == F.col("_title"))
     joined = df.join(r, hit, "left")
     changes = {f: F.coalesce(F.col("_r_" + f), F.col(f)) for f in fields if f in df.columns}
+    if scoped:
+        own = F.filter("_s", lambda s: s["venue"] == F.col("venue"))
+        changes["ticketSessions"] = F.transform(own, lambda s: F.struct(s["date"].alias("date"), s["time"].alias("time")))
     return joined.withColumn("reviewed", F.col("_url").isNotNull()).withColumns(changes).drop(
-        "_uid", "_title", "_url", *["_r_" + f for f in fields]
+        "_uid", "_title", "_url", *["_r_" + f for f in fields], *(["_s"] if scoped else [])
     )
 
 
+def recheck_candidates(candidates: DataFrame, current: DataFrame, verified: DataFrame) -> DataFrame:
+    """joi_14: link candidates (uid, title) of events that are listed now under the same title and not verified yet.
+
+    ``current``: sourceUid, title, missing.
+    """
+    listed = current.where(~F.coalesce("missing", F.lit(False))).select(F.col("sourceUid").alias("uid"), "title")
+    return candidates.join(listed, ["uid", "title"], "left_semi").join(verified.select("uid"), "uid", "left_anti")
+
+
 def overlay_matches(previous: DataFrame, raw: DataFrame) -> DataFrame:
     """joi_09: previous record of each crawled record.
 

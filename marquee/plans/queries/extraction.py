@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marquee.functions import dates as D, text as T, urls as U, values as V
-from marquee.operators import calendar as CAL, extract as X, reconcile as RC
+from marquee.operators import adapters as A, calendar as CAL, extract as X, reconcile as RC
 from marquee.plans.queries.common import *  # noqa: F403
 from marquee.plans.queries.quality import H1_SQL, H_ALL, MAIN_SQL, TITLE_SQL
 
@@ -42,6 +42,40 @@ def ext_03(spark, sf):
     return X.fields_by_rules(table(spark, sf, "pages"), F.col("html"), FIELD_RULES).select("page_id", *FIELD_RULES)
 
 
+ADAPTERS = [("dated", "Main Hall", "north", "1 Main Street", "iso"), ("parted", "Old Depot", "south", "2 Depot Road", "year_day")]
+ADAPTER_RULES = [
+    ("dated", "title", r'(?s)<p class="inner">(.*?)</p>'), ("dated", "date", r"(\d{4}-\d{2}-\d{2})"), ("dated", "period", r'<p class="date">(.*?)</p>'), ("dated", "venue", r'<p class="place">(.*?)</p>'),
+    ("parted", "title", r"(?s)<h1[^>]*>(.*?)</h1>"), ("parted", "year", r'<span class="y">(\d{4})</span>'), ("parted", "day", r'<span class="md">([\d.]+)</span>'), ("parted", "venue", r"<h3>At</h3><i>(.*?)</i>"),
+]
+
+
+@query("ext_03_source_adapters", f"""
+WITH {B.RAW_LISTING_SQL}, p AS (SELECT *, id % 2 = 0 AS dated, status = 'P' OR end_day IS NULL AS one FROM raw_listing)
+SELECT id, CASE WHEN dated THEN 'dated' ELSE 'parted' END AS source, CASE WHEN uid % 11 = 0 THEN NULL ELSE title END AS title, start_day AS start,
+  CASE WHEN one THEN CASE WHEN dated AND price < 100000 THEN start_day END ELSE greatest(start_day, end_day) END AS "end",
+  CASE WHEN dated THEN 'Main Hall' ELSE 'Old Depot' END || ' · ' || venue AS venue, CASE WHEN dated THEN 'north' ELSE 'south' END AS region,
+  CASE WHEN uid % 11 = 0 THEN 'missing title or venue' END AS reason
+FROM p WHERE one OR end_day >= start_day
+""")
+def ext_03_adapters(spark, sf):
+    # The driver's pages carry no such facts, so each order becomes a page of one of two sources around its own.
+    p = B.raw_listing(spark, sf).withColumn("one", (F.col("status") == "P") | F.col("end_day").isNull()).where("one OR end_day >= start_day")
+    day = lambda c, form: F.date_format(c, form)
+    title = F.when(F.col("uid") % 11 == 0, "").otherwise(F.col("title"))
+    dates = F.when(~F.col("one"), F.concat(day("start_day", "yyyy-MM-dd"), F.lit(" ~ "), day("end_day", "yyyy-MM-dd")))
+    dates = dates.otherwise(F.concat(day("start_day", "yyyy-MM-dd"), F.when(F.col("price") < 100000, "").otherwise(F.lit(" 起"))))
+    dated = F.concat(F.lit('<p class="inner">'), title, F.lit('</p><p class="date">'), dates, F.lit('</p><p class="place">'), F.col("venue"), F.lit("</p>"))
+    span = lambda c: F.concat(F.lit('<span class="y">'), day(c, "yyyy"), F.lit('</span><span class="md">'), day(c, "M.d"), F.lit("</span>"))
+    parted = F.concat(F.lit("<h1 id='t'>"), title, F.lit("</h1>"), span("start_day"), F.when(F.col("one"), "").otherwise(span("end_day")), F.lit("<h3>At</h3><i>"), F.col("venue"), F.lit("</i>"))
+    even = F.col("id") % 2 == 0
+    none = F.lit(None).cast("string")
+    pages = p.select("id", F.when(even, "dated").otherwise("parted").alias("source"), F.when(even, dated).otherwise(parted).alias("html"), none.alias("venue_hint"), none.alias("badge"), none.alias("prior_price"))
+    registry = A.registry(
+        spark.createDataFrame(ADAPTERS, "source string, name string, region string, address string, dates string"), spark.createDataFrame(ADAPTER_RULES, "source string, field string, pattern string")
+    )
+    return A.detail_facts(pages, registry).select("id", "source", "title", "start", "end", "venue", "region", "reason")
+
+
 @query("ext_04_json_ld", """
 SELECT event_id AS page, event_type AS name, CAST(json_extract(props, '$.k') AS INTEGER) AS low, value > 20 AS cancelled FROM events
 """)

@@ -177,11 +177,13 @@ def flt_09(spark, sf):
 
 @query("flt_10_listed_pages", f"""
 SELECT page_id FROM pages WHERE {url_sql('url', 1)} = 'https' AND {url_sql('url', 4)} = '' AND {url_sql('url', 5)} = ''
-  AND starts_with({url_sql('url', 3)}, '/en/') AND {host_sql('url')} = {host_sql('url')}
+  AND starts_with({url_sql('url', 3)}, '/en/') AND {host_sql('url')} = (SELECT min({host_sql('url')}) FROM pages)
 """)
 def flt_10(spark, sf):
+    # One source: the pages of the first host; links to all others lead off it.
     p = table(spark, sf, "pages")
-    return p.where(U.is_listed_page(F.col("url"), U.host(F.col("url")), "/en/")).select("page_id")
+    base = p.agg(F.min(U.host(F.col("url")))).scalar()
+    return p.where(U.is_listed_page(F.col("url"), base, "/en/")).select("page_id")
 
 
 @query("flt_11_safe_url", f"""

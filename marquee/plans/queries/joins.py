@@ -58,23 +58,24 @@ def joi_03(spark, sf):
 
 
 @query("joi_04_review_override", """
-SELECT d.doc_id, coalesce(CASE WHEN ok THEN CASE WHEN l.quality = 1 THEN 'reviewed' END END, 'unreviewed') AS "saleNote",
-       coalesce(ok, false) AS reviewed
-FROM documents d LEFT JOIN (
-  SELECT l.doc_id, l.quality, l.toxic = 0 AS ok FROM labels l) l ON l.doc_id = d.doc_id AND l.ok
+WITH last AS (SELECT doc_id, toxic = 0 AND (doc_id + 2) % 5 <> 0 AS ok, CASE WHEN quality = 1 THEN 'reviewed' END AS note FROM labels)
+SELECT d.doc_id, coalesce(CASE WHEN ok THEN note END, 'unreviewed') AS "saleNote", coalesce(ok, false) AS reviewed,
+  CASE WHEN ok THEN CASE WHEN d.lang = 'en' THEN 2 ELSE 1 END END AS scope
+FROM documents d LEFT JOIN last l USING (doc_id)
 """)
 def joi_04(spark, sf):
-    d = table(spark, sf, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("sourceUid"), F.col("source").alias("title"), F.lit("unreviewed").alias("saleNote")
-    )
-    titles = table(spark, sf, "documents").select("doc_id", "source")
-    # The title must agree and the URL must be safe; toxic rows get an unsafe scheme here.
-    r = table(spark, sf, "labels").join(titles, "doc_id").select(
-        F.col("doc_id").cast("string").alias("uid"), F.col("source").alias("title"),
-        F.when(F.col("toxic") == 0, "https://review.example/e/1").otherwise("http://review.example/e/1").alias("url"),
-        F.when(F.col("quality") == 1, "reviewed").alias("saleNote"),
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("venue"))
+    d = docs.select("doc_id", "title", "venue", F.col("doc_id").cast("string").alias("sourceUid"), F.lit("unreviewed").alias("saleNote"))
+    # Two reviews of each labelled document, a day apart; some name another title, toxic ones an unsafe scheme.
+    r = table(spark, sf, "labels").join(docs, "doc_id").withColumn("day", F.explode(F.array(F.lit(1), F.lit(2))))
+    session = lambda venue, time: F.struct(F.lit("2026-01-01").alias("date"), F.lit(time).alias("time"), venue.alias("venue"))
+    r = r.select(
+        F.col("doc_id").cast("string").alias("uid"), F.when((F.col("doc_id") + F.col("day")) % 5 == 0, "other").otherwise(F.col("title")).alias("title"),
+        F.when(F.col("toxic") == 0, "https://review.example/e/1").otherwise("http://review.example/e/1").alias("url"), F.col("day").alias("checkedAt"),
+        F.when(F.col("quality") == F.col("day") - 1, "reviewed").alias("saleNote"), F.array(session(F.lit("en"), "19:00"), session(F.col("venue"), "20:00")).alias("sessions"),
     )
-    return O.review_overrides(d, r, ["saleNote"]).select("doc_id", "saleNote", "reviewed")
+    out = O.review_overrides(d, r, ["saleNote"])
+    return out.select("doc_id", "saleNote", "reviewed", F.when(F.col("ticketSessions").isNotNull(), F.size("ticketSessions")).alias("scope"))
 
 
 @query("joi_05_curated_precedence", """
@@ -250,14 +251,16 @@ def joi_13(spark, sf):
 
 
 @query("joi_14_recheck_candidates", """
-SELECT d.doc_id, d.source FROM documents d JOIN labels l USING (doc_id)
-WHERE l.quality = 0 AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT CAST(d.doc_id AS VARCHAR) AS uid, d.source AS title FROM documents d JOIN labels l USING (doc_id)
+WHERE l.quality = 0 AND d.doc_id % 4 <> 0 AND d.lang <> 'de' AND l.toxic = 0
 """)
 def joi_14(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source")
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("sourceUid"), F.col("source").alias("title"), (F.col("lang") == "de").alias("missing"), "doc_id")
     l = table(spark, sf, "labels")
-    verified = l.where("toxic = 1").select("doc_id")
-    return d.join(l.where("quality = 0").select("doc_id"), "doc_id").join(verified, "doc_id", "left_anti")
+    # Every fourth candidate remembers the title of an earlier day.
+    title = F.when(F.col("doc_id") % 4 == 0, "earlier title").otherwise(F.col("title"))
+    candidates = l.where("quality = 0").join(d, "doc_id").select(F.col("sourceUid").alias("uid"), title.alias("title"))
+    return O.recheck_candidates(candidates, d, l.where("toxic = 1").select(F.col("doc_id").cast("string").alias("uid")))
 
 
 @query("joi_15_page_by_kind", """

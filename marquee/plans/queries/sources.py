@@ -45,20 +45,16 @@ def src_02(spark, sf):
 
 @query("src_03_snapshot_scan", """
 SELECT source, lang AS kind, count(*) AS n, max(doc_id) AS last_doc FROM documents
-WHERE regexp_matches(source, '^[a-z0-9][a-z0-9-]{0,63}$') GROUP BY 1, 2
+WHERE regexp_matches(source, '^[a-z0-9][a-z0-9-]{0,63}$') AND lang IN ('en', 'fr') GROUP BY 1, 2
 """)
 def src_03(spark, sf):
-    # The snapshot is written by (kind, source) once; every kind is then a scan of its own partitions.
+    # The snapshot is written by (kind, source) once; a kind is then a scan of its own partitions.
     root = _out_dir(spark, "snapshot")
     d = table(spark, sf, "documents").where(F.col("source").rlike(R.SOURCE_ID))
     rows = d.select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("source_id"))
     rows.hint("rebalance", "kind").write.partitionBy("kind", "source_id").parquet(root)
-    kinds = [r["kind"] for r in rows.select("kind").distinct().collect()]  # languages: a bounded domain
-    one = lambda k: R.read_snapshot(spark, root, k).groupBy(F.col("source_id").alias("source"), "kind").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
-    out = one(kinds[0])
-    for k in kinds[1:]:
-        out = out.union(one(k))
-    return out
+    both = R.read_snapshot(spark, root, "en", schema="doc_id bigint").union(R.read_snapshot(spark, root, "fr", schema="doc_id bigint"))
+    return both.groupBy(F.col("source_id").alias("source"), "kind").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
 
 
 @query("src_04_registry_check", """
@@ -129,12 +125,17 @@ def src_08(spark, sf):
 
 
 @query("src_09_dimension_or_empty", """
-SELECT d.source, count(*) AS docs, count(l.doc_id) AS labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1
+SELECT d.source, count(*) AS docs, count(l.doc_id) AS labelled, 0 AS overridden FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 0 GROUP BY 1
 """)
 def src_09(spark, sf):
-    d, l = table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").select("doc_id", "quality")
-    return d.join(l, "doc_id", "left").groupBy("source").agg(
-        F.count("*").alias("docs"), F.count("quality").alias("labelled")
+    # One dimension was written by an earlier step, the other never.
+    root = _out_dir(spark, "dimension")
+    table(spark, sf, "labels").where("toxic = 0").write.json(root)
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    l = R.read_or_empty(spark, root, "doc_id bigint, quality int", multi_line=False)
+    o = R.read_or_empty(spark, f"{root}-never", "doc_id bigint, override string")
+    return d.join(l, "doc_id", "left").join(o, "doc_id", "left").groupBy("source").agg(
+        F.count("*").alias("docs"), F.count("quality").alias("labelled"), F.count("override").cast("int").alias("overridden")
     )
 
 

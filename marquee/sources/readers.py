@@ -57,9 +57,13 @@ def require_category(df: DataFrame, category: Column, code: str) -> DataFrame:
     return df
 
 
-def read_snapshot(spark: SparkSession, root: str, kind: str, source_id: str | None = None) -> DataFrame:
-    """src_03: partitioned snapshot; kind and source are pruned at planning time."""
-    df = spark.read.parquet(root).where(F.col("kind") == kind)
+def read_snapshot(spark: SparkSession, root: str, kind: str, source_id: str | None = None, schema: str | None = None) -> DataFrame:
+    """src_03: partitioned snapshot; kind and source are pruned at planning time.
+
+    With a ``schema`` of the data columns an empty snapshot gives no rows instead of an error.
+    """
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, kind string, source_id string")
+    df = reader.parquet(root).where(F.col("kind") == kind)
     return df if source_id is None else df.where(F.col("source_id") == source_id)
 
 
@@ -125,12 +129,12 @@ def batch_totals(events: DataFrame, sessions: Column) -> DataFrame:
     return events.agg(F.count("*").alias("events"), F.coalesce(F.sum(sessions), F.lit(0)).cast("bigint").alias("sessions"))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """src_09: a JSON dimension, or no rows when the path does not exist."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.schema(schema).json(path, multiLine=True)
+        return spark.read.schema(schema).json(path, multiLine=multi_line)
     return spark.createDataFrame([], schema)
 
 
