@@ -219,3 +219,10 @@ DETAIL_PAID = "付費，詳細票價請查官方"
 DETAIL_UNKNOWN = "官網未提供結構化票價，請查官方"
 DETAIL_UNCHECKED = "票價未逐日確認；"
 DETAIL_LAST_REVIEW = "票價未逐日確認；前次人工核對："
+
+# The label of a list of dates, the labels that end it, its dates and its clocks.
+DATES_LABEL = "活動日期"
+DATES_END = r"主辦單位|聯絡電話|票\s*價"
+BARE_DATE = r"\d{4}\s*/\s*\d{1,2}\s*(?:/|月)\s*\d{1,2}日?"
+START_CLOCK = r"(\d{1,2}:\d{2})\s*開演"
+PLAIN_CLOCK = r"(\d{1,2}:\d{2})(?!\d|\s*開場)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions import dates as D, text as T, urls as U
+from marquee.functions import dates as D, text as T, urls as U, values as V
 
 ANCHOR = r"""(?is)<a\s[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""
 
@@ -178,58 +178,41 @@ def feed_time_place(content: Column) -> Column:
     return F.struct(day.alias("day"), F.when(has, g(4)).alias("clock"), end.alias("end_day"), venue.alias("venue"), address.alias("address"))
 
 
-DATE_BARE = r"\d{4}\s*/\s*\d{1,2}\s*(?:/|月)\s*\d{1,2}日?"
+def bound(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
+    """``keys`` and the given columns, each computed once: no later filter or use is merged into them."""
+    return df.select(*keys, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def dated_pieces(section: Column) -> Column:
-    """Array of struct(head, rest): every date with the text up to the next one, in two linear passes."""
-    heads = F.regexp_extract_all(section, F.lit(DATE_BARE), F.lit(0))
-    rests = F.slice(F.split(section, DATE_BARE), 2, F.size(heads))
-    return F.zip_with(heads, rests, lambda h, r: F.struct(h.alias("head"), F.coalesce(r, F.lit("")).alias("rest")))
+def dated_rows(df: DataFrame, section: Column, keys: list[str]) -> DataFrame:
+    """win_11: one row (keys, pos from 1, head, rest) per date of ``section``; rest ends at the next date."""
+    mark = "\u0001"
+    marked = F.regexp_replace(F.replace(section, F.lit(mark), F.lit(" ")), V.BARE_DATE, mark + "$0" + mark)
+    parts = F.split(marked, mark)
+    # Odd parts are dates, each with the part after it.
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1, F.lit(2)), lambda i: F.struct(F.get("_parts", i).alias("head"), F.get("_parts", i + 1).alias("rest")))
+    cut = bound(df, keys, _parts=parts).where(F.size("_parts") > 1)
+    return cut.select(*keys, F.posexplode(pairs).alias("pos", "_pair")).select(*keys, (F.col("pos") + 1).alias("pos"), "_pair.head", "_pair.rest")
 
 
-def date_chunks(section: Column) -> Column:
-    """win_11: pieces of a text, each from one date to the next."""
-    return F.transform(dated_pieces(section), lambda p: F.concat(p["head"], p["rest"]))
+def text_sessions(df: DataFrame, content: Column, keys: list[str]) -> DataFrame:
+    """ext_06: one row (keys, pos, date, time, valid) per date of a text that lists several.
 
-
-def text_sessions(content: Column) -> Column:
-    """ext_06: array of struct(date, time, valid) from a multi-date text.
-
-    Doors and end times stand in brackets or carry their own word, so brackets go first; a clock
-    marked as the start wins over the first plain clock.
+    Only the part under the date label counts. A date may carry notes in brackets, which are no clocks
+    of its own, a door clock and a start clock; the start is the clock called so, else the first clock
+    that is not called the doors'. Without a clock the time is null. Rows are exploded before the
+    clocks are read, so that each piece is read once, in generated code.
     """
-    c = F.replace(content, F.lit("："), F.lit(":"))
-    # Splits read the text once; a text without the label has no dates.
-    after = F.coalesce(F.get(F.split(c, "活動日期", 2), F.lit(1)), F.lit(""))
-    section = F.get(F.split(after, r"主辦單位|聯絡電話|票\s*價", 2), F.lit(0))
-
-    # Staged transforms: each value is computed once and bound, not inlined at every use.
-    rests = F.transform(
-        dated_pieces(section),
-        lambda h: F.struct(
-            F.substring_index(F.regexp_replace(h["head"], r"\D+", "-"), "-", 3).try_cast("date").alias("date"),
-            F.regexp_replace(h["rest"], r"[（(][^)）]*[)）]", " ").alias("rest"),
-        ),
-    )
-    clocks = F.transform(
-        rests,
-        lambda r: F.struct(
-            r["date"].alias("date"),
-            F.coalesce(
-                F.nullif(F.regexp_extract(r["rest"], r"(\d{1,2}:\d{2})\s*開演", 1), F.lit("")),
-                F.nullif(F.regexp_extract(r["rest"], r"(\d{1,2}:\d{2})(?!\d|\s*開場)", 1), F.lit("")),
-            ).alias("clock"),
-        ),
-    )
-    padded = F.transform(clocks, lambda c: F.struct(c["date"].alias("date"), F.lpad(c["clock"], 5, "0").alias("time")))
-    return F.transform(
-        padded,
-        lambda p: F.struct(
-            p["date"].alias("date"), p["time"].alias("time"),
-            (p["date"].isNotNull() & F.coalesce(D.valid_clock(p["time"]), F.lit(True))).alias("valid"),
-        ),
+    labelled = F.split(F.replace(content, F.lit("："), F.lit(":")), V.DATES_LABEL, 2)
+    section = F.get(F.split(F.get(labelled, F.lit(1)), V.DATES_END, 2), F.lit(0))
+    keys_pos = [*keys, "pos"]
+    rows = bound(
+        dated_rows(df, section, keys), keys_pos, date=F.substring_index(F.regexp_replace("head", r"\D+", "-"), "-", 3).try_cast("date"),
+        rest=F.when(F.col("rest").contains(":"), F.regexp_replace("rest", r"[（(][^)）]*[)）]", " ")).otherwise(F.lit("")),
     )
+    clocks = bound(rows, [*keys_pos, "date", "rest"], start=F.when(F.col("rest").contains("開演"), F.regexp_extract("rest", V.START_CLOCK, 1)).otherwise(F.lit("")))
+    found = bound(clocks, [*keys_pos, "date"], clock=F.when(F.col("start") != "", F.col("start")).otherwise(F.regexp_extract("rest", V.PLAIN_CLOCK, 1)))
+    time = F.lpad(F.nullif("clock", F.lit("")), 5, "0")
+    return found.select(*keys_pos, "date", time.alias("time"), (F.col("date").isNotNull() & F.coalesce(D.valid_clock(time), F.lit(True))).alias("valid"))
 
 
 def labelled_field(content: Column, label: str, stop: str, limit: int = 160) -> Column:

@@ -113,8 +113,9 @@ def ext_06(spark, sf):
         F.lit("介紹 活動日期/時間："), d("yyyy/MM/dd", 0), F.lit("(六)19：30(18:30開放入場)"),
         d("yyyy / M / d", 1), F.lit("（日）14:30開場 / 16:00開演主辦單位：x"),
     )
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("ord"), F.explode_outer(X.text_sessions(text)).alias("s"))
-    return li.where("s.valid").select("event", "ord", F.col("s.date").alias("day"), F.col("s.time").alias("clock"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("ord"), text.alias("text"))
+    found = X.text_sessions(li, F.col("text"), ["event", "ord"]).where("valid")
+    return found.select("event", "ord", F.col("date").alias("day"), F.col("time").alias("clock"))
 
 
 @query("ext_07_labelled_field", f"""
