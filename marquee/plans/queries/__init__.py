@@ -1,5 +1,5 @@
 """Registered queries by inventory group; importing the package fills the registry."""
 
 from marquee.plans.queries import (  # noqa: F401
-    aggregates, extraction, filters, functions, incremental, joins, quality, sorts_sets, sources, windows,
+    aggregates, contracts, extraction, filters, functions, incremental, joins, quality, sorts_sets, sources, windows,
 )
