@@ -111,6 +111,25 @@ def leak_scan(df: DataFrame, text: Column, keys: list[str] | None = None, patter
     )
 
 
+def multiset_digest(*values: Column) -> Column:
+    """agg_19: digest of a group's rows, repeats counted, in any order: a sum that partial groups add up.
+
+    Sixty bits of a hash for each row, summed as a decimal, so that no number of rows overflows.
+    Values are told apart from each other by their lengths; null and empty text count as unlike.
+    """
+    part = lambda v: F.coalesce(F.concat(F.length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.lit("-"))
+    return F.sum(F.conv(F.substring(F.md5(F.concat(*[part(v) for v in values]).cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)"))
+
+
+def compared_totals(recorded: DataFrame, recomputed: DataFrame, keys: list[str], totals: list[str]) -> DataFrame:
+    """agg_19: (keys, recorded_x, recomputed_x for each total, agrees). A group on one side only disagrees."""
+    side = lambda df, name: df.select(*keys, *[F.col(t).alias(f"{name}_{t}") for t in totals], F.lit(True).alias(f"_{name}"))
+    both = side(recorded, "recorded").join(side(recomputed, "recomputed"), keys, "full")
+    same = reduce(lambda a, b: a & b, [F.col(f"recorded_{t}").eqNullSafe(F.col(f"recomputed_{t}")) for t in totals])
+    agrees = F.coalesce(F.col("_recorded") & F.col("_recomputed") & same, F.lit(False))
+    return both.withColumn("agrees", agrees).drop("_recorded", "_recomputed")
+
+
 def safe_reason(message: Column, allowed: list[str] | None = None) -> Column:
     """chk_09: known messages pass, any other becomes the generic code."""
     return F.when(message.isin(*(allowed or V.ITEM_REASONS)), message).otherwise(F.lit(V.GENERIC_REASON))

@@ -303,3 +303,36 @@ def agg_20(spark, sf):
     from marquee.functions import urls as U
 
     return C.bundle_by_source(table(spark, sf, "pages").select("url"), F.col("url"), U.scheme(F.col("url")) == "https", HOSTS, SUFFIXES)
+
+
+TOTALS_SQL = """rec AS (SELECT o_orderkey // 32 AS bundle, count(*) AS items, sum(('0x' || md5(length(o_orderkey::VARCHAR) || ':' || o_orderkey)[1:15])::BIGINT) AS digest FROM orders GROUP BY 1),
+got AS (SELECT l_orderkey // 32 AS bundle, count(*) AS items, sum(('0x' || md5(length(l_orderkey::VARCHAR) || ':' || l_orderkey)[1:15])::BIGINT) AS digest
+  FROM (SELECT DISTINCT l_orderkey FROM lineitem) GROUP BY 1),
+cmp AS (SELECT bundle, rec.items AS recorded_items, got.items AS recomputed_items, rec.digest::VARCHAR AS recorded_digest, got.digest::VARCHAR AS recomputed_digest,
+  coalesce(rec.items = got.items AND rec.digest = got.digest, false) AS agrees FROM rec FULL JOIN got USING (bundle))"""
+
+
+def _bundles(spark, sf):
+    # Orders are the record of what was sent, line items what arrived; a bundle is 32 order numbers.
+    of = lambda key: F.floor(F.col(key) / 32).cast("bigint").alias("bundle")
+    totals = lambda key: [F.count("*").alias("items"), Q.multiset_digest(F.col(key)).cast("string").alias("digest")]
+    sent = table(spark, sf, "orders").groupBy(of("o_orderkey")).agg(*totals("o_orderkey"))
+    came = table(spark, sf, "lineitem").select("l_orderkey").distinct().groupBy(of("l_orderkey")).agg(*totals("l_orderkey"))
+    return Q.compared_totals(sent, came, ["bundle"], ["items", "digest"])
+
+
+@query("agg_19_bundle_totals", f"WITH {TOTALS_SQL} SELECT * FROM cmp")
+def agg_19_bundles(spark, sf):
+    return _bundles(spark, sf)
+
+
+@query("agg_20_bundle_attempts", f"""
+WITH {TOTALS_SQL} SELECT bundle // 4 AS batch, count(*) AS bundles, coalesce(sum(recomputed_items), 0)::BIGINT AS items, bool_and(agrees) AS ok,
+  coalesce(string_agg(bundle::VARCHAR, ',' ORDER BY bundle) FILTER (NOT agrees), '') AS failed FROM cmp GROUP BY 1
+""")
+def agg_20_attempts(spark, sf):
+    # A batch of four bundles succeeds only as a whole; the list of failed ones is bounded by that.
+    failed = F.array_sort(F.collect_list(F.when(~F.col("agrees"), F.col("bundle"))))
+    return _bundles(spark, sf).groupBy(F.floor(F.col("bundle") / 4).cast("bigint").alias("batch")).agg(
+        F.count("*").alias("bundles"), F.coalesce(F.sum("recomputed_items"), F.lit(0)).cast("bigint").alias("items"), F.bool_and("agrees").alias("ok"), F.array_join(failed, ",").alias("failed")
+    )

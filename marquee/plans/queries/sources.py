@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from marquee.functions import urls as U
 from marquee.operators import quality as Q
@@ -43,6 +44,43 @@ def src_02(spark, sf):
     )
 
 
+@query("src_02_category_builds", """
+WITH k(kind, code) AS (VALUES ('concerts', 'purchase'), ('comedy', 'view'), ('festivals', 'festival'))
+SELECT kind, CASE WHEN count(event_id) > 0 THEN 'published' ELSE 'category' END AS outcome, count(event_id) AS n, max(event_id) AS last_id
+FROM k LEFT JOIN events ON event_type = code GROUP BY kind
+""")
+def src_02_builds(spark, sf):
+    # One build for each kind: the guard sees the whole feed, the version holds the rows of its category.
+    feed, parts = table(spark, sf, "events").select("event_id", "event_type"), []
+    for kind, code in (("concerts", "purchase"), ("comedy", "view"), ("festivals", "festival")):
+        root = _out_dir(spark, f"kind-{kind}")
+        guard = sinks.Guarded(feed, {"category": ~F.bool_or(F.col("event_type") == code)})
+        outcome = sinks.publish_guarded(guard.rows.where(F.col("event_type") == code), guard, root, "1")
+        rows = sinks.read_committed(spark, root, "event_id bigint")
+        parts.append(rows.agg(F.count("*").alias("n"), F.max("event_id").alias("last_id")).select(F.lit(kind).alias("kind"), F.lit(outcome).alias("outcome"), "n", "last_id"))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query("grd_02_guarded_snapshots", """
+WITH k(lang) AS (VALUES ('en'), ('fr'), ('de'), ('xx')), d AS (
+  SELECT k.lang, count(doc_id) AS n, count(*) FILTER (doc_id IS NOT NULL AND contains(text, 'ei')) AS bad, max(doc_id) AS last_id
+  FROM k LEFT JOIN documents ON documents.lang = k.lang GROUP BY 1)
+SELECT lang, CASE WHEN n = 0 THEN 'empty' WHEN bad > n * 0.2 THEN 'rejected' ELSE 'published' END AS outcome,
+  CASE WHEN n = 0 OR bad > n * 0.2 THEN 0 ELSE n - bad END AS n FROM d
+""")
+def grd_02_guarded(spark, sf):
+    # Guards count while the version is written: an empty language and one with too many rejected rows stay unpublished.
+    docs, parts = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").contains("ei").alias("bad")), []
+    for lang in ("en", "fr", "de", "xx"):
+        root = _out_dir(spark, f"lang-{lang}")
+        n, bad = F.count("*"), F.count_if("bad")
+        guard = sinks.Guarded(docs.where(F.col("lang") == lang), {"empty": n == 0, "rejected": Q.rejection_guard(bad, n)})
+        outcome = sinks.publish_guarded(guard.rows.where(~F.col("bad")), guard, root, "1")
+        rows = sinks.read_committed(spark, root, "doc_id bigint")
+        parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(lang).alias("lang"), F.lit(outcome).alias("outcome"), "n"))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 @query("src_03_snapshot_scan", """
 SELECT source, lang AS kind, count(*) AS n, max(doc_id) AS last_doc FROM documents
 WHERE regexp_matches(source, '^[a-z0-9][a-z0-9-]{0,63}$') AND lang IN ('en', 'fr') GROUP BY 1, 2
