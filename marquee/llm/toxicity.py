@@ -19,8 +19,9 @@ from marquee.llm.common import mapped
 #: Labelled rows for fitting, those of the smallest hashes of doc_id.
 SAMPLE = 12_000
 GRADES = 4
-#: Toxic rows that a telling feature is in at least, and the log of how much more frequent it is there.
-LEAST, ODDS = 8, 2.5
+#: Evidence that a telling feature is not toxic by chance, and the log of how much more frequent it is there.
+#: With evidence e, a feature unrelated to the label would look so one-sided with a chance of at most exp(-e).
+EVIDENCE, ODDS = 5.0, 2.5
 MARKS = ".,!?;:|%$#&*\"'()[]{}<>-_"
 PREFIXES = (4, 5, 6)
 
@@ -37,21 +38,27 @@ def terms(text: str | frozenset | None) -> set[str] | frozenset:
     return words | {f"{w[:n]}~" for w in words for n in PREFIXES if len(w) > n}
 
 
-def _telling(texts: list[str | None], toxic: np.ndarray, least: int = LEAST, odds: float = ODDS) -> dict[str, int]:
-    """Features at least ``exp(odds)`` times as frequent in toxic rows, by rank."""
+def _evidence(yes: float, no: float, share: float) -> float:
+    """Rows times the divergence of their toxic share from ``share``; no floor on either count."""
+    n = yes + no
+    return (yes * math.log(yes / n / share) if yes else 0.0) + (no * math.log(no / n / (1 - share)) if no else 0.0)
+
+
+def _telling(texts: list[str | None], toxic: np.ndarray, evidence: float = EVIDENCE, odds: float = ODDS) -> dict[str, int]:
+    """Features at least ``exp(odds)`` times as frequent in toxic rows, on that evidence, by rank."""
     yes, no = Counter(), Counter()
     n_yes, n_no = int(toxic.sum()), int((~toxic).sum())
     for text, bad in zip(texts, toxic):
         if bad:
             yes.update(terms(text))
-    keep = {t for t, c in yes.items() if c >= least}
     for text, bad in zip(texts, toxic):
         if not bad:
-            no.update(terms(text) & keep)
+            no.update(terms(text) & yes.keys())
+    share = (n_yes + 0.5) / (n_yes + n_no + 1)
     found = []
-    for t in keep:
+    for t in yes:
         lift = math.log((yes[t] + 0.5) / (n_yes + 1) / ((no[t] + 0.5) / (n_no + 1)))
-        if lift >= odds:
+        if lift >= odds and _evidence(yes[t], no[t], share) >= evidence:
             found.append((-lift, t))
     return {t: i for i, (_, t) in enumerate(sorted(found))}
 
@@ -118,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = chosen.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("yes"), F.sum((F.col("toxic") != 1).cast("long")).alias("no")).first()
     yes, no = F.sum((F.col("toxic") == 1).cast("long")), F.sum((F.col("toxic") != 1).cast("long"))
     lift = F.log((F.col("yes") + 0.5) / ((n["yes"] or 0) + 1) / ((F.col("no") + 0.5) / ((n["no"] or 0) + 1)))
-    telling = each.groupBy("t").agg(yes.alias("yes"), no.alias("no")).where((F.col("yes") >= LEAST) & (lift >= ODDS)).select("t")
+    share = ((n["yes"] or 0) + 0.5) / ((n["yes"] or 0) + (n["no"] or 0) + 1)
+    part = lambda c, of: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (F.col("yes") + F.col("no")) / of)).otherwise(0.0)
+    telling = each.groupBy("t").agg(yes.alias("yes"), no.alias("no")).where((lift >= ODDS) & (part("yes", share) + part("no", 1 - share) >= EVIDENCE)).select("t")
     small = each.join(telling, "t").groupBy("doc_id", "toxic").agg(F.array_join(F.sort_array(F.collect_list("t")), " ").alias("t"))
     got = chosen.join(small.select("doc_id", "t"), "doc_id", "left").orderBy("doc_id").toPandas()
     texts = [frozenset((t or "").split(" ")) - {""} for t in got["t"].where(got["t"].notna(), None)]

@@ -114,3 +114,38 @@ def test_a_repeated_labelled_row_does_not_displace_others(spark):
     plain = quality.fit(docs_frame(spark, texts, ids), labels, sample=40)
     again = quality.fit(docs_frame(spark, texts + [texts[low]] * 100, ids + [ids[low]] * 100), labels, sample=40)
     assert np.allclose(plain.w, again.w) and np.allclose(plain.mean, again.mean)
+
+
+def test_toxicity_on_few_rows(spark):
+    # Ten toxic rows of seventy: a word in four of them is learned, one in a single row isn't.
+    plain = [f"alpha{i % 7} beta{i % 5} gamma" for i in range(60)]
+    rude = [f"alpha{i % 7} blockhead gamma" for i in range(4)] + [f"gamma dunce beta{i % 5}" for i in range(5)] + ["gamma oddity"]
+    texts, toxic = plain + rude, [0] * 60 + [1] * 10
+    index = toxicity._telling(texts, np.array(toxic, bool))
+    assert {"blockhead", "dunce"} <= set(index) and "oddity" not in index and "gamma" not in index
+    df = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], LABELS)
+    known = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 0]
+    model = toxicity.fit(df, labels)
+    assert model.index == toxicity._telling([texts[i] for i in known], np.array(toxic, bool)[known]) and model.index
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.severity(df, labels).collect()}
+    assert not any(got[i] for i in range(60)) and any(got[i] for i in range(60, 70))
+
+
+def test_ordinal_likelihood_has_its_least_value_at_the_fit():
+    texts, _, toxic = made(300, 9)
+    bad = np.array(toxic, bool)
+    model = toxicity.learn(texts, bad, steps=4000, rate=0.02, decay=1e-2)
+    hits = np.array([len(toxicity.terms(t) & model.index.keys()) for t in texts])
+    y = np.where(bad, 1 + np.searchsorted(np.quantile(hits[bad], [1 / 3, 2 / 3]), hits, "right"), 0)
+
+    def loss(w, cut):
+        p = toxicity.Model(model.index, w, cut).grades(texts)
+        return -np.mean(np.log(np.maximum(p[np.arange(len(y)), y], 1e-9))) + 0.5e-2 * (w @ w)
+
+    best = loss(model.w, model.thresholds)
+    for j in range(0, len(model.w), max(1, len(model.w) // 10)):
+        for step in (-0.1, 0.1):
+            moved = model.w.copy()
+            moved[j] += step
+            assert loss(moved, model.thresholds) > best - 1e-4
