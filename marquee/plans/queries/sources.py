@@ -63,14 +63,14 @@ def src_02_builds(spark, sf):
 
 @query("grd_02_guarded_snapshots", """
 WITH k(lang) AS (VALUES ('en'), ('fr'), ('de'), ('xx')), d AS (
-  SELECT k.lang, count(doc_id) AS n, count(*) FILTER (doc_id IS NOT NULL AND contains(text, 'ei')) AS bad, max(doc_id) AS last_id
+  SELECT k.lang, count(doc_id) AS n, count(*) FILTER (doc_id IS NOT NULL AND contains(text, 'qu')) AS bad, max(doc_id) AS last_id
   FROM k LEFT JOIN documents ON documents.lang = k.lang GROUP BY 1)
 SELECT lang, CASE WHEN n = 0 THEN 'empty' WHEN bad > n * 0.2 THEN 'rejected' ELSE 'published' END AS outcome,
   CASE WHEN n = 0 OR bad > n * 0.2 THEN 0 ELSE n - bad END AS n FROM d
 """)
 def grd_02_guarded(spark, sf):
     # Guards count while the version is written: an empty language and one with too many rejected rows stay unpublished.
-    docs, parts = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").contains("ei").alias("bad")), []
+    docs, parts = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").contains("qu").alias("bad")), []
     for lang in ("en", "fr", "de", "xx"):
         root = _out_dir(spark, f"lang-{lang}")
         n, bad = F.count("*"), F.count_if("bad")
