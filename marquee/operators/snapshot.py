@@ -21,6 +21,15 @@ def merge_listings(previous: DataFrame, incoming: DataFrame, now: str, tracked:
     a tracked column changed; flags rows that the batch no longer has. ``previous`` carries
     firstSeen, lastSeen, missingFromSource and revisions.
     """
+    merged = matched_rows(previous, incoming, now, tracked, fallback)
+    seen = merged.select("id").union(merged.where("_matched IS NOT NULL").select(F.col("_matched").alias("id")))
+    gone = previous.join(seen, "id", "left_anti").withColumn("missingFromSource", F.lit(True))
+    return merged.drop("_matched").unionByName(gone, allowMissingColumns=True)
+
+
+def matched_rows(previous: DataFrame, incoming: DataFrame, now: str, tracked: list[str] | None = None,
+                 fallback: tuple[str, ...] = ("sourceUid", "venue", "address")) -> DataFrame:
+    """The batch's rows with their history, and ``_matched``: the id of the retained row of each."""
     tracked = tracked or TRACKED
     spark_cols = incoming.columns
     before_cols = ["id", "firstSeen", "lastSeen", "revisions", *tracked]
@@ -47,7 +56,7 @@ def merge_listings(previous: DataFrame, incoming: DataFrame, now: str, tracked:
     history = F.when(b.isNull(), F.slice(F.array(revision), 1, 0)).otherwise(
         F.when(differs, F.concat(b["revisions"], F.array(revision))).otherwise(b["revisions"])
     )
-    merged = step2.select(
+    return step2.select(
         *spark_cols,
         F.coalesce(b["firstSeen"], F.lit(now)).alias("firstSeen"),
         F.lit(now).alias("lastSeen"),
@@ -55,9 +64,6 @@ def merge_listings(previous: DataFrame, incoming: DataFrame, now: str, tracked:
         history.alias("revisions"),
         b["id"].alias("_matched"),
     )
-    seen = merged.select("id").union(merged.where("_matched IS NOT NULL").select(F.col("_matched").alias("id")))
-    gone = previous.join(seen, "id", "left_anti").withColumn("missingFromSource", F.lit(True))
-    return merged.drop("_matched").unionByName(gone, allowMissingColumns=True)
 
 
 def retain_missing(previous: DataFrame, incoming: DataFrame, key: list[str], flag: str = "missing") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from marquee.operators import frontier as FR, overlay as O, search as S, snapshot as P, status as ST
+import datetime
+
+from marquee.operators import frontier as FR, overlay as O, ownership as OW, search as S, snapshot as P, status as ST
 from marquee.plans.queries.common import *  # noqa: F403
 from marquee.plans.queries.joins import CURR, DAY1, DAY2, PREV, _day
 from marquee.plans.queries.quality import VERDICT, _verdicts
+from marquee.plans.queries.sources import _out_dir
+from marquee.sources.retained import Retained
 
 
 @query("inc_01_daily_merge", SNAP + """
@@ -28,6 +32,47 @@ def inc_01(spark, sf):
     )
 
 
+RETAINED = ("id string, sourceUid string, title string, price double, firstSeen string, lastSeen string, missingFromSource boolean,"
+            " revisions array<struct<title: string, price: double, lastSeen: string>>")
+
+
+@query("inc_01_retained_state", SNAP + """
+, l AS (SELECT *, lag(title) OVER w AS pt, lag(price) OVER w AS pp, lag(day) OVER w AS pd FROM snap WINDOW w AS (PARTITION BY id ORDER BY day)),
+c AS (SELECT *, pd IS NOT NULL AND (pt IS DISTINCT FROM title OR pp IS DISTINCT FROM price) AS changed FROM l)
+SELECT CASE WHEN id % 10 = 0 AND max(day) > (SELECT max(day) - 4 FROM snap) THEN id || '-late' ELSE CAST(id AS VARCHAR) END AS id,
+  CAST(min(day) AS VARCHAR) AS first_seen, CAST(max(day) AS VARCHAR) AS last_seen, count(*) FILTER (changed) AS revisions,
+  max_by(title, day) AS title, max_by(price, day) AS price, max(day) < (SELECT max(day) FROM snap) AS missing FROM c GROUP BY c.id
+""")
+def inc_01_retained(spark, sf):
+    # The last four days arrive one by one; all days before them are the first base. Ids that end in 0 are
+    # renamed on these days, so their rows are found by the provider's own id and replaced.
+    daily = B.snap(spark, sf)
+    top = daily.agg(F.max("day")).first()[0]
+    since = F.date_add(F.lit(top), -3)
+    early = daily.where(F.col("day") < since)
+    rev = P.revisions(early, "id", "day", ["title", "price"]).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("day", "prior_title", "prior_price", "prior_day"))).alias("r")
+    )
+    last = early.groupBy("id").agg(F.min("day").alias("a"), F.max("day").alias("z"), F.max_by(F.struct("title", "price"), "day").alias("v"))
+    history = F.transform("r", lambda x: F.struct(x["prior_title"].alias("title"), x["prior_price"].alias("price"), x["prior_day"].cast("string").alias("lastSeen")))
+    state = Retained(spark, _out_dir(spark, "retained"), RETAINED)
+    name = F.col("id").cast("string")
+    state.start(last.join(rev, "id", "left").select(
+        name.alias("id"), name.alias("sourceUid"), "v.title", "v.price", F.col("a").cast("string").alias("firstSeen"), F.col("z").cast("string").alias("lastSeen"),
+        (F.col("z") < F.date_add(since, -1)).alias("missingFromSource"), F.coalesce(history, F.array()).alias("revisions"),
+    ), 0)
+    late = F.when(F.col("id") % 10 == 0, F.concat(name, F.lit("-late"))).otherwise(name)
+    for n in range(1, 5):
+        day = F.date_add(since, n - 1)
+        batch = daily.where(F.col("day") == day).select(late.alias("id"), name.alias("sourceUid"), "title", "price")
+        state.apply(n, batch, str(top - datetime.timedelta(days=4 - n)), tracked=["title", "price"], fallback=("sourceUid",))
+        state.compact()
+    return state.current().select(
+        "id", F.col("firstSeen").alias("first_seen"), F.col("lastSeen").alias("last_seen"), F.size("revisions").cast("bigint").alias("revisions"),
+        "title", "price", F.col("missingFromSource").alias("missing"),
+    )
+
+
 STATUS_SQL = SNAP + """
 , d AS (SELECT id, day, title, day + CAST(floor(price / 10) AS INTEGER) AS open_until FROM snap),
 l AS (SELECT *, lag(day) OVER w AS pd, lag(title) OVER w AS pt, lag(open_until) OVER w AS po, lead(day) OVER w AS nd FROM d WINDOW w AS (PARTITION BY id ORDER BY day)),
@@ -111,6 +156,60 @@ def inc_03(spark, sf):
     return O.reviewed_overlay(reviewed, crawled, "id", ["title"], ["price", "saleAt"])
 
 
+OWNERS = [(s, f, o) for s, title in (("1-URGENT", "crawl"), ("2-HIGH", "review"), ("3-MEDIUM", "shared"), ("4-NOT SPECIFIED", "shared"))
+          for f, o in (("title", title), ("price", "review"), ("saleAt", "review"), ("saleNote", "follows:saleAt"), ("sessions", "crawl"))]
+
+
+@query("inc_03_owned_overlay", SESSION + """
+, o AS (SELECT o_orderkey AS id, o_orderpriority AS source, o_orderstatus AS st, o_orderkey % 5 <> 0 AS k, o_orderkey % 7 <> 0 AS c FROM orders WHERE o_orderkey % 35 <> 0),
+f AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'edited' ELSE 'T1' END AS kt, CASE WHEN id % 6 = 0 THEN 'T2' ELSE 'T1' END AS ct,
+    CASE WHEN id % 3 <> 0 THEN 'p' END AS kp, CASE WHEN id % 2 = 0 THEN 'q' END AS cp, CASE WHEN id % 3 = 1 THEN '' ELSE 't' END AS ks, CASE WHEN id % 2 = 1 THEN 'c' END AS cs,
+    CASE st WHEN 'F' THEN 'cancelled' WHEN 'P' THEN 'unconfirmed' ELSE 'scheduled' END AS kst, CASE WHEN st = 'F' THEN CASE WHEN id % 2 = 0 THEN 'by crawl' ELSE 'by hand' END END AS kn,
+    CASE WHEN id % 11 = 0 THEN 'cancelled' ELSE 'scheduled' END AS cst, k AND c AND source <> '5-LOW' AS owned FROM o),
+g AS (SELECT *, owned AND ((source = '1-URGENT') OR (source IN ('3-MEDIUM', '4-NOT SPECIFIED') AND kt = 'T1')) AS tt, owned AND coalesce(kp, '') = '' AND cp IS NOT NULL AS tp,
+    owned AND ks = '' AND cs IS NOT NULL AS ts, NOT k OR owned AS cses FROM f),
+kt AS (SELECT DISTINCT g.id, platform AS url, day, clock FROM g JOIN session ON event = g.id WHERE k AND ord < 6),
+ct AS (SELECT DISTINCT g.id, platform AS url, day, clock FROM g JOIN session ON event = g.id WHERE c AND ord > 1),
+s AS (SELECT DISTINCT g.id, day, clock FROM g JOIN session ON event = g.id WHERE CASE WHEN cses THEN ord > 1 ELSE ord < 6 END),
+kv AS (SELECT kt.* FROM kt JOIN s ON s.id = kt.id AND s.day = kt.day AND s.clock IS NOT DISTINCT FROM kt.clock),
+cv AS (SELECT ct.* FROM ct JOIN s ON s.id = ct.id AND s.day = ct.day AND s.clock IS NOT DISTINCT FROM ct.clock WHERE (ct.id, ct.url) NOT IN (SELECT id, url FROM kv)),
+t AS (SELECT id, count(DISTINCT url) AS tickets, count(*) AS slots FROM (SELECT * FROM kv UNION ALL SELECT * FROM cv) GROUP BY 1)
+SELECT g.id, CASE WHEN NOT k OR tt THEN ct ELSE kt END AS title, CASE WHEN NOT k OR tp THEN cp ELSE kp END AS price, CASE WHEN NOT k OR ts THEN cs ELSE ks END AS "saleAt",
+  CASE WHEN NOT k OR ts THEN 'crawl-note' ELSE 'kept-note' END AS "saleNote",
+  CASE WHEN NOT k THEN cst WHEN NOT c THEN kst WHEN cst = 'cancelled' THEN cst WHEN kst = 'unconfirmed' OR kn = 'by crawl' THEN 'scheduled' ELSE kst END AS status,
+  CASE WHEN k AND NOT c THEN kn WHEN cst = 'cancelled' THEN 'by crawl' WHEN k AND kst <> 'unconfirmed' AND kn = 'by hand' THEN kn END AS "statusNote",
+  coalesce(tickets, 0) AS tickets, coalesce(slots, 0) AS slots, k AND c AND source IN ('3-MEDIUM', '4-NOT SPECIFIED') AND kt = 'edited' AND ct = 'T2' AS conflict
+FROM g LEFT JOIN t USING (id)
+""")
+def inc_03_owned(spark, sf):
+    # Orders as records, priorities as sources with rules of their own (none for 5-LOW), lines as sessions. The
+    # kept side lacks every fifth order, the crawl every seventh; the kept lines are the first five, the crawl's all but the first.
+    i = F.col("id")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("st"))
+
+    def facts(rows):
+        slot = F.struct(F.col("day").alias("date"), F.col("clock").alias("time"))
+        url = rows.groupBy(F.col("event").alias("id"), F.col("platform").alias("url")).agg(F.collect_set(slot).alias("s"))
+        return url.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("sessions"), F.collect_list(F.struct("url", F.col("s").alias("sessions"))).alias("tickets"))
+
+    s = B.session(spark, sf)
+    crawl_note = F.when(i % 11 == 0, "by crawl")
+    kept = o.where(i % 5 != 0).join(facts(s.where("ord < 6")), "id", "left").select(
+        "id", "source", F.when(i % 4 == 0, "edited").otherwise(F.lit("T1")).alias("title"), F.when(i % 3 != 0, "p").alias("price"), F.when(i % 3 == 1, "").otherwise(F.lit("t")).alias("saleAt"),
+        F.lit("kept-note").alias("saleNote"), F.when(F.col("st") == "F", "cancelled").when(F.col("st") == "P", "unconfirmed").otherwise(F.lit("scheduled")).alias("status"),
+        F.when(F.col("st") == "F", F.when(i % 2 == 0, "by crawl").otherwise(F.lit("by hand"))).alias("statusNote"), "sessions", "tickets",
+    )
+    crawled = o.where(i % 7 != 0).join(facts(s.where("ord > 1")), "id", "left").select(
+        "id", "source", F.when(i % 6 == 0, "T2").otherwise(F.lit("T1")).alias("title"), F.when(i % 2 == 0, "q").alias("price"), F.when(i % 2 == 1, "c").alias("saleAt"),
+        F.lit("crawl-note").alias("saleNote"), F.when(i % 11 == 0, "cancelled").otherwise(F.lit("scheduled")).alias("status"), crawl_note.alias("statusNote"), "sessions", "tickets",
+    )
+    base = o.select("id", F.lit("T1").alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("price", "saleAt", "saleNote")])
+    out = OW.merge_reviewed(kept, base, crawled, spark.createDataFrame(OWNERS, "source string, field string, owner string"), ["title", "price", "saleAt", "saleNote"], ["by crawl"])
+    slots = F.aggregate("tickets", F.lit(0), lambda n, t: n + F.size(t["sessions"]))
+    return out.select("id", "title", "price", "saleAt", "saleNote", "status", "statusNote", F.coalesce(F.size("tickets"), F.lit(0)).cast("bigint").alias("tickets"), F.coalesce(slots, F.lit(0)).cast("bigint").alias("slots"),
+                      (F.size("conflicts") > 0).alias("conflict"))
+
+
 @query("inc_04_frontier_day", f"""
 WITH q AS (SELECT {host_sql('url')} AS source, url, l.quality FROM pages LEFT JOIN labels l ON l.doc_id = page_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, quality IS NOT NULL ORDER BY url) * 2 - CASE WHEN quality IS NOT NULL THEN 0 ELSE 1 END AS turn FROM q WHERE quality IS DISTINCT FROM 1),

@@ -1,8 +1,8 @@
 """Daily merge as a stream of snapshot files (inc_01, inc_05, inc_06, snk_04).
 
-Each micro-batch merges its listings into the retained state with the same function as the batch
-build. The state of a batch is a directory named after the batch id, so a batch that is replayed
-after a failure rewrites its own directory and starts again from the one before it.
+Each micro-batch is merged into the retained state by the batch build's own rules and writes only what
+it touches (``sources.retained``). A batch that is replayed after a failure finds itself committed, or
+writes its own folders anew.
 """
 
 from __future__ import annotations
@@ -12,45 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from marquee.operators.snapshot import merge_listings
+from marquee.sources.retained import Retained
 
 
-def _steps(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    done = []
-    for s in fs.listStatus(p):
-        name = s.getPath().getName()
-        # A directory counts only when its write was committed.
-        if name.startswith("step=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            done.append(int(name[5:]))
-    return sorted(done)
-
-
-def read_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """Newest committed state, or the newest one before a batch."""
-    steps = [s for s in _steps(spark, root) if before is None or s < before]
-    return spark.read.parquet(f"{root}/step={steps[-1]}") if steps else None
-
-
-def merge_into(root: str, empty_state: Callable[[SparkSession], DataFrame], stamp: Callable[[DataFrame], str], **merge_args):
+def merge_into(root: str, schema: str, stamp: Callable[[DataFrame], str], share: float = 0.5, **merge_args):
     """``foreachBatch`` function: merge one batch of listings into the state under ``root``.
 
-    ``stamp`` gives the batch's time from its rows, so a replay uses the same one.
+    ``schema``: columns of the state. ``stamp`` gives the batch's time from its rows, so a replay uses
+    the same one. ``share``: see ``Retained.compact``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark: SparkSession = batch.sparkSession
         if batch.isEmpty():
             return
-        previous = read_state(spark, root, before=batch_id)
-        previous = empty_state(spark) if previous is None else previous
-        now = stamp(batch)
+        state = Retained(spark, root, schema)
         listings = batch.select(*[c for c in batch.columns if c != "snapshot_at"])
-        merge_listings(previous, listings, now, **merge_args).write.mode("overwrite").parquet(f"{root}/step={batch_id}")
+        state.apply(batch_id, listings, stamp(batch), **merge_args)
+        state.compact(share)
 
     return run
 

@@ -5,32 +5,33 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marquee.sources import sinks
+from marquee.sources.retained import Retained
 from marquee.streaming import daily_merge as DM, status as ST
 
 LISTING = "id string, sourceUid string, venue string, address string, title string, price double, snapshot_at string"
 
 
-def empty_state(spark):
-    return spark.createDataFrame([], "id string, sourceUid string, venue string, address string, title string, price double, firstSeen string, lastSeen string,"
-                                     " missingFromSource boolean, revisions array<struct<title:string,price:double,lastSeen:string>>")
+STATE = ("id string, sourceUid string, venue string, address string, title string, price double, firstSeen string, lastSeen string,"
+         " missingFromSource boolean, revisions array<struct<title:string,price:double,lastSeen:string>>")
 
 
 def test_daily_merge(spark, tmp_path):
-    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    src, root = str(tmp_path / "in"), str(tmp_path / "state")
     days = [("2026-10-01", [("a", 1.0), ("b", 1.0)]), ("2026-10-02", [("a", 2.0)])]
-    run = DM.merge_into(state, empty_state, lambda b: b.agg(F.max("snapshot_at")).first()[0], tracked=["title", "price"])
+    run = DM.merge_into(root, STATE, lambda b: b.agg(F.max("snapshot_at")).first()[0], tracked=["title", "price"])
     for day, rows in days:
         spark.createDataFrame([(i, i, "v", "x", "t", p, day) for i, p in rows], LISTING).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(LISTING).parquet(src)
         DM.start(stream, str(tmp_path / "cp"), run).trigger(availableNow=True).start().awaitTermination(120)
-    got = {r["id"]: r for r in DM.read_state(spark, state).collect()}
+    state = Retained(spark, root, STATE)
+    got = {r["id"]: r for r in state.current().collect()}
     assert got["a"]["price"] == 2.0 and got["a"]["firstSeen"] == "2026-10-01" and got["a"]["revisions"][0]["price"] == 1.0
     assert got["b"]["missingFromSource"] is True
-    # A replayed batch rewrites its own step and gives the same state.
+    # A replayed batch gives the same state.
     again = spark.createDataFrame([("a", "a", "v", "x", "t", 2.0, "2026-10-02")], LISTING)
-    before = sorted(map(str, DM.read_state(spark, state).collect()))
-    run(again, max(DM._steps(spark, state)))
-    assert sorted(map(str, DM.read_state(spark, state).collect())) == before
+    before = sorted(map(str, state.current().collect()))
+    run(again, max(state.batches()))
+    assert sorted(map(str, state.current().collect())) == before
 
 
 def test_status_rule():
