@@ -1,9 +1,10 @@
 """Token-id files compressed by Re-Pair grammars.
 
 A shard holds the ids of consecutive documents as one sequence. Frequent pairs of neighbouring
-symbols are repeatedly replaced by nonterminals; the rules, the length every symbol expands to and
-the reduced sequence are stored. Running sums of the lengths give the place of any document, so it is
-decoded alone. Files are Parquet rows of shards in a folder that all executors share.
+symbols are repeatedly replaced by nonterminals until no pair is frequent; the rules, the length every
+symbol expands to and the reduced sequence are stored. Running sums of the lengths give the place of
+any document, so it is decoded alone. Files are Parquet rows of shards in a folder that all executors
+share; file names, shards in a file and documents in a shard all ascend by doc_id.
 """
 
 from __future__ import annotations
@@ -14,64 +15,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marquee.llm.common import partitions, release
 from marquee.llm.tokens import default_tokenizer, encoder
 from marquee.operators.ranking import ensure_checkpoint_dir
 
 SHARD_IDS = 250_000
-ROUNDS = 5
-LEAST = 12
-TABLE_BITS = 19
+#: Occurrences that pay for a rule, which costs two symbols and a length.
+LEAST = 5
 BATCH = 256
 
 
-def _picked(match: np.ndarray) -> np.ndarray:
-    """Every other position of each run of matches, so that no two chosen pairs overlap."""
-    at = np.flatnonzero(match)
-    if not len(at):
-        return at
-    start = np.concatenate([[True], np.diff(at) > 1])
-    first = at[start][np.cumsum(start) - 1]
-    return at[(at - first) % 2 == 0]
+def _chosen(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of pairs to replace, none overlapping the next: the heavier pair first, then the earlier one.
 
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    A stretch of equal weights that no heavier neighbour touches gives every other place from its start on;
+    what they overlap goes, and the rest is looked at again.
+    """
+    out = []
+    while len(at):
+        near = np.diff(at) == 1
+        edge = np.concatenate([[True], ~near | (weight[1:] != weight[:-1])])
+        first = np.flatnonzero(edge)
+        last = np.append(first[1:], len(at)) - 1
+        below_left = (first == 0) | ~np.concatenate([[False], near])[first] | (weight[first - 1] < weight[first])
+        after = np.minimum(last + 1, len(at) - 1)
+        below_right = (last == len(at) - 1) | ~np.append(near, False)[last] | (weight[after] < weight[last])
+        stretch = np.cumsum(edge) - 1
+        own = (below_left & below_right)[stretch] & ((at - at[first][stretch]) % 2 == 0)
+        taken = at[own]
+        out.append(taken)
+        gone = own.copy()
+        gone[1:] |= own[:-1] & near
+        gone[:-1] |= own[1:] & near
+        at, weight = at[~gone], weight[~gone]
+    return np.sort(np.concatenate(out)) if out else at
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(reduced sequence, rules as rows of two symbols, expansion length of every rule, first nonterminal).
 
-    A round counts all neighbouring pairs, gives a nonterminal to each one seen ``least`` times and
-    replaces its occurrences; it ends early when no pair is frequent.
+    A round counts neighbouring pairs and gives each one that is seen ``least`` times a nonterminal, the
+    most frequent first, also where occurrences overlap. Every frequent pair's places are then replaced or
+    overlapped by a replaced one, so later rounds count only pairs with a nonterminal of the round before;
+    the rounds end when none of them is frequent.
     """
     seq = ids.astype(np.int64)
     base = top = int(seq.max()) + 1 if len(seq) else 1
-    rules, lengths = [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pair = seq[:-1] * top + seq[1:]
-        # A hashed table of bounded size; each slot stands for one of its pairs, the rest wait for a later round.
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-        held = np.full(1 << TABLE_BITS, -1, np.int64)
-        held[slot] = pair
-        own = held[slot] == pair
-        often = np.bincount(slot[own], minlength=1 << TABLE_BITS) >= least
-        if not often.any():
+    size = np.ones(base, np.int64)
+    rules, fresh = [], 0
+    while len(seq) > 1:
+        new = seq >= fresh
+        at = np.flatnonzero(new[:-1] | new[1:])
+        pairs, which, count = np.unique(seq[at] * top + seq[at + 1], return_inverse=True, return_counts=True)
+        often = np.flatnonzero(count >= least)
+        if not len(often):
             break
-        name = np.where(often, top + np.cumsum(often) - 1, -1)
-        symbol = np.where(own, name[slot], -1)
-        pairs = held[often]
-        at = _picked(symbol >= 0)
-        rule = np.stack([pairs // top, pairs % top], axis=1)
-        known = np.concatenate([np.ones(base, np.int64), *lengths])
+        often = often[np.argsort(-count[often], kind="stable")]
+        # A pair's weight tells it from all others, so a stretch of one weight is a stretch of one pair.
+        weight = np.zeros(len(pairs), np.int64)
+        weight[often] = np.arange(len(often), 0, -1)
+        own = weight[which]
+        keep = own > 0
+        picked = _chosen(at[keep], own[keep])
+        symbol = np.zeros(len(seq), np.int64)
+        symbol[at[keep]] = top + len(often) - own[keep]
+        # Names only for pairs that are left with a place of their own.
+        used, named = np.unique(symbol[picked], return_inverse=True)
+        rule = np.stack([pairs[often[used - top]] // top, pairs[often[used - top]] % top], axis=1)
         rules.append(rule)
-        lengths.append(known[rule].sum(axis=1))
-        seq[at] = symbol[at]
-        seq = np.delete(seq, at + 1)
-        top += len(rule)
-    if not rules:
-        return seq.astype(np.uint32), np.empty((0, 2), np.uint32), np.empty(0, np.uint32), base
-    return seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32), np.concatenate(lengths).astype(np.uint32), base
+        size = np.concatenate([size, size[rule].sum(axis=1)])
+        seq[picked] = top + named
+        stays = np.ones(len(seq), bool)
+        stays[picked + 1] = False
+        seq = seq[stays]
+        fresh, top = top, top + len(rule)
+    flat = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+    return seq.astype(np.uint32), flat.astype(np.uint32), size[base:].astype(np.uint32), base
 
 
 class Shard:
@@ -102,27 +123,31 @@ class Shard:
         return self._expand(self.seq[a : b + 1])[skip : skip + n].astype("<u4")
 
 
-SHARDS = "pid int, shard int, first long, doc_ids binary, counts binary, base int, seq binary, rules binary, lengths binary"
+SHARDS = "pid int, shard int, first long, named int, doc_ids binary, counts binary, base int, seq binary, rules binary, lengths binary"
+
+
+def _range(cuts: list[int], low: int) -> Column:
+    """Number of the range, from ``low`` on, that a doc_id lies in: a binary search over the cuts."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(F.col("doc_id") <= cuts[mid], _range(cuts[:mid], low)).otherwise(_range(cuts[mid + 1 :], low + mid + 1))
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) in ascending doc_id order over partitions; bounds come from doc_id alone."""
+    """Rows of (doc_id, text) in ascending doc_id order over partitions, null last; bounds come from doc_id alone."""
     n = partitions(docs.sparkSession)
     cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    pid = F.lit(0)
-    if cuts:
-        pid = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id")))
-    # Partition ids of repartition() are hashes; the range number travels with the rows.
-    return docs.withColumn("pid", pid.cast("int")).repartition(n, "pid").sortWithinPartitions("pid", "doc_id")
+    ranges = docs.withColumn("pid", _range(sorted(set(cuts or [])), 0).cast("int"))
+    return ranges.repartitionById(n, "pid").sortWithinPartitions(F.col("doc_id").asc_nulls_last())
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of all documents in ascending ``doc_id`` order to shard files at ``path``.
 
     Null and empty texts give the end id alone. Repeated doc_ids stay as rows of their own, in any
-    order among themselves; rows without doc_id are dropped, having no place in the order. A document
-    longer than a shard gets one of its own.
+    order among themselves; rows without doc_id come after all others, in any order. A document longer
+    than a shard gets one of its own.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -133,14 +158,15 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1
         def flush() -> pd.DataFrame:
             seq, rules, lengths, base = compress(np.concatenate(held))
             counts = np.fromiter(map(len, held), "<u4", len(held))
-            row = (pid, shard, first, np.array(names, "<i8").tobytes(), counts.tobytes(), base, seq.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes())
-            return pd.DataFrame([row], columns=["pid", "shard", "first", "doc_ids", "counts", "base", "seq", "rules", "lengths"])
+            own = np.array([int(x) for x in names if x is not None], "<i8")
+            row = (pid, shard, first, len(own), own.tobytes(), counts.tobytes(), base, seq.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes())
+            return pd.DataFrame([row], columns=[c.split()[0] for c in SHARDS.split(", ")])
 
         for frame in frames:
             for p, doc_id, ids in zip(frame["pid"], frame["doc_id"], encode.batch(frame["text"])):
-                if held and (p != pid or size + len(ids) + 1 > shard_ids):
+                if held and size + len(ids) + 1 > shard_ids:
                     yield flush()
-                    shard, first = (shard + 1, first + size) if p == pid else (0, 0)
+                    shard, first = shard + 1, first + size
                     held, names, size = [], [], 0
                 pid = p
                 held.append(np.append(ids, np.uint32(end)))
@@ -150,19 +176,19 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1
             yield flush()
         release()
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    _ordered(rows).mapInPandas(run, SHARDS).write.mode("overwrite").parquet(path)
+    rows = _ordered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    # As a string, as a column of whole numbers and nulls would pass through pandas as inexact floats.
+    rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, SHARDS).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids binary) of every document, decoded from the files."""
-
-    return _decoded(spark, path, "doc_id long, start long, ids binary", lambda d, s, x: (d, s, x.tobytes()))
+    return _decoded(spark, path, "doc_id string, start long, ids binary", lambda d, s, x: (d, s, x.tobytes()))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda d, s, x: (d, s, len(x), zlib.crc32(x.tobytes())))
+    return _decoded(spark, path, "doc_id string, start long, n_tokens long, ids_crc32 long", lambda d, s, x: (d, s, len(x), zlib.crc32(x.tobytes())))
 
 
 def _decoded(spark: SparkSession, path: str, schema: str, make) -> DataFrame:
@@ -180,18 +206,19 @@ def _decoded(spark: SparkSession, path: str, schema: str, make) -> DataFrame:
             for row in frame.itertuples(index=False):
                 stored = Shard(row.seq, row.rules, row.lengths, row.base)
                 counts = np.frombuffer(row.counts, "<u4").astype(np.int64)
+                names = [*map(str, np.frombuffer(row.doc_ids, "<i8").tolist()), *[None] * (len(counts) - row.named)]
                 starts = np.cumsum(counts) - counts
                 out = []
                 # Documents are decoded by random access, a few at a time.
                 for at in range(0, len(counts), BATCH):
                     ids = stored.read(int(starts[at]), int(counts[at : at + BATCH].sum()))
-                    for doc_id, start, n in zip(np.frombuffer(row.doc_ids, "<i8")[at : at + BATCH].tolist(), starts[at : at + BATCH].tolist(), counts[at : at + BATCH].tolist()):
+                    for doc_id, start, n in zip(names[at : at + BATCH], starts[at : at + BATCH].tolist(), counts[at : at + BATCH].tolist()):
                         own = ids[start - starts[at] : start - starts[at] + n]
                         out.append(make(doc_id, before[row.pid] + row.first + start, own))
                 yield pd.DataFrame(out, columns=columns)
         release()
 
-    return shards.mapInPandas(run, schema)
+    return shards.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def folder(spark: SparkSession, name: str) -> str:
