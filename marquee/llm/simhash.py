@@ -94,14 +94,14 @@ def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
 
     A null or wordless text has fingerprint zero and links like any other. Copies share a
     fingerprint and count as one node, so a group of any size costs one row. Rows with a repeated
-    ``doc_id`` keep a row each; a row without ``doc_id`` is dropped, as it has nothing to be named by.
-    Other columns are ignored; an empty table gives no rows.
+    ``doc_id`` keep a row each; rows without ``doc_id`` link like any other and name a component, by null,
+    only where it has no doc_id at all. Other columns are ignored; an empty table gives no rows.
     """
     n = partitions(docs.sparkSession)
-    whole = docs.where("doc_id is not null").select("doc_id", "text")
+    whole = docs.select("doc_id", "text")
     prints = checkpointed(whole.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints("text").alias("fp")))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = checkpointed(nodes.repartition(n, "id"))
+    nodes = checkpointed(nodes.repartition(n, "fp"))
     # Two fingerprints may have the same smallest doc_id only if doc_ids repeat; the fingerprint is the node.
     parts = components(links(nodes.select(F.col("fp").alias("id"), "fp"), limit))
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("part", "fp").alias("part"))
