@@ -17,7 +17,7 @@ def unpivot_sessions(fields: list[tuple[Column, str]]) -> Column:
     )
 
 
-def races(raw: DataFrame, season: str) -> DataFrame:
+def races(raw: DataFrame, season: str | Column) -> DataFrame:
     """Calendar rows with sorted UTC sessions, missing-time labels, weekend bounds and validity."""
     fields = [(F.col(f), label) for f, label in V.CALENDAR_FIELDS]
     fields.append((F.struct("date", "time"), "Race"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from marquee.functions import values as V
-from marquee.operators import classify as C, normalize as N, overlay as O, quality as Q, reconcile as R, snapshot as P, tickets as K, venues as VN
+from marquee.operators import calendar as CAL, classify as C, normalize as N, overlay as O, quality as Q, reconcile as R, snapshot as P, tickets as K, venues as VN
 
 
 @dataclass
@@ -138,3 +138,29 @@ def import_reviewed(items: DataFrame, kind: str, previous: DataFrame) -> tuple[D
     d = items.withColumn("d", C.demote_unreviewed(decided, F.col("officialFactsReviewed")))
     ledger = d.select("sourceUid", "page_id", F.col("d.decision").alias("decision"), F.col("d.reason").alias("reason"))
     return ledger, Q.decision_counts(ledger)
+
+
+def calendar_seasons(raw: DataFrame, declared: DataFrame, previous: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Calendars of any number of seasons: each one is replaced as a whole, or stays as it was.
+
+    ``raw``: calendar rows with ``tableSeason``, the season they were asked for. ``declared``: season and the
+    ``total`` its response states. ``previous``: season, id, name, status, lastSuccess of all seasons. Returns
+    the rows of all seasons and one verdict for each declared season: ok, reason. Races that an accepted
+    season no longer lists stay, unconfirmed. A season of any size is counted by its ids first.
+    """
+    rows = CAL.races(raw, F.col("tableSeason")).withColumn("season", F.col("tableSeason"))
+    ids = rows.groupBy("season", "id").agg(F.count("*").alias("n"), F.bool_and("valid").alias("valid"))
+    seen = ids.groupBy("season").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.bool_and("valid").alias("valid"))
+    held = previous.groupBy("season").agg(F.count("*").alias("held"))
+    n = F.coalesce("rows", F.lit(0))
+    reason = (
+        F.when(~n.eqNullSafe(F.col("total")), "INCOMPLETE_CALENDAR").when(~F.col("valid"), "INVALID_RACE")
+        .when(F.col("most") > 1, "DUPLICATE_RACE").when(Q.calendar_guard(F.coalesce("held", F.lit(0)), n), "DIMINISHED_CALENDAR")
+    )
+    verdicts = declared.join(seen, "season", "left").join(held, "season", "left").select("season", reason.isNull().alias("ok"), reason.alias("reason"))
+    fresh = rows.withColumns({"name": F.col("raceName"), "status": F.lit("ok"), "lastSuccess": F.lit(now)})
+    accepted = fresh.join(verdicts.where("ok").select("season"), "season", "left_semi").drop("tableSeason", "valid")
+    # Of an accepted season, what it no longer lists; of any other season, everything.
+    left = previous.join(accepted.select("season", "id"), ["season", "id"], "left_anti").join(verdicts.select("season", "ok"), "season", "left")
+    kept = left.withColumn("status", F.when(F.coalesce("ok", F.lit(False)), F.lit("unconfirmed")).otherwise(F.col("status"))).drop("ok")
+    return accepted.unionByName(kept, allowMissingColumns=True), verdicts

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from marquee.functions import dates as D, text as T, urls as U, values as V
 from marquee.operators import adapters as A, calendar as CAL, extract as X, reconcile as RC
+from marquee.plans import builds as BU
 from marquee.plans.queries.common import *  # noqa: F403
 from marquee.plans.queries.quality import H1_SQL, H_ALL, MAIN_SQL, TITLE_SQL
 
@@ -217,6 +218,36 @@ def ext_12_races(spark, sf):
     return out.select("race", "id", "valid", F.size("sessions").cast("bigint").alias("sessions"), F.array_join("missingTimes", ",").alias("missing"), F.col("weekendStart").alias("weekend_start"))
 
 
+@query("ext_12_calendar_seasons", """
+WITH o AS (SELECT *, o_custkey % 12 AS s, CAST(o_orderkey AS VARCHAR) AS k FROM orders),
+raw AS (SELECT s, CASE WHEN s % 4 = 2 THEN CAST(o_orderkey - o_orderkey % 2 AS VARCHAR) ELSE k END AS id, 'Race ' || k AS name, s = 4 AND o_orderkey % 50 = 0 AS bad
+  FROM o WHERE o_orderkey % 10 <> 3 AND (s % 4 <> 3 OR o_orderkey % 10 < 5)),
+ids AS (SELECT s, id, count(*) AS n, bool_or(bad) AS bad FROM raw GROUP BY 1, 2),
+seen AS (SELECT s, sum(n) AS n, max(n) AS most, bool_or(bad) AS bad FROM ids GROUP BY 1), held AS (SELECT s, count(*) AS held FROM o WHERE s <> 8 GROUP BY 1),
+v AS (SELECT s, CASE WHEN s % 4 = 1 THEN 'INCOMPLETE_CALENDAR' WHEN bad THEN 'INVALID_RACE' WHEN most > 1 THEN 'DUPLICATE_RACE' WHEN n < greatest(15, floor(coalesce(held, 0) * 0.8)) THEN 'DIMINISHED_CALENDAR' END AS reason
+  FROM seen LEFT JOIN held USING (s)),
+fresh AS (SELECT s, id, name FROM raw JOIN v USING (s) WHERE reason IS NULL)
+SELECT 's' || s AS season, id, name, 'ok' AS status, 'now' AS last_success, NULL AS reason FROM fresh
+UNION ALL SELECT 's' || s, k, 'old', CASE WHEN reason IS NULL THEN 'unconfirmed' ELSE 'ok' END, 'before', reason FROM o LEFT JOIN v USING (s) WHERE s <> 8 AND (s, k) NOT IN (SELECT s, id FROM fresh)
+""")
+def ext_12_seasons(spark, sf):
+    # Orders as races, customers dealt to twelve seasons: some state a wrong total, repeat an id, lost half
+    # of their races or hold an unreadable day; season 8 is new, and a tenth of all races is no longer listed.
+    key, n = F.col("o_orderkey").cast("string"), F.col("o_orderkey")
+    o = table(spark, sf, "orders").withColumn("s", F.col("o_custkey") % 12).withColumn("season", F.concat(F.lit("s"), F.col("s").cast("string")))
+    none = F.lit(None).cast("struct<date:string,time:string>")
+    raw = o.where((n % 10 != 3) & ((F.col("s") % 4 != 3) | (n % 10 < 5))).select(
+        "season", F.col("season").alias("tableSeason"), F.concat(F.lit("Race "), key).alias("raceName"),
+        F.struct(F.when(F.col("s") % 4 == 2, (n - n % 2).cast("string")).otherwise(key).alias("circuitId")).alias("Circuit"),
+        F.when((F.col("s") == 4) & (n % 50 == 0), "soon").otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("date"), F.lit("12:00:00Z").alias("time"),
+        *[none.alias(f) for f, _ in V.CALENDAR_FIELDS],
+    )
+    declared = raw.groupBy("season").agg(F.count("*").alias("total")).withColumn("total", F.when(F.expr("cast(substr(season, 2) as int) % 4 = 1"), F.col("total") + 1).otherwise(F.col("total")))
+    previous = o.where("s <> 8").select("season", key.alias("id"), F.lit("old").alias("name"), F.lit("ok").alias("status"), F.lit("before").alias("lastSuccess"))
+    out, verdicts = BU.calendar_seasons(raw, declared, previous, "now")
+    return out.join(verdicts, "season", "left").select("season", "id", "name", "status", F.col("lastSuccess").alias("last_success"), "reason")
+
+
 @query("joi_08_contained_titles", f"""
 WITH t AS (SELECT DISTINCT {host_sql('url')} AS host, {word_key_sql(clean_sql(TITLE_SQL))} AS k FROM pages),
 l AS (SELECT * FROM t WHERE length(k) >= 8)
