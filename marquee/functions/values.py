@@ -105,6 +105,7 @@ SALE_CONFLICT_TEXT = "開賣資料矛盾，待官方確認"
 SALE_CONFLICT_PATTERN = r"一般開賣[^。；]*(?:未公布|未提供)"
 NOTE_CHANGED = "來源場次日期或時間異動，請確認官方公告。"
 NOTE_STATUS_CHANGED = "來源日期／時間已變更，是否正式改期請確認官方公告。"
+NOTE_REVIEWED_CHANGED = "已核對來源場次異動。"
 NOTE_UNCONFIRMED = "來源本次未列出，保留原資料；不代表取消，請向官方確認。"
 NOTE_NOT_LISTED = "本次已核對範圍未列出；保留資料，不據此認定取消。"
 START_UNKNOWN = "開始日期待確認"

@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from marquee.functions import values as V
+from marquee.functions import urls as U, values as V
 from marquee.operators import calendar as CAL, classify as C, normalize as N, overlay as O, quality as Q, reconcile as R, snapshot as P, tickets as K, venues as VN
+from marquee.operators.ranking import first_per_key
 
 
 @dataclass
@@ -164,3 +165,57 @@ def calendar_seasons(raw: DataFrame, declared: DataFrame, previous: DataFrame, n
     left = previous.join(accepted.select("season", "id"), ["season", "id"], "left_anti").join(verdicts.select("season", "ok"), "season", "left")
     kept = left.withColumn("status", F.when(F.coalesce("ok", F.lit(False)), F.lit("unconfirmed")).otherwise(F.col("status"))).drop("ok")
     return accepted.unionByName(kept, allowMissingColumns=True), verdicts
+
+
+EVENT_KEY = ["sourceId", "kind", "id"]
+
+
+def envelope_verdicts(envelopes: DataFrame, registry: DataFrame, items: DataFrame, now: str) -> DataFrame:
+    """One row for each reviewed envelope: what it covers, its item totals, and why it is refused.
+
+    ``envelopes``: sourceId, kind, reviewedAt, traversal, pages (id, url). ``registry``: id, adapter, kinds.
+    ``items``: sourceId, kind, decision. An envelope proves its scope complete only if every expected page
+    was visited.
+    """
+    allowed = registry.where("adapter = 'reviewed-json'").select(F.col("id").alias("sourceId"), F.explode("kinds").alias("kind"), F.lit(True).alias("_known")).distinct()
+    totals = items.groupBy("sourceId", "kind").agg(F.count("*").alias("discovered"), *[F.count_if(F.col("decision") == d).alias(d) for d in ("included", "excluded", "pending", "failed")])
+    rows = envelopes.join(allowed, ["sourceId", "kind"], "left").join(totals, ["sourceId", "kind"], "left")
+    expected, visited = F.coalesce("traversal.expectedPageIds", F.array()), F.coalesce(F.transform("pages", lambda p: p["id"]), F.array())
+    unlike = lambda ids: F.size(F.array_distinct(ids)) < F.size(ids)
+    day = F.col("reviewedAt").try_cast("date")
+    found = F.coalesce("discovered", F.lit(0))
+    reason = (
+        F.when(F.col("_known").isNull(), "NOT_REGISTERED").when(day.isNull() | (day > F.lit(now[:10]).cast("date")), "REVIEW_DAY")
+        .when((F.size(expected) == 0) | unlike(expected), "EXPECTED_PAGES").when(unlike(visited) | (F.size(F.array_except(visited, expected)) > 0), "VISITED_PAGES")
+        .when(F.exists("pages", lambda p: ~U.is_safe(p["url"], ("https",))), "PAGE_URL").when(found == 0, "NO_ITEMS").when(F.col("failed") > 0, "INVALID_FACTS")
+    )
+    whole = reason.isNull() & F.coalesce("traversal.complete", F.lit(False)) & (F.size(F.array_except(expected, visited)) == 0)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("discovered", "included", "excluded", "pending", "failed")]
+    return rows.select(
+        "sourceId", "kind", reason.isNull().alias("ok"), reason.alias("reason"), whole.alias("coverageComplete"),
+        F.size(visited).alias("pagesVisited"), F.size(expected).alias("expectedPages"), *counts,
+    )
+
+
+def reviewed_snapshots(verdicts: DataFrame, events: DataFrame, previous: DataFrame, now: str) -> DataFrame:
+    """Events of all sources after their reviewed imports.
+
+    ``events``: included events of the envelopes and ``previous``: those held before; both have sourceId,
+    kind, id, sessions, status, statusNote and revisions. A refused envelope changes nothing. An unlisted
+    event is never dropped; it becomes unconfirmed only where the scope was read completely. Of an id that
+    an envelope repeats, the row with the greatest sessions counts.
+    """
+    ok = verdicts.where("ok").select("sourceId", "kind", "coverageComplete")
+    fresh = first_per_key(events.join(ok.drop("coverageComplete"), ["sourceId", "kind"], "left_semi"), EVENT_KEY, F.struct("sessions", "status"), last=True)
+    before = previous.select(*EVENT_KEY, F.struct("sessions", "revisions").alias("_b"))
+    b = F.col("_b")
+    moved = b.isNotNull() & ~b["sessions"].eqNullSafe(F.col("sessions"))
+    revision = F.array(F.struct(F.lit(now).alias("at"), F.lit(V.NOTE_REVIEWED_CHANGED).alias("note"), b["sessions"].alias("previousSessions")))
+    history = F.when(b.isNull(), F.col("revisions")).when(moved, F.concat(b["revisions"], revision)).otherwise(b["revisions"])
+    listed = fresh.join(before, EVENT_KEY, "left").withColumns(
+        {"status": F.when(moved & (F.col("status") == "scheduled"), "changed").otherwise(F.col("status")), "revisions": history}
+    ).drop("_b")
+    left = previous.join(fresh.select(*EVENT_KEY), EVENT_KEY, "left_anti").join(ok, ["sourceId", "kind"], "left")
+    lost = F.coalesce("coverageComplete", F.lit(False)) & (F.col("status") != "cancelled")
+    left = left.withColumns({"statusNote": F.when(lost, V.NOTE_NOT_LISTED).otherwise(F.col("statusNote")), "status": F.when(lost, "unconfirmed").otherwise(F.col("status"))})
+    return listed.unionByName(left.drop("coverageComplete"))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from marquee.functions import urls as U
 from marquee.operators import quality as Q
+from marquee.plans import builds as BU
 from marquee.plans.queries.common import *  # noqa: F403
 from marquee.sources import readers as R, sinks
 
@@ -148,6 +149,64 @@ def src_07(spark, sf):
     )
 
 
+IMPORTS_SQL = """
+WITH d AS (SELECT source, lang AS kind, doc_id, doc_id % 6 <> 1 AS listed, doc_id % 4 <> 0 AS held, CAST(replace(source, 'src', '') AS INTEGER) AS s,
+    CASE WHEN doc_id % 5 = 0 THEN 'excluded' WHEN doc_id % 7 = 0 THEN 'pending' WHEN lang = 'es' AND doc_id % 11 = 0 THEN 'failed' ELSE 'included' END AS decision FROM documents),
+t AS (SELECT source, kind, any_value(s) AS s, count(*) FILTER (listed) AS discovered, count(*) FILTER (listed AND decision = 'included') AS included,
+    count(*) FILTER (listed AND decision = 'failed') AS failed FROM d GROUP BY 1, 2),
+v AS (SELECT *, CASE WHEN s % 10 = 1 OR s % 10 = 9 AND kind = 'fr' THEN 'NOT_REGISTERED' WHEN s % 10 = 2 THEN 'REVIEW_DAY' WHEN s % 10 = 3 THEN 'EXPECTED_PAGES' WHEN s % 10 = 4 THEN 'VISITED_PAGES'
+    WHEN s % 10 = 5 THEN 'PAGE_URL' WHEN discovered = 0 THEN 'NO_ITEMS' WHEN failed > 0 THEN 'INVALID_FACTS' END AS reason FROM t),
+w AS (SELECT *, reason IS NULL AND s % 10 IN (0, 7, 9) AS whole FROM v)
+"""
+
+
+@query("src_07_reviewed_envelopes", IMPORTS_SQL + """
+SELECT source AS source_id, kind, reason IS NULL AS ok, reason, whole, discovered, included, failed FROM w
+""")
+def src_07_reviewed(spark, sf):
+    out = _imports(spark, sf)[0]
+    return out.select(F.col("sourceId").alias("source_id"), "kind", "ok", "reason", F.col("coverageComplete").alias("whole"), "discovered", "included", "failed")
+
+
+@query("joi_02_reviewed_imports", IMPORTS_SQL + f"""
+SELECT source AS source_id, kind, CAST(doc_id AS VARCHAR) AS id,
+  CASE WHEN fresh AND held AND doc_id % 3 = 0 THEN 'changed' WHEN fresh THEN 'scheduled' WHEN doc_id % 9 = 0 THEN 'cancelled' WHEN whole THEN 'unconfirmed' ELSE 'scheduled' END AS status,
+  CASE WHEN NOT fresh AND doc_id % 9 <> 0 AND whole THEN '{V.NOTE_NOT_LISTED}' END AS note, CASE WHEN fresh AND held AND doc_id % 3 = 0 THEN 1 ELSE 0 END AS revisions
+FROM (SELECT d.*, whole, listed AND decision = 'included' AND reason IS NULL AS fresh FROM d JOIN w USING (source, kind)) WHERE fresh OR held
+""")
+def joi_02_reviewed(spark, sf):
+    verdicts, events, previous = _imports(spark, sf)
+    out = BU.reviewed_snapshots(verdicts, events, previous, f"{B.EVENTS_AS_OF}T09:00:00+08:00")
+    return out.select(F.col("sourceId").alias("source_id"), "kind", "id", "status", F.col("statusNote").alias("note"), F.size("revisions").cast("bigint").alias("revisions"))
+
+
+def _imports(spark, sf):
+    """Documents as reviewed items: an envelope for each source and language, a fault by the source's last digit."""
+    n = F.col("doc_id")
+    d = table(spark, sf, "documents").select(F.col("source").alias("sourceId"), F.col("lang").alias("kind"), "doc_id").withColumn("s", F.replace("sourceId", F.lit("src"), F.lit("")).cast("int") % 10)
+    decision = F.when(n % 5 == 0, "excluded").when(n % 7 == 0, "pending").when((F.col("kind") == "es") & (n % 11 == 0), "failed").otherwise(F.lit("included"))
+    items = d.where(n % 6 != 1).withColumn("decision", decision)
+    s = F.col("s")
+    page = lambda i, url="https://reviewed.example/": F.struct(F.lit(i).alias("id"), F.lit(url + i).alias("url"))
+    two = F.array(page("p1"), page("p2"))
+    # 6 lacks a page that it expects, 8 claims no complete traversal.
+    expected = F.when(s == 3, F.array(F.lit("p1"), F.lit("p2"), F.lit("p1"))).when(s == 6, F.array(*map(F.lit, ("p1", "p2", "p3")))).otherwise(F.array(F.lit("p1"), F.lit("p2")))
+    envelopes = d.select("sourceId", "kind", "s").distinct().select(
+        "sourceId", "kind", F.when(s == 2, "2024-02-30").otherwise(F.lit(B.EVENTS_AS_OF)).alias("reviewedAt"),
+        F.struct(F.lit("listing").alias("scope"), expected.alias("expectedPageIds"), (s != 8).alias("complete")).alias("traversal"),
+        F.when(s == 4, F.array(page("p1"), page("p4"))).when(s == 5, F.array(page("p1"), page("p2", "http://reviewed.example/"))).otherwise(two).alias("pages"),
+    )
+    kinds = F.array_except(F.array(*map(F.lit, ("en", "de", "fr", "es"))), F.when(s == 9, F.array(F.lit("fr"))).otherwise(F.array().cast("array<string>")))
+    registry = d.select("sourceId", "s").distinct().select(F.col("sourceId").alias("id"), F.when(s == 1, "feed").otherwise(F.lit("reviewed-json")).alias("adapter"), kinds.alias("kinds"))
+    shape = lambda rows, time, status: rows.select(
+        "sourceId", "kind", n.cast("string").alias("id"), F.array(F.struct(F.lit(B.EVENTS_AS_OF).cast("date").alias("date"), time.alias("time"))).alias("sessions"),
+        status.alias("status"), F.lit(None).cast("string").alias("statusNote"), F.expr("cast(array() as array<struct<at:string,note:string,previousSessions:array<struct<date:date,time:string>>>>)").alias("revisions"),
+    )
+    events = shape(items.where("decision = 'included'"), F.lit("19:30"), F.lit("scheduled"))
+    previous = shape(d.where(n % 4 != 0), F.when(n % 3 == 0, "14:30").otherwise(F.lit("19:30")), F.when(n % 9 == 0, "cancelled").otherwise(F.lit("scheduled")))
+    return BU.envelope_verdicts(envelopes, registry, items, f"{B.EVENTS_AS_OF}T09:00:00+08:00"), events, previous
+
+
 @query("src_08_batch_totals", """
 SELECT count(*) AS events, sum(n)::BIGINT AS sessions, sum(n) = (SELECT count(*) FROM lineitem) AS totals_agree
 FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
